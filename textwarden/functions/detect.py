@@ -1,79 +1,71 @@
 """Detection as plain Spark expressions.
 
 ``hit_flags`` is the only place where built-in and shared custom rules run over the
-text: one boolean per rule, in one projection, without shuffle or join.  What
-follows (labels, scores, spans) reads ``matched``, a short array per text.
+text: one boolean per rule, in one pass, without shuffle or join.  What follows
+(labels, scores, spans) reads ``matched``, a short array per text.
+
+``text`` is a SQL expression here, most often a column name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textwarden.functions.rules import Rule, builtin_rules
+from textwarden.functions.sqltext import all_of, any_of, computed_once, ident, lit
 
 MATCHED_TYPE = (
     "array<struct<ord:int,id:string,label:string,risk:double,critical:boolean,regex:string>>"
 )
 
 
-def _all(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, columns)
-
-
-def _any(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, columns)
+def needle_gate(text: str, rule: Rule) -> str | None:
+    """Test for literal text the rule cannot do without, or None when there is none."""
+    groups = [any_of(f"contains({text}, {lit(n)})" for n in group) for group in rule.needles]
+    return all_of(groups) if groups else None
 
 
-def needle_gate(text: Column, rule: Rule) -> Column | None:
-    """Literal text the rule cannot do without, or None when there is none."""
-    groups = [_any([text.contains(n) for n in group]) for group in rule.needles]
-    return _all(groups) if groups else None
-
-
-def hit(text: Column, rule: Rule) -> Column:
-    """True when the rule hits the text; cheap necessary tests come first."""
+def hit(text: str, rule: Rule) -> str:
+    """Test whether the rule hits the text; cheap necessary tests come first."""
     tests = []
     gate = needle_gate(text, rule)
     if gate is not None:
         tests.append(gate)
-    if rule.folded_needles:
-        low = F.lower(text)
-        tests += [_any([low.contains(n) for n in group]) for group in rule.folded_needles]
+    for group in rule.folded_needles:
+        tests.append(any_of(f"contains(lower({text}), {lit(n)})" for n in group))
     if rule.probe:
-        tests.append(text.rlike(rule.probe))
-    tests.append(text.rlike(rule.detector()))
-    return F.coalesce(_all(tests), F.lit(False))
+        tests.append(f"rlike({text}, {lit(rule.probe)})")
+    tests.append(f"rlike({text}, {lit(rule.detector())})")
+    return f"coalesce({all_of(tests)}, false)"
 
 
-def any_hit(text: Column, rules: Sequence[Rule] | None = None) -> Column:
-    """True when any rule hits; stops at the first that does."""
-    return _any([hit(text, r) for r in (rules or builtin_rules())])
+def any_hit(text: str = "text", rules: Sequence[Rule] | None = None) -> str:
+    """Test whether any rule hits; stops at the first that does."""
+    return any_of(hit(text, r) for r in (rules or builtin_rules()))
 
 
-def hit_flags(text: Column, rules: Sequence[Rule] | None = None) -> Column:
+def hit_flags(text: str = "text", rules: Sequence[Rule] | None = None) -> str:
     """One boolean per rule, in rule order."""
-    return F.array(*[hit(text, r) for r in (rules or builtin_rules())])
+    return "array(" + ", ".join(hit(text, r) for r in (rules or builtin_rules())) + ")"
 
 
-def _entry(rule: Rule) -> Column:
-    return F.struct(
-        F.lit(rule.ord).alias("ord"),
-        F.lit(rule.id).alias("id"),
-        F.lit(rule.label).alias("label"),
-        F.lit(float(rule.risk)).alias("risk"),
-        F.lit(rule.critical).alias("critical"),
-        F.lit(rule.detector()).alias("regex"),
+def _entry(rule: Rule) -> str:
+    return (
+        f"named_struct('ord', {rule.ord}, 'id', {lit(rule.id)}, 'label', {lit(rule.label)}, "
+        f"'risk', double({float(rule.risk)!r}), 'critical', {str(rule.critical).lower()}, "
+        f"'regex', {lit(rule.detector())})"
     )
 
 
-def matched_rules(flags: Column, rules: Sequence[Rule] | None = None) -> Column:
+def matched_rules(flags: str, rules: Sequence[Rule] | None = None) -> str:
     """The rules whose flag is set, as an array of structs in rule order."""
-    rules = rules or builtin_rules()
-    return F.array_compact(F.array(*[F.when(flags[i], _entry(r)) for i, r in enumerate(rules)]))
+    entries = ", ".join(
+        f"if({flags}[{i}], {_entry(r)}, NULL)" for i, r in enumerate(rules or builtin_rules())
+    )
+    return f"array_compact(array({entries}))"
 
 
 def with_matched(
@@ -81,15 +73,13 @@ def with_matched(
     rules: Sequence[Rule] | None = None,
     text: str = "text",
     out: str = "matched",
+    only_found: bool = False,
 ) -> DataFrame:
-    """Adds the array of matched rules.
-
-    The flags are a column of their own so that every regex runs once per text,
-    however often the flags are read afterwards.
-    """
-    kept = df.columns
-    flagged = df.select("*", hit_flags(F.col(text), rules).alias("_flags"))
-    return flagged.select(*kept, matched_rules(F.col("_flags"), rules).alias(out))
+    """Adds the array of matched rules; ``only_found`` drops texts no rule hits."""
+    flagged = computed_once(df, _flags=hit_flags(ident(text), rules))
+    if only_found:
+        flagged = flagged.filter(F.array_contains("_flags", True))
+    return flagged.select(*df.columns, F.expr(matched_rules("_flags", rules)).alias(out))
 
 
 def labels(matched: Column) -> Column:
@@ -101,13 +91,28 @@ def finding_count(matched: Column) -> Column:
     return F.size(matched)
 
 
-def has_findings(matched: Column) -> Column:
-    return F.size(matched) > 0
+def has_findings(df: DataFrame, rules: Sequence[Rule] | None = None, text: str = "text") -> DataFrame:
+    """Adds ``has_findings``."""
+    return computed_once(df, has_findings=any_hit(ident(text), rules))
 
 
-def occurrences(text: Column, rule: Rule) -> Column:
+def occurrences(text: str, rule: Rule) -> str:
     """How often the rule hits."""
-    return F.when(hit(text, rule), F.regexp_count(text, F.lit(rule.detector()))).otherwise(F.lit(0))
+    return f"if({hit(text, rule)}, regexp_count({text}, {lit(rule.detector())}), 0)"
+
+
+def finding_occurrences(
+    df: DataFrame, rules: Sequence[Rule] | None = None, text: str = "text"
+) -> DataFrame:
+    """One row per unit and rule that hits, with the number of hits; the text is dropped."""
+    kept = [c for c in df.columns if c != text]
+    counts = ", ".join(
+        f"named_struct('rule_id', {lit(r.id)}, 'label', {lit(r.label)}, "
+        f"'occurrences', {occurrences(ident(text), r)})"
+        for r in (rules or builtin_rules())
+    )
+    rows = df.select(*kept, F.expr(f"inline(array({counts}))"))
+    return rows.filter("occurrences > 0")
 
 
 def detect_labels(

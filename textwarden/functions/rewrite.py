@@ -8,6 +8,8 @@ or merged.  Two shortcuts keep it off most texts and change no result:
   running text either.  Every rewrite puts in ``<NAME>``, needles hold neither
   ``<`` nor ``>`` and occur in no placeholder, so a needle in the running text is a
   needle of the original.
+
+``text`` is a SQL expression here, most often a column name.
 """
 
 from __future__ import annotations
@@ -20,19 +22,20 @@ from pyspark.sql import functions as F
 
 from textwarden.functions.detect import any_hit, needle_gate
 from textwarden.functions.rules import BUILTIN_COUNT, Rule, builtin_rules
+from textwarden.functions.sqltext import any_of, computed_once, ident, lit
 
 
-def rewrite_once(text: Column, rule: Rule) -> Column:
+def rewrite_once(text: str, rule: Rule) -> str:
     """All hits of one rule replaced."""
     pattern, replacement = rule.rewriter()
-    return F.regexp_replace(text, F.lit(pattern), F.lit(replacement))
+    return f"regexp_replace({text}, {lit(pattern)}, {lit(replacement)})"
 
 
-def _chain(text: Column, rules: Sequence[Rule]) -> Column:
+def _chain(text: str, rules: Sequence[Rule]) -> str:
     return reduce(rewrite_once, rules, text)
 
 
-def rewrite_chain(text: Column, rules: Sequence[Rule] | None = None) -> Column:
+def rewrite_chain(text: str = "text", rules: Sequence[Rule] | None = None) -> str:
     """Every rule applied in order, without asking first whether any hits."""
     rules = list(rules or builtin_rules())
     leading = 0
@@ -41,18 +44,16 @@ def rewrite_chain(text: Column, rules: Sequence[Rule] | None = None) -> Column:
     gated = [r for r in rules[:leading] if r.needles]
     if not gated:
         return _chain(text, rules)
-    wanted = reduce(lambda a, b: a | b, [needle_gate(text, r) for r in gated])
     rest = [r for i, r in enumerate(rules) if i >= leading or not r.needles]
-    return F.when(wanted, _chain(text, rules)).otherwise(_chain(text, rest))
+    wanted = any_of(needle_gate(text, r) for r in gated)
+    return f"if({wanted}, {_chain(text, rules)}, {_chain(text, rest)})"
 
 
 def sanitize(
-    text: Column, rules: Sequence[Rule] | None = None, found: Column | None = None
-) -> Column:
-    """The text with every finding replaced; ``found`` says whether any rule hits, if known."""
-    rules = rules or builtin_rules()
-    found = any_hit(text, rules) if found is None else found
-    return F.when(found, rewrite_chain(text, rules)).otherwise(text)
+    text: str = "text", rules: Sequence[Rule] | None = None, found: str | None = None
+) -> str:
+    """The text with every finding replaced; ``found`` tests whether any rule hits, if known."""
+    return f"if({found or any_hit(text, rules)}, {rewrite_chain(text, rules)}, {text})"
 
 
 def changed(text: Column, sanitized: Column) -> Column:
@@ -60,13 +61,23 @@ def changed(text: Column, sanitized: Column) -> Column:
 
 
 def sanitize_range(
-    text: Column, start: Column, end: Column, rules: Sequence[Rule] | None = None
-) -> Column:
+    df: DataFrame,
+    start: Column,
+    end: Column,
+    rules: Sequence[Rule] | None = None,
+    text: str = "text",
+    out: str = "sanitized",
+) -> DataFrame:
     """Rewrites characters ``[start, end)`` only; the rules see nothing but that slice."""
-    head = F.substring(text, F.lit(1), start)
-    body = F.substring(text, start + 1, end - start)
-    tail = F.substring(text, end + 1, F.length(text))
-    return F.concat(head, sanitize(body, rules), tail)
+    whole = F.col(text)
+    cut = df.select(
+        "*",
+        F.substring(whole, F.lit(1), start).alias("_head"),
+        F.substring(whole, start + 1, end - start).alias("_body"),
+        F.substring(whole, end + 1, F.length(whole)).alias("_tail"),
+    )
+    done = computed_once(cut, _clean=sanitize("_body", rules))
+    return done.select(*df.columns, F.concat("_head", "_clean", "_tail").alias(out))
 
 
 def replace_span(text: Column, start: Column, end: Column, placeholder: Column) -> Column:
@@ -83,8 +94,9 @@ def sanitize_corpus(
     excluded: Column | None = None,
 ) -> DataFrame:
     """Adds ``sanitized`` and ``changed``; excluded units pass through, no size limit applies."""
-    found = any_hit(F.col(text), rules)
+    kept, found = df.columns, any_hit(ident(text), rules)
     if excluded is not None:
-        found = ~F.coalesce(excluded, F.lit(False)) & found
-    out = df.select("*", sanitize(F.col(text), rules, found).alias("sanitized"))
-    return out.select("*", changed(F.col(text), F.col("sanitized")).alias("changed"))
+        df = df.select("*", F.coalesce(excluded, F.lit(False)).alias("_excluded"))
+        found = f"(NOT _excluded AND {found})"
+    out = computed_once(df, sanitized=sanitize(ident(text), rules, found))
+    return out.select(*kept, "sanitized", changed(F.col(text), F.col("sanitized")).alias("changed"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from textwarden.functions import dialect
 from textwarden.functions.detect import finding_count, labels, with_matched
 from textwarden.functions.rules import Rule, builtin_rules
-from textwarden.functions.text import slashed
+from textwarden.functions.sqltext import ident, lit
 
 # Weights and cut-offs.
 CRITICAL_FLOOR = 60
@@ -55,56 +54,54 @@ def one_of(patterns: Sequence[str], target: str = dialect.JAVA) -> str:
     return "|".join(f"(?:{dialect.translate(p, '', target).pattern})" for p in patterns)
 
 
-def _matches(column: Column, patterns: Sequence[str]) -> Column:
-    return F.coalesce(column.rlike(one_of(patterns)), F.lit(False))
+def _matches(column: str, patterns: Sequence[str]) -> str:
+    return f"coalesce(rlike({column}, {lit(one_of(patterns))}), false)"
 
 
-def has_test_folder(path: Column) -> Column:
-    return F.coalesce(slashed(path).contains("/test/"), F.lit(False))
+def _ends(column: str, suffix: str) -> str:
+    return f"coalesce(endswith({column}, {lit(suffix)}), false)"
 
 
-def _is_test_file(low: Column, text: Column) -> Column:
-    votes = reduce(
-        lambda a, b: a + b,
-        [
-            F.coalesce(text.rlike(dialect.translate(p, f).pattern), F.lit(False)).cast("int")
-            for p, f in TEST_CONTENT
-        ],
+def _normal(path: str) -> str:
+    return f"translate({path}, {lit(chr(92))}, '/')"
+
+
+def _in_test_folder(path: str) -> str:
+    return f"coalesce(contains({_normal(path)}, '/test/'), false)"
+
+
+def _is_test_file(low: str, text: str) -> str:
+    votes = " + ".join(
+        f"int(coalesce(rlike({text}, {lit(dialect.translate(p, f).pattern)}), false))"
+        for p, f in TEST_CONTENT
     )
-    by_content = _matches(low, (TEST_DIRECTORY,)) & (votes >= TEST_CONTENT_NEEDED)
-    return ~_matches(low, NOT_TEST_PATHS) & (_matches(low, TEST_PATHS) | by_content)
+    by_content = f"({_matches(low, (TEST_DIRECTORY,))} AND ({votes}) >= {TEST_CONTENT_NEEDED})"
+    return f"(NOT {_matches(low, NOT_TEST_PATHS)} AND ({_matches(low, TEST_PATHS)} OR {by_content}))"
 
 
-def path_context(path: Column, text: Column) -> Column:
-    """The first context that applies to the unit, or null."""
-    normal = slashed(path)
-    low = F.lower(normal)
-    readme = F.coalesce(normal.endswith("README.md"), F.lit(False))
+def path_context(path: str = "path", text: str = "text") -> str:
+    """The first context that applies to the unit, or null; arguments are SQL expressions."""
+    normal = _normal(path)
+    low = f"lower({normal})"
     return (
-        F.when(_matches(low, TEMPLATE_PATHS), "template")
-        .when(~has_test_folder(path) & _is_test_file(low, text), "test")
-        .when(~readme & _matches(low, DOCUMENTATION_PATHS), "documentation")
-        .when(_matches(low, INFRASTRUCTURE_PATHS), "infrastructure")
+        f"CASE WHEN {_matches(low, TEMPLATE_PATHS)} THEN 'template' "
+        f"WHEN NOT {_in_test_folder(path)} AND {_is_test_file(low, text)} THEN 'test' "
+        f"WHEN NOT {_ends(normal, 'README.md')} AND {_matches(low, DOCUMENTATION_PATHS)} "
+        "THEN 'documentation' "
+        f"WHEN {_matches(low, INFRASTRUCTURE_PATHS)} THEN 'infrastructure' END"
     )
 
 
-def path_modifier(path: Column, text: Column) -> Column:
+def path_modifier(path: str = "path", text: str = "text") -> str:
     """What the path adds to the score; a missing or empty path adds nothing."""
-    normal = slashed(path)
-
-    def points(test: Column, value: int) -> Column:
-        return F.when(test, F.lit(value)).otherwise(F.lit(0))
-
-    context = path_context(path, text)
+    normal = _normal(path)
     values = (TEMPLATE, TEST_FILE, DOCUMENTATION, INFRASTRUCTURE)
-    by_context = F.lit(0)
-    for name, value in zip(reversed(CONTEXTS), reversed(values)):
-        by_context = F.when(context == name, F.lit(value)).otherwise(by_context)
+    by_context = " ".join(f"WHEN {lit(n)} THEN {v}" for n, v in zip(CONTEXTS, values))
     return (
-        points(normal.endswith(".env"), ENV_FILE)
-        + points(normal.endswith("README.md"), README_FILE)
-        + points(has_test_folder(path), TEST_FOLDER)
-        + by_context
+        f"(if({_ends(normal, '.env')}, {ENV_FILE}, 0) "
+        f"+ if({_ends(normal, 'README.md')}, {README_FILE}, 0) "
+        f"+ if({_in_test_folder(path)}, {TEST_FOLDER}, 0) "
+        f"+ CASE {path_context(path, text)} {by_context} ELSE 0 END)"
     )
 
 
@@ -154,7 +151,7 @@ def score_matched(
     """The same for a frame that already holds ``matched``, which is dropped."""
     kept = [c for c in df.columns if c != "matched"]
     matched = F.col("matched")
-    modifier = path_modifier(F.col(path), F.col(text)) if path else F.lit(0)
+    modifier = F.expr(path_modifier(ident(path), ident(text))) if path else F.lit(0)
     raw = floored_score(matched) + modifier + count_bonus(finding_count(matched))
     clamped = F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw))
     scored = df.select(

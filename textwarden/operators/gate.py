@@ -11,6 +11,7 @@ from textwarden.functions.detect import any_hit
 from textwarden.functions.rewrite import rewrite_chain
 from textwarden.functions.risk import risk_text, score_units
 from textwarden.functions.rules import MAX_TEXT_BYTES, Rule
+from textwarden.functions.sqltext import computed_once, ident
 from textwarden.functions.text import fits
 from textwarden.sources.corpus import changed_only, is_scanned, size_gate
 
@@ -43,8 +44,10 @@ def gate_verdict(
     verdict is ever written for texts that were not scanned.
     """
     scanned = is_scanned(F.col("change_type"), F.col("path")) & fits(F.col(text), max_bytes)
-    offends = F.coalesce(scanned, F.lit(False)) & any_hit(F.col(text), rules)
-    marked = changes.select(key, offends.alias("offends"))
+    marked = computed_once(
+        changes.select(key, text, F.coalesce(scanned, F.lit(False)).alias("_scanned")),
+        offends=f"_scanned AND {any_hit(ident(text), rules)}",
+    )
     return marked.groupBy(key).agg(
         F.when(F.max("offends"), "block").otherwise("pass").alias("verdict"),
         F.count_if("offends").alias("offending_units"),
@@ -129,15 +132,14 @@ def apply_actions(
     and without a decision is cancelled.  Units are scanned before the join, so
     decisions travel to the units and rules run once.
     """
-    found = df.select("*", any_hit(F.col(text), rules).alias("_found"))
+    found = computed_once(df, _found=any_hit(ident(text), rules))
     joined = found.join(decisions.select(key, "action"), key, "left")
     action = F.when(~F.col("_found"), COPY_RAW).otherwise(F.coalesce("action", F.lit(CANCEL)))
     decided = joined.select(*df.columns, "_found", action.alias("action"))
     kept = decided.filter(F.col("action") != CANCEL)
-    rewritten = F.when(
-        F.col("_found") & (F.col("action") == COPY_SANITIZED), rewrite_chain(F.col(text), rules)
-    ).otherwise(F.col(text))
-    return kept.select(*df.columns, "action", rewritten.alias("copied"))
+    rewrite = f"_found AND action = '{COPY_SANITIZED}'"
+    copied = f"if({rewrite}, {rewrite_chain(ident(text), rules)}, {ident(text)})"
+    return kept.select(*df.columns, "action", F.expr(copied).alias("copied"))
 
 
 def risk_notes(scored: DataFrame) -> DataFrame:

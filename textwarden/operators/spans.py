@@ -133,10 +133,13 @@ def with_spans(
 
     ``matched`` names an existing column of matched rules to use instead of ``rules``.
     """
-    found = df if matched else with_matched(df, rules, text)
     name = matched or "matched"
+    if matched:
+        found = df.filter(F.size(matched) > 0)
+    else:
+        found = with_matched(df, rules, text, only_found=True)
     kept = [c for c in found.columns if c != name]
-    pieces = found.filter(F.size(name) > 0).select(
+    pieces = found.select(
         *kept, F.transform(name, lambda rule: _pieces(F.col(text), rule)).alias("_pieces")
     )
     fold = _fold_placed if positions else _fold

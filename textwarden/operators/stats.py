@@ -21,7 +21,7 @@ def rule_hits(
     df: DataFrame, rules: Sequence[Rule] | None = None, text: str = "text"
 ) -> DataFrame:
     """One row per unit and matched rule with the number of hits, without the text."""
-    found = with_matched(df, rules, text).filter(F.size("matched") > 0)
+    found = with_matched(df, rules, text, only_found=True)
     kept = [c for c in df.columns if c != text]
     counted = found.select(
         *kept,

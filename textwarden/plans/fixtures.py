@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textwarden.functions.sqltext import lit
 from textwarden.sources.corpus import scan_corpus
 
 _JWT = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.abc.def"
@@ -80,10 +81,10 @@ def quoted(value: str | None) -> str:
     return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
 
 
-def pick(values: Sequence[str | None], index: Column) -> Column:
-    """The value at ``index`` modulo the number of values."""
-    options = F.array(*[F.lit(v).cast("string") for v in values])
-    return F.get(options, F.pmod(index, F.lit(len(values))).cast("int"))
+def pick(values: Sequence[str | None], index: str) -> Column:
+    """The value at ``index`` (SQL) modulo the number of values."""
+    options = ", ".join("string(NULL)" if v is None else lit(v) for v in values)
+    return F.expr(f"get(array({options}), int(pmod({index}, {len(values)})))")
 
 
 def pick_sql(values: Sequence[str | None], index: str) -> str:
@@ -104,8 +105,8 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         "source",
         "lang",
-        pick(PATHS, F.col("doc_id")).alias("path"),
-        F.concat(F.col("text"), F.lit(" "), pick(SAMPLES, F.col("doc_id"))).alias("text"),
+        pick(PATHS, "doc_id").alias("path"),
+        F.concat(F.col("text"), F.lit(" "), pick(SAMPLES, "doc_id")).alias("text"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textwarden.functions import dialect
-from textwarden.functions.detect import any_hit, detect_labels, occurrences
+from textwarden.functions.detect import detect_labels, finding_occurrences, has_findings
 from textwarden.functions.risk import path_context, path_modifier, risk_text, score_units
 from textwarden.functions.rewrite import sanitize, sanitize_corpus, sanitize_range
 from textwarden.functions.rules import builtin_rules, rules_frame
@@ -69,7 +69,7 @@ QUERIES["detect_labels_pages"] = Query(_detect(pages), _detect_sql(PAGES_SQL))
 
 def _has_findings(spark, sf_dir):
     units = planted(spark, sf_dir).select("doc_id", "text")
-    return units.select("doc_id", any_hit(F.col("text")).alias("has_findings"))
+    return has_findings(units).select("doc_id", "has_findings")
 
 
 QUERIES["has_findings"] = Query(
@@ -80,20 +80,8 @@ QUERIES["has_findings"] = Query(
 
 
 def _occurrences(spark, sf_dir):
-    counted = planted(spark, sf_dir).select(
-        "doc_id",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(r.id).alias("rule_id"), occurrences(F.col("text"), r).alias("occurrences")
-                    )
-                    for r in builtin_rules()
-                ]
-            )
-        ),
-    )
-    return counted.filter("occurrences > 0").select("doc_id", "rule_id", *_big("occurrences"))
+    rows = finding_occurrences(planted(spark, sf_dir).select("doc_id", "text"))
+    return rows.select("doc_id", "rule_id", *_big("occurrences"))
 
 
 def _occurrences_sql(source: str) -> str:
@@ -222,7 +210,7 @@ def _diagnostics(spark, sf_dir):
 
 def _glob_sql(path: str = "path") -> str:
     tests = [
-        f"regexp_matches(replace({path}, '\\', '/'), {quoted(glob_regex(g))})" for g in GLOBS
+        f"regexp_matches(replace({path}, '\\', '/'), {quoted(glob_regex(g, target=dialect.RE2))})" for g in GLOBS
     ]
     return f"coalesce({' OR '.join(tests)}, false)"
 
@@ -345,10 +333,9 @@ QUERIES["changed_units"] = Query(
 
 def _range(spark, sf_dir):
     length = F.length("text")
-    start, end = F.floor(length / 2).cast("int"), length
-    return planted(spark, sf_dir).select(
-        "doc_id", sanitize_range(F.col("text"), start, end).alias("sanitized")
-    )
+    units = planted(spark, sf_dir).select("doc_id", "text")
+    done = sanitize_range(units, F.floor(length / 2).cast("int"), length)
+    return done.select("doc_id", "sanitized")
 
 
 QUERIES["sanitize_range"] = Query(
@@ -417,11 +404,9 @@ QUERIES["risk_score_with_path"] = Query(_scores(planted, "path"), _scores_sql(PL
 
 
 def _context(spark, sf_dir):
-    path, text = F.col("path"), F.col("text")
-    return planted(spark, sf_dir).select(
-        "doc_id", "path",
-        F.coalesce(path_context(path, text), F.lit("none")).alias("context"),
-        path_modifier(path, text).cast("bigint").alias("modifier"),
+    return planted(spark, sf_dir).selectExpr(
+        "doc_id", "path", f"coalesce({path_context()}, 'none') AS context",
+        f"bigint({path_modifier()}) AS modifier",
     )
 
 
@@ -440,16 +425,14 @@ _TEST_FOLDERS = ("test/a.ts", "/a/test", "test", "/a/test_utils/test/a.ts", "/a/
 
 
 def _content_context(spark, sf_dir):
-    doc = F.col("doc_id")
     units = documents(spark, sf_dir).select(
         "doc_id",
-        pick(_TEST_FOLDERS, doc).alias("path"),
-        F.concat("text", pick(_TEST_CODE, F.floor(doc / len(_TEST_FOLDERS)))).alias("text"),
+        pick(_TEST_FOLDERS, "doc_id").alias("path"),
+        F.concat("text", pick(_TEST_CODE, f"doc_id div {len(_TEST_FOLDERS)}")).alias("text"),
     )
     rows = score_units(units, path="path")
-    return rows.select(
-        "doc_id", "path", *_big("score"),
-        F.coalesce(path_context(F.col("path"), F.col("text")), F.lit("none")).alias("context"),
+    return rows.selectExpr(
+        "doc_id", "path", "bigint(score) AS score", f"coalesce({path_context()}, 'none') AS context"
     )
 
 
@@ -560,7 +543,7 @@ def _changes(spark, sf_dir):
     group = F.concat("source", F.lit("-"), F.pmod("doc_id", F.lit(7)).cast("string"))
     return units.select(
         "doc_id", group.alias("change_id"), "path",
-        pick(_CHANGE_TYPES, F.col("doc_id")).alias("change_type"), "text",
+        pick(_CHANGE_TYPES, "doc_id").alias("change_type"), "text",
     )
 
 
@@ -624,9 +607,8 @@ _BLANKS = ("", "  \n", "  ﻿", "x", None)
 
 
 def _blank_gate(spark, sf_dir):
-    doc = F.col("doc_id")
     units = documents(spark, sf_dir).select(
-        "doc_id", F.coalesce(pick(_BLANKS, doc), F.col("text")).alias("text")
+        "doc_id", F.coalesce(pick(_BLANKS, "doc_id"), F.col("text")).alias("text")
     )
     return blank_gate(units).select("doc_id", *[F.length("text").cast("bigint").alias("n_chars")])
 
@@ -708,7 +690,7 @@ def _scan_and_copy(spark, sf_dir):
     scored = score_units(units.select("doc_id", "path", "text"), path="path")
     return scored.select(
         "doc_id", *_big("score"), "level",
-        F.md5(sanitize(F.col("text"), found=F.col("finding_count") > 0)).alias("clean_md5"),
+        F.expr(f"md5({sanitize(found='finding_count > 0')})").alias("clean_md5"),
     )
 
 

@@ -96,8 +96,8 @@ def blank_gate(df: DataFrame, text: str = "text") -> DataFrame:
     return df.filter(~is_blank(F.col(text)))
 
 
-def glob_regex(glob: str, legacy: bool = False) -> str | None:
-    """The Java regex of a glob, or None when the glob is invalid.
+def glob_regex(glob: str, legacy: bool = False, target: str = dialect.JAVA) -> str | None:
+    """The regex of a glob, or None when the glob is invalid.
 
     ``**`` crosses folders, ``*`` stays within one, ``?`` is any one character.  With
     ``legacy`` a star is the regex quantifier, as in rule files written for that.
@@ -109,7 +109,7 @@ def glob_regex(glob: str, legacy: bool = False) -> str | None:
         pieces = re.split(r"(\*\*|\*|\?)", glob)
         source = "".join(marks.get(p) or re.sub(r"[.+^${}()|\[\]\\/]", r"\\\g<0>", p) for p in pieces)
     try:
-        return dialect.translate(f"^{source}$").pattern
+        return dialect.translate(f"^{source}$", "", target).pattern
     except dialect.RegexError:
         return None
 
