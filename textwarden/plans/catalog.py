@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from textwarden.plans import scan
+from textwarden.plans import scan, user_rules
 from textwarden.plans.registry import Query
 
 
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
-    for module in (scan,):
+    for module in (scan, user_rules):
         out.update(module.QUERIES)
     return out
