@@ -218,36 +218,33 @@ def _stream_source(spark, sf_dir, table):
 
 
 def _streamed(spark, sf_dir):
-    """The ticks written as several files, then worked off one file per micro-batch."""
+    """The ticks in three deliveries; the stream is started again for each and goes on
+    from its state."""
     folder = _run_folder(spark, "ticks")
     rows = ticks(spark, sf_dir)
-    schema = rows.schema
-    rows.repartitionByRange(3, "seq").sortWithinPartitions("seq").write.parquet(f"{folder}/in")
-    stream = (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    )
-    outcomes = monitor_stream(stream, max_bytes=8192)
-    write_stream(outcomes, f"{folder}/out", f"{folder}/state", once=True).awaitTermination()
+    highest = rows.agg(F.max("seq")).first()[0] or 0
+    bounds = [0, highest // 3, 2 * highest // 3, highest + 1]
+    for low, high in zip(bounds, bounds[1:]):
+        part = rows.filter((F.col("seq") >= low) & (F.col("seq") < high))
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        outcomes = monitor_stream(stream, max_bytes=8192)
+        write_stream(outcomes, f"{folder}/out", f"{folder}/state", once=True).awaitTermination()
     return spark.read.parquet(f"{folder}/out")
 
 
 def _streamed_outcomes(spark, sf_dir):
-    return _streamed(spark, sf_dir).filter("outcome <> 'sanitized'").select("owner", "seq", "outcome")
-
-
-QUERIES["stream_monitor_outcomes"] = Query(
-    _streamed_outcomes, _MONITOR_SQL + " SELECT owner, seq, outcome FROM outcomes"
-)
-
-
-def _streamed_alerts(spark, sf_dir):
-    return stream_alerts(_streamed(spark, sf_dir)).select("owner", "seq", "message")
+    outcomes = _streamed(spark, sf_dir).filter("outcome <> 'sanitized'")
+    alerts = stream_alerts(outcomes).select("owner", "seq", "message")
+    return outcomes.select("owner", "seq", "outcome").join(alerts, ["owner", "seq"], "left").select(
+        "owner", "seq", "outcome", F.coalesce("message", F.lit("")).alias("message")
+    )
 
 
-QUERIES["stream_monitor_alerts"] = Query(
-    _streamed_alerts,
-    _MONITOR_SQL + " SELECT owner, seq, 'Risk ' || score || '/100 (' || level || ') — ' || findings "
-    "AS message FROM outcomes WHERE outcome = 'alert'",
+QUERIES["stream_monitor"] = Query(
+    _streamed_outcomes,
+    _MONITOR_SQL + " SELECT owner, seq, outcome, CASE WHEN outcome = 'alert' THEN 'Risk ' || score "
+    "|| '/100 (' || level || ') — ' || findings ELSE '' END AS message FROM outcomes",
 )
 
 
