@@ -44,6 +44,7 @@ class _Part:
 
     text: str
     starts_word: bool = False
+    first: str | None = None
     ends_word: bool = False
     nullable: bool = False
     boundary: bool = False
@@ -145,8 +146,10 @@ class _Reader:
             branches.append(self._sequence())
         if len(branches) == 1:
             return branches[0]
+        known = all(b.first is not None and not b.nullable for b in branches)
         return _Part(
             "|".join(b.text for b in branches),
+            first="".join(b.first for b in branches) if known else None,
             starts_word=all(b.starts_word for b in branches),
             ends_word=all(b.ends_word for b in branches),
             nullable=any(b.nullable for b in branches),
@@ -163,6 +166,7 @@ class _Reader:
         solid = [p for p in parts if not p.assertion]
         return _Part(
             "".join(p.text for p in parts),
+            first=solid[0].first if solid and not solid[0].nullable else None,
             starts_word=bool(solid) and solid[0].starts_word and not solid[0].nullable,
             ends_word=bool(solid) and solid[-1].ends_word and not solid[-1].nullable,
             nullable=all(p.nullable for p in solid),
@@ -175,11 +179,13 @@ class _Reader:
             return r"\b"
         after = parts[i + 1] if i + 1 < len(parts) else None
         before = parts[i - 1] if i else None
+        # Looking at the next character first rules most places out at less cost.
+        ahead = f"(?=[{after.first}])" if after and after.first and not after.nullable else ""
         if after and after.starts_word and not after.nullable:
-            return f"(?<![{_WORD}])"
+            return f"{ahead}(?<![{_WORD}])"
         if before and before.ends_word and not before.nullable:
             return f"(?![{_WORD}])"
-        return f"(?:(?<![{_WORD}])(?=[{_WORD}])|(?<=[{_WORD}])(?![{_WORD}]))"
+        return f"{ahead}(?:(?<![{_WORD}])(?=[{_WORD}])|(?<=[{_WORD}])(?![{_WORD}]))"
 
     def _term(self) -> _Part:
         ch = self._peek()
@@ -240,6 +246,7 @@ class _Reader:
             raise RegexError("lookbehind without an upper bound")
         return _Part(
             f"{head}{body.text})",
+            first=None if assertion else body.first,
             starts_word=body.starts_word and not assertion,
             ends_word=body.ends_word and not assertion,
             nullable=body.nullable or assertion,
@@ -267,7 +274,7 @@ class _Reader:
             raise RegexError("nothing to repeat")
         text = f"(?:{part.text})" if part.assertion or part.boundary else part.text
         return _Part(
-            text + token, part.starts_word, part.ends_word, part.nullable or least == 0,
+            text + token, part.starts_word, part.first, part.ends_word, part.nullable or least == 0,
             assertion=part.assertion, unbounded=part.unbounded or bool(endless),
         )
 
@@ -276,8 +283,9 @@ class _Reader:
         word = ch in _WORD_CHARS
         other = ch.swapcase() if self.ignore_case else ch
         if other != ch and len(other) == 1 and (self.target == RE2 or ord(ch) > 0x7F):
-            return _Part(f"[{literal(ch, self.target)}{literal(other, self.target)}]", word, word)
-        return _Part(literal(ch, self.target), word, word)
+            both = literal(ch, self.target) + literal(other, self.target)
+            return _Part(f"[{both}]", word, both, word)
+        return _Part(literal(ch, self.target), word, literal(ch, self.target), word)
 
     def _escape(self) -> _Part:
         ch = self._peek()
@@ -295,7 +303,8 @@ class _Reader:
         if ch in "dDwWsS":
             body = {"d": "0-9", "w": _WORD, "s": space_class(self.target)}[ch.lower()]
             word = ch in "dw"
-            return _Part(f"[{'^' if ch.isupper() else ''}{body}]", word, word)
+            first = None if ch.isupper() else body
+            return _Part(f"[{'^' if ch.isupper() else ''}{body}]", word, first, word)
         if ch in "pP" and self.unicode:
             return _Part(self._property(ch))
         if ch == "k" and self.names:
@@ -428,7 +437,9 @@ class _Reader:
             if not negated:
                 return _Part("(?!)" if self.target == JAVA else r"[^\x{0}-\x{10ffff}]")
             return _Part("(?s:.)")
-        return _Part(f"[{'^' if negated else ''}{''.join(members)}]", word, word)
+        body = "".join(members)
+        first = None if negated else body
+        return _Part(f"[{'^' if negated else ''}{body}]", word, first, word)
 
     def _member(self, first: str, last: str) -> str:
         def emit(a: str, b: str) -> str:

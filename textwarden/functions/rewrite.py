@@ -1,13 +1,12 @@
 """Ordered rewriting of text with placeholders.
 
 Each rule rewrites the output of the one before, so the chain is never reordered
-or merged.  Two shortcuts keep it off most texts and change no result:
+or merged.  A step is skipped where cheap tests show that its rule cannot hit:
 
-* A text no rule hits is returned as it is: by induction every step is the identity.
-* A built-in rule whose needle is missing from the *original* text cannot hit the
-  running text either.  Every rewrite puts in ``<NAME>``, needles hold neither
-  ``<`` nor ``>`` and occur in no placeholder, so a needle in the running text is a
-  needle of the original.
+* Probes are tested on the running text, and hit wherever the rule does.
+* Needles of built-in rules are tested on the *original* text.  Every rewrite by a
+  built-in rule puts in ``<NAME>``, needles hold neither ``<`` nor ``>`` and occur in
+  no placeholder, so a needle in the running text is a needle of the original.
 
 ``text`` is a SQL expression here, most often a column name.
 """
@@ -15,14 +14,13 @@ or merged.  Two shortcuts keep it off most texts and change no result:
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.functions.detect import any_hit, needle_gate
+from textwarden.functions.detect import needle_gate
 from textwarden.functions.rules import BUILTIN_COUNT, Rule, builtin_rules
-from textwarden.functions.sqltext import any_of, computed_once, ident, lit
+from textwarden.functions.sqltext import all_of, any_of, computed_once, ident, lit
 
 
 def rewrite_once(text: str, rule: Rule) -> str:
@@ -31,29 +29,43 @@ def rewrite_once(text: str, rule: Rule) -> str:
     return f"regexp_replace({text}, {lit(pattern)}, {lit(replacement)})"
 
 
-def _chain(text: str, rules: Sequence[Rule]) -> str:
-    return reduce(rewrite_once, rules, text)
+def _step(original: str, rule: Rule, gated: bool) -> str:
+    """The rule applied to the running text ``t``, skipped where it cannot hit."""
+    tests = []
+    if gated and rule.needles:
+        tests.append(needle_gate(original, rule))
+    for group in rule.folded_needles:
+        tests.append(any_of(f"contains(lower(t), {lit(n)})" for n in group))
+    if rule.probe:
+        tests.append(f"rlike(t, {lit(rule.probe)})")
+    done = rewrite_once("t", rule)
+    return f"if({all_of(tests)}, {done}, t)" if tests else done
 
 
 def rewrite_chain(text: str = "text", rules: Sequence[Rule] | None = None) -> str:
-    """Every rule applied in order, without asking first whether any hits."""
-    rules = list(rules or builtin_rules())
-    leading = 0
-    while leading < len(rules) and rules[leading].ord < BUILTIN_COUNT:
-        leading += 1
-    gated = [r for r in rules[:leading] if r.needles]
-    if not gated:
-        return _chain(text, rules)
-    rest = [r for i, r in enumerate(rules) if i >= leading or not r.needles]
-    wanted = any_of(needle_gate(text, r) for r in gated)
-    return f"if({wanted}, {_chain(text, rules)}, {_chain(text, rest)})"
+    """Every rule applied in order.
+
+    A step reads the running text more than once, to test and to rewrite it.  Binding
+    it with ``transform`` keeps the expression as long as the list of rules; written
+    out, every step would double it.
+    """
+    out, leading = text, True
+    for rule in rules or builtin_rules():
+        leading = leading and rule.ord < BUILTIN_COUNT
+        out = f"get(transform(array({out}), t -> {_step(text, rule, leading)}), 0)"
+    return out
 
 
 def sanitize(
     text: str = "text", rules: Sequence[Rule] | None = None, found: str | None = None
 ) -> str:
-    """The text with every finding replaced; ``found`` tests whether any rule hits, if known."""
-    return f"if({found or any_hit(text, rules)}, {rewrite_chain(text, rules)}, {text})"
+    """The text with every finding replaced.
+
+    ``found``, a test whether any rule hits, saves the steps where it is already known:
+    a text no rule hits stays as it is, since by induction every step is the identity.
+    """
+    chain = rewrite_chain(text, rules)
+    return f"if({found}, {chain}, {text})" if found else chain
 
 
 def changed(text: Column, sanitized: Column) -> Column:
@@ -94,9 +106,9 @@ def sanitize_corpus(
     excluded: Column | None = None,
 ) -> DataFrame:
     """Adds ``sanitized`` and ``changed``; excluded units pass through, no size limit applies."""
-    kept, found = df.columns, any_hit(ident(text), rules)
+    kept, scanned = df.columns, None
     if excluded is not None:
         df = df.select("*", F.coalesce(excluded, F.lit(False)).alias("_excluded"))
-        found = f"(NOT _excluded AND {found})"
-    out = computed_once(df, sanitized=sanitize(ident(text), rules, found))
+        scanned = "NOT _excluded"
+    out = computed_once(df, sanitized=sanitize(ident(text), rules, scanned))
     return out.select(*kept, "sanitized", changed(F.col(text), F.col("sanitized")).alias("changed"))

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textwarden.functions import dialect
-from textwarden.functions.detect import finding_count, labels, with_matched
+from textwarden.functions.detect import finding_count, hit_flags, labels, matched_rules
 from textwarden.functions.rules import Rule, builtin_rules
-from textwarden.functions.sqltext import ident, lit
+from textwarden.functions.sqltext import computed_once, ident, lit
 
 # Weights and cut-offs.
 CRITICAL_FLOOR = 60
@@ -79,29 +79,34 @@ def _is_test_file(low: str, text: str) -> str:
     return f"(NOT {_matches(low, NOT_TEST_PATHS)} AND ({_matches(low, TEST_PATHS)} OR {by_content}))"
 
 
-def path_context(path: str = "path", text: str = "text") -> str:
-    """The first context that applies to the unit, or null; arguments are SQL expressions."""
+def _by_context(path: str, text: str, results: Sequence[str], otherwise: str) -> str:
+    """The result of the first context that applies."""
     normal = _normal(path)
     low = f"lower({normal})"
-    return (
-        f"CASE WHEN {_matches(low, TEMPLATE_PATHS)} THEN 'template' "
-        f"WHEN NOT {_in_test_folder(path)} AND {_is_test_file(low, text)} THEN 'test' "
-        f"WHEN NOT {_ends(normal, 'README.md')} AND {_matches(low, DOCUMENTATION_PATHS)} "
-        "THEN 'documentation' "
-        f"WHEN {_matches(low, INFRASTRUCTURE_PATHS)} THEN 'infrastructure' END"
+    tests = (
+        _matches(low, TEMPLATE_PATHS),
+        f"NOT {_in_test_folder(path)} AND {_is_test_file(low, text)}",
+        f"NOT {_ends(normal, 'README.md')} AND {_matches(low, DOCUMENTATION_PATHS)}",
+        _matches(low, INFRASTRUCTURE_PATHS),
     )
+    whens = " ".join(f"WHEN {test} THEN {result}" for test, result in zip(tests, results))
+    return f"CASE {whens} ELSE {otherwise} END"
+
+
+def path_context(path: str = "path", text: str = "text") -> str:
+    """The first context that applies to the unit, or null; arguments are SQL expressions."""
+    return _by_context(path, text, [lit(name) for name in CONTEXTS], "NULL")
 
 
 def path_modifier(path: str = "path", text: str = "text") -> str:
     """What the path adds to the score; a missing or empty path adds nothing."""
     normal = _normal(path)
     values = (TEMPLATE, TEST_FILE, DOCUMENTATION, INFRASTRUCTURE)
-    by_context = " ".join(f"WHEN {lit(n)} THEN {v}" for n, v in zip(CONTEXTS, values))
     return (
         f"(if({_ends(normal, '.env')}, {ENV_FILE}, 0) "
         f"+ if({_ends(normal, 'README.md')}, {README_FILE}, 0) "
         f"+ if({_in_test_folder(path)}, {TEST_FOLDER}, 0) "
-        f"+ CASE {path_context(path, text)} {by_context} ELSE 0 END)"
+        f"+ {_by_context(path, text, [str(v) for v in values], '0')})"
     )
 
 
@@ -136,23 +141,34 @@ def score_units(
     text: str = "text",
     path: str | None = None,
 ) -> DataFrame:
-    """Adds ``score``, ``level``, ``findings`` and ``finding_count``.
+    """Adds ``score``, ``findings``, ``finding_count`` and ``level``.
 
     ``score`` is INT when every rule weight is a whole number, else DOUBLE.
     """
     rules = rules or builtin_rules()
     whole = all(float(r.risk).is_integer() for r in rules)
-    return score_matched(with_matched(df, rules, text), text, path, whole)
+    computed = {"_flags": hit_flags(ident(text), rules)}
+    if path:
+        computed["_modifier"] = path_modifier(ident(path), ident(text))
+    modifier = "_modifier" if path else "0"
+    scanned = computed_once(df, **computed).select(
+        *df.columns, F.expr(f"{modifier} AS _modifier"), F.expr(matched_rules("_flags", rules)).alias("matched")
+    )
+    return _scored(scanned, whole)
 
 
 def score_matched(
     df: DataFrame, text: str = "text", path: str | None = None, whole: bool = True
 ) -> DataFrame:
     """The same for a frame that already holds ``matched``, which is dropped."""
-    kept = [c for c in df.columns if c != "matched"]
+    modifier = path_modifier(ident(path), ident(text)) if path else "0"
+    return _scored(computed_once(df, _modifier=modifier), whole)
+
+
+def _scored(df: DataFrame, whole: bool) -> DataFrame:
+    kept = [c for c in df.columns if c not in ("matched", "_modifier")]
     matched = F.col("matched")
-    modifier = F.expr(path_modifier(ident(path), ident(text))) if path else F.lit(0)
-    raw = floored_score(matched) + modifier + count_bonus(finding_count(matched))
+    raw = floored_score(matched) + F.col("_modifier") + count_bonus(finding_count(matched))
     clamped = F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw))
     scored = df.select(
         *kept,
