@@ -9,7 +9,7 @@ from textwarden.functions.sqltext import lit
 
 #: Order of sources: repository files come before personal settings.
 REPO_RANK, SETTINGS_RANK = 0, 1
-DEFAULT_FILE_NAME = ".textwarden.json"
+DEFAULT_FILE_NAME = "textwarden.json"
 
 RAW_COLUMNS = (
     "repo_id", "source_rank", "folder", "pos", "id", "label", "regex", "flags", "placeholder",
@@ -22,16 +22,14 @@ def load_rule_files(
 ) -> DataFrame:
     """``(repo_id, folder, content)`` of every rule file below ``path``.
 
-    The folder that holds the file names the repository.  A repository without a file
+    The folder that holds the file names the repository.  Spark lists no files whose name
+    starts with a dot, so neither may these.  A repository without a file
     simply has no row, hence no rules.
     """
     files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", file_name)
-        .option("ignoreMissingFiles", True)
+        spark.read.option("ignoreMissingFiles", True)
         .option("ignoreCorruptFiles", True)
-        .text(path)
+        .text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=file_name)
     )
     folder = F.regexp_replace(F.col("_metadata.file_path"), r"/[^/]*\z", "")
     return files.select(
