@@ -94,3 +94,15 @@ def test_diagnostics_skip_large_and_excluded_units(units):
     assert [(r.path, r.message, r.severity, r.code) for r in rows] == [
         ("/a/x.ts", "Sensitive data detected: IP address", "Warning", "ip_address")
     ]
+
+
+def test_many_hits_in_one_text(units):
+    """More hits than a block holds, in one text; also fast enough to be linear."""
+    lines = [f"10.0.{i // 250}.{i % 250}" + ("\r\n" if i % 3 else " ") for i in range(20_000)]
+    text = "".join(lines)
+    rows = span_positions(units([text])).filter("pattern_id = 'ip_address'").orderBy("start").collect()
+    found = [(m.start(), m.end()) for m in re.finditer(r"\b\d{1,3}(?:\.\d{1,3}){3}\b", text)]
+    assert [(r.start, r.end) for r in rows] == found
+    for r in rows[::997]:
+        assert (r.line, r.character) == _position(text, r.start)
+        assert (r.end_line, r.end_character) == _position(text, r.end)

@@ -137,7 +137,7 @@ _FOLDED_NEEDLES: dict[str, tuple[tuple[str, ...], ...]] = {
 _PROBES = {
     "ip_address": r"[0-9]\.[0-9]",
     "heroku_api_key": r"-[0-9a-f]{4}-",
-    "high_entropy_base64": r"[A-Za-z0-9+/]{40,}+",
+    "high_entropy_base64": r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}",
     "us_ssn": r"-[0-9]{2}-",
     "credit_card_luhn": r"[0-9]{4}[- ]?[0-9]{4}",
 }

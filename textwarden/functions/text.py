@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from textwarden.functions.dialect import space_class
 from textwarden.functions.rules import MAX_TEXT_BYTES
 
-NEWLINE = r"\r\n|\n|\r"
-
 
 def is_blank(text: Column) -> Column:
     """Empty, or nothing but white space in the JavaScript sense; null counts as blank."""

@@ -1,9 +1,13 @@
 """Exact spans of findings, their line positions, and single-span rewrites.
 
 Offsets are 0-based code points, the end exclusive.  Everything happens inside the
-row: no shuffle, and texts no rule hits are filtered out first.  Per matched rule
-the text is cut into hits and the gaps between them; one fold over both gives the
-offsets, and line positions along with them, in time linear in the text.
+row: no shuffle, and texts no rule hits are filtered out first.
+
+Per matched rule the text is cut into hits and the gaps between them, and each piece
+is measured.  Measures add up, so offsets are running sums; line positions are too,
+where a piece with a line end starts counting characters anew.  The sums are taken in
+blocks, then over the blocks: an array grown one element at a time is copied each
+time, which for a log file with a million hits would never end.
 """
 
 from __future__ import annotations
@@ -16,110 +20,127 @@ from pyspark.sql import functions as F
 from textwarden.functions.detect import with_matched
 from textwarden.functions.rewrite import replace_span
 from textwarden.functions.rules import MAX_TEXT_BYTES, Rule, builtin_rules
-from textwarden.functions.text import NEWLINE, utf16_length
+from textwarden.functions.sqltext import ident
+from textwarden.functions.text import utf16_length
 from textwarden.sources.corpus import is_excluded, size_gate
 
-_SPAN = "struct<start:int,ord:int,end:int,pattern_id:string,label:string>"
-_PLACED = (
-    "struct<start:int,ord:int,end:int,pattern_id:string,label:string,"
-    "line:int,character:int,end_line:int,end_character:int>"
-)
-
-
-def _pieces(text: Column, rule: Column) -> Column:
-    """Hits of the rule with the gap before and the gap after each."""
-    return F.struct(
-        rule["ord"].alias("ord"),
-        rule["id"].alias("id"),
-        rule["label"].alias("label"),
-        F.regexp_extract_all(text, rule["regex"], F.lit(0)).alias("hits"),
-        F.split(text, rule["regex"], -1).alias("gaps"),
-    )
+_BLOCK = 256
+_RULE = "'ord', p.ord, 'id', p.id, 'label', p.label"
+_PLACE = "struct<at:int,line:int,character:int>"
+_MARK = f"array<struct<begin:{_PLACE},fin:{_PLACE}>>"
 
 
-def _until_empty(hits: Column) -> Column:
-    """The hits before the first empty one, which ends the scan of its rule."""
-    empty = F.array_position(hits, "").cast("int")
-    return F.when(empty > 0, F.slice(hits, F.lit(1), F.greatest(empty - 1, F.lit(0)))).otherwise(hits)
+def _place(at: str, line: str, character: str) -> str:
+    return f"named_struct('at', {at}, 'line', {line}, 'character', {character})"
 
 
-def _segments(piece: Column) -> Column:
-    gaps = piece["gaps"]
-    return F.transform(
-        _until_empty(piece["hits"]),
-        lambda hit, i: F.struct(
-            F.get(gaps, i).alias("gap"), hit.alias("hit"), F.get(gaps, i + 1).alias("after")
-        ),
+def _advance(place: tuple[str, str, str], measure: str) -> tuple[str, str, str]:
+    """Offset, line and character behind a measured piece of text."""
+    at, line, character = place
+    return (
+        f"{at} + {measure}.at",
+        f"{line} + {measure}.line",
+        f"if({measure}.line > 0, {measure}.tail, {character} + {measure}.at)",
     )
 
 
-def _span_fields(piece: Column, start: Column, end: Column) -> list[Column]:
-    return [
-        start.alias("start"),
-        piece["ord"].alias("ord"),
-        end.alias("end"),
-        piece["id"].alias("pattern_id"),
-        piece["label"].alias("label"),
-    ]
+def _shift(base: str, place: str) -> tuple[str, str, str]:
+    """A place counted from ``base``, counted from the start of the text."""
+    return (
+        f"{base}.at + {place}.at",
+        f"{base}.line + {place}.line",
+        f"{place}.character + if({place}.line > 0, 0, {base}.character)",
+    )
 
 
-def _fold(piece: Column) -> Column:
-    def step(state: Column, seg: Column) -> Column:
-        start = state["at"] + F.length(seg["gap"])
-        end = start + F.length(seg["hit"])
-        span = F.struct(*_span_fields(piece, start, end))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+def _of(place: str) -> tuple[str, str, str]:
+    return f"{place}.at", f"{place}.line", f"{place}.character"
 
-    first = F.struct(
-        F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out")
-    )
-    return F.aggregate(_segments(piece), first, step, lambda state: state["out"])
+
+_START = _place("0", "0", "0")
 
 
-def _advance(line: Column, character: Column, part: Column, following: Column):
-    """Line and character after ``part``.
+def _measure(part: str, following: str, positions: bool) -> str:
+    r"""Length of the part, the line ends in it, and the characters behind the last.
 
-    A line end is ``\\r\\n``, ``\\n`` or ``\\r``.  A ``\\r`` closing the part is only half
-    of one when the next character is ``\\n``: it then counts with the next part.
+    A line end is ``\r\n``, ``\n`` or ``\r``.  A ``\r`` closing the part is only half of
+    one when the next character is ``\n``: it then counts with the next part.
     """
-    halved = part.endswith("\r") & following.startswith("\n")
-    breaks = F.regexp_count(part, F.lit(NEWLINE)) - F.when(halved, 1).otherwise(0)
-    whole = F.when(halved, F.substring(part, F.lit(1), F.length(part) - 1)).otherwise(part)
-    tail = F.substring_index(F.substring_index(whole, "\n", -1), "\r", -1)
-    tail_length = F.length(tail) + F.when(halved, 1).otherwise(0)
+    if not positions:
+        return f"named_struct('at', length({part}), 'line', 0, 'tail', 0)"
+
+    def count(what: str) -> str:
+        return f"(length({part}) - length(replace({part}, '{what}', '')))"
+
+    halved = f"(endswith({part}, '\\r') AND startswith({following}, '\\n'))"
+    returns = f"{count(r'\r')} - {count(r'\r\n')} div 2 - int({halved})"
+    breaks = f"int({count(r'\n')} + if(contains({part}, '\\r'), {returns}, 0))"
+    whole = f"if({halved}, left({part}, length({part}) - 1), {part})"
+    tail = f"substring_index(substring_index({whole}, '\\n', -1), '\\r', -1)"
     return (
-        (line + breaks).cast("int"),
-        F.when(breaks > 0, tail_length).otherwise(character + F.length(part)).cast("int"),
+        f"named_struct('at', length({part}), 'line', {breaks}, "
+        f"'tail', length({tail}) + int({halved}))"
     )
 
 
-def _fold_placed(piece: Column) -> Column:
-    def step(state: Column, seg: Column) -> Column:
-        start = state["at"] + F.length(seg["gap"])
-        end = start + F.length(seg["hit"])
-        line, character = _advance(state["line"], state["character"], seg["gap"], seg["hit"])
-        end_line, end_character = _advance(line, character, seg["hit"], F.coalesce(seg["after"], F.lit("")))
-        span = F.struct(
-            *_span_fields(piece, start, end),
-            line.alias("line"),
-            character.alias("character"),
-            end_line.alias("end_line"),
-            end_character.alias("end_character"),
-        )
-        return F.struct(
-            end.alias("at"),
-            end_line.alias("line"),
-            end_character.alias("character"),
-            F.concat(state["out"], F.array(span)).alias("out"),
-        )
-
-    first = F.struct(
-        F.lit(0).alias("at"),
-        F.lit(0).alias("line"),
-        F.lit(0).alias("character"),
-        F.array().cast(f"array<{_PLACED}>").alias("out"),
+def _pieces(text: str, matched: str) -> str:
+    """Per matched rule its hits and the gaps around them."""
+    return (
+        f"transform({matched}, p -> named_struct({_RULE}, "
+        f"'hits', regexp_extract_all({text}, p.regex, 0), 'gaps', split({text}, p.regex, -1)))"
     )
-    return F.aggregate(_segments(piece), first, step, lambda state: state["out"])
+
+
+def _segments(positions: bool) -> str:
+    """Per hit the measures of the gap before it and of the hit; an empty hit ends its rule."""
+    empty = "array_position(p.hits, '')"
+    hits = f"if({empty} > 0, slice(p.hits, 1, int({empty}) - 1), p.hits)"
+    gap = _measure("get(p.gaps, i)", "hit", positions)
+    hit = _measure("hit", "coalesce(get(p.gaps, i + 1), '')", positions)
+    measured = f"transform({hits}, (hit, i) -> named_struct('gap', {gap}, 'hit', {hit}))"
+    return f"transform(_pieces, p -> named_struct({_RULE}, 'segments', {measured}))"
+
+
+def _blocks() -> str:
+    """Per block the places of its hits, counted from its start, and the place it ends at."""
+    begin = _advance(_of("state.fin"), "seg.gap")
+    fin = _advance(begin, "seg.hit")
+    mark = f"named_struct('begin', {_place(*begin)}, 'fin', {_place(*fin)})"
+    first = f"named_struct('fin', {_START}, 'marks', CAST(array() AS {_MARK}))"
+    step = f"named_struct('fin', {_place(*fin)}, 'marks', concat(state.marks, array({mark})))"
+    heads = (
+        f"if(size(p.segments) > 0, sequence(1, size(p.segments), {_BLOCK}), CAST(array() AS array<int>))"
+    )
+    folded = f"aggregate(slice(p.segments, head, {_BLOCK}), {first}, (state, seg) -> {step})"
+    return (
+        f"transform(_segments, p -> named_struct({_RULE}, "
+        f"'blocks', transform({heads}, head -> {folded})))"
+    )
+
+
+def _bases() -> str:
+    """The place each block starts at, next to the blocks."""
+    step = (
+        f"named_struct('here', {_place(*_shift('state.here', 'block.fin'))}, "
+        "'bases', concat(state.bases, array(state.here)))"
+    )
+    first = f"named_struct('here', {_START}, 'bases', CAST(array() AS array<{_PLACE}>))"
+    folded = f"aggregate(p.blocks, {first}, (state, block) -> {step}, state -> state.bases)"
+    return f"transform(_blocks, p -> named_struct({_RULE}, 'blocks', p.blocks, 'bases', {folded}))"
+
+
+def _spans(positions: bool) -> str:
+    begin, fin = _shift("base", "mark.begin"), _shift("base", "mark.fin")
+    fields = [
+        ("start", begin[0]), ("ord", "p.ord"), ("end", fin[0]), ("pattern_id", "p.id"), ("label", "p.label"),
+    ]
+    if positions:
+        fields += [
+            ("line", begin[1]), ("character", begin[2]), ("end_line", fin[1]), ("end_character", fin[2]),
+        ]
+    span = "named_struct(" + ", ".join(f"'{name}', {sql}" for name, sql in fields) + ")"
+    placed = f"zip_with(p.blocks, p.bases, (block, base) -> transform(block.marks, mark -> {span}))"
+    return f"array_sort(flatten(transform(_based, p -> flatten({placed}))))"
 
 
 def with_spans(
@@ -139,12 +160,17 @@ def with_spans(
     else:
         found = with_matched(df, rules, text, only_found=True)
     kept = [c for c in found.columns if c != name]
-    pieces = found.select(
-        *kept, F.transform(name, lambda rule: _pieces(F.col(text), rule)).alias("_pieces")
-    )
-    fold = _fold_placed if positions else _fold
-    spans = F.array_sort(F.flatten(F.transform("_pieces", fold)))
-    return pieces.select(*kept, spans.alias("spans"))
+    steps = {
+        "_pieces": _pieces(ident(text), ident(name)),
+        "_segments": _segments(positions),
+        "_blocks": _blocks(),
+        "_based": _bases(),
+        "spans": _spans(positions),
+    }
+    # Each step reads the one before more than once, hence a column for each.
+    for column, step in steps.items():
+        found = found.select(*kept, F.expr(step).alias(column))
+    return found
 
 
 def detect_spans(
