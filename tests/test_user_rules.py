@@ -101,6 +101,8 @@ def test_each_unit_meets_its_own_repository(spark):
     assert scored == {
         1: (["IP address", "Rule 1"], 75.0), 2: (["Rule 1"], 60.0), 3: ([], 0.0), 4: ([], 0.0), 5: (["Email"], 10.0)
     }
+    salted = score_matched(match_repo_rules(units, rules, salts=3), whole=False).collect()
+    assert {r.doc_id: (r.findings, r.score) for r in salted} == scored
     clean = {r.doc_id: r.sanitized for r in sanitize_matched(matched).collect()}
     assert clean == {1: "<A> <IP_ADDRESS>", 2: "<WORD1>", 3: "word1", 4: "none", 5: "word1 <EMAIL>"}
 

@@ -144,19 +144,31 @@ def collect_rules(rules: DataFrame) -> tuple[Rule, ...]:
 
 
 def match_repo_rules(
-    units: DataFrame, rules: DataFrame, key: str = "repo_id", text: str = "text"
+    units: DataFrame,
+    rules: DataFrame,
+    key: str = "repo_id",
+    text: str = "text",
+    salts: int = 1,
 ) -> DataFrame:
     """Adds ``matched`` and ``repo_rules`` to units scanned with their own repository's rules.
 
     The rules of a repository become one row before the join.  Whether that side is
     small enough to broadcast is left to its statistics; if not, adaptive execution
-    splits the partitions of a repository that holds most of the texts.
+    splits the partitions of a repository that holds most of the texts.  Where that is
+    switched off, ``salts`` spreads every repository over so many keys, at the price of
+    as many copies of its rules.
     """
     fields = ("ord", "id", "label", "risk", "critical", F.col("java_regex").alias("regex"), "replacement")
     per_repo = rules.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct(*fields))).alias("repo_rules")
     )
-    joined = units.join(per_repo, key, "left")
+    if salts > 1:
+        salt = F.pmod(F.xxhash64(F.col(text)), F.lit(salts)).alias("_salt")
+        salted = per_repo.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+        salted = salted.withColumn("_salt", F.col("_salt").cast("bigint"))
+        joined = units.select("*", salt).join(salted, [key, "_salt"], "left")
+    else:
+        joined = units.join(per_repo, key, "left")
     own = (
         f"transform(filter(coalesce(repo_rules, array()), r -> rlike({ident(text)}, r.regex)), "
         "r -> named_struct('ord', r.ord, 'id', r.id, 'label', r.label, 'risk', r.risk, "

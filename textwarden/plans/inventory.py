@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textwarden.operators.manifests import (
-    contributed_commands, manifest_commands, manifest_features, menu_contributions,
+    contributed_commands, manifest_commands, manifest_features, menu_contributions, source_listing,
 )
 from textwarden.plans.registry import Query
 
@@ -89,3 +89,12 @@ QUERIES["manifest_features"] = Query(
     UNION ALL SELECT 'menu', 'Context menu contributions for editor/context', count(*), 0 FROM good
     UNION ALL SELECT 'configuration', 'User-configurable settings', count(*), 0 FROM good WHERE c_custkey % 3 = 0""",
 )
+
+
+def _listing(spark, sf_dir):
+    """The files that hold the tables, listed without reading them."""
+    files = source_listing(spark, sf_dir, "*.parquet")
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "n_bytes")
+
+
+QUERIES["source_listing"] = Query(_listing)

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textwarden.functions import dialect
-from textwarden.functions.detect import detect_labels, finding_occurrences, has_findings
-from textwarden.functions.risk import path_context, path_modifier, risk_text, score_units
+from textwarden.functions.detect import (
+    detect_labels, finding_occurrences, has_findings, with_matched,
+)
+from textwarden.functions.risk import (
+    base_score, count_bonus, floored_score, path_context, path_modifier, risk_text, score_units,
+)
 from textwarden.functions.rewrite import sanitize, sanitize_corpus, sanitize_range
 from textwarden.functions.rules import builtin_rules, rules_frame
 from textwarden.operators.gate import (
     alerts, apply_actions, gate_report, gate_verdict, status_summary,
 )
 from textwarden.operators.spans import (
-    detect_spans, diagnostics_rows, sanitize_first_span, span_positions, utf16_offset,
+    detect_spans, diagnostics_rows, sanitize_first_span, sanitize_span, span_positions, utf16_offset,
 )
+from textwarden.operators.staging import shared_folder
 from textwarden.operators.stats import (
     risk_pivot, risk_summary, rule_hit_cube, rule_hit_rollup, rule_hit_stats,
 )
@@ -25,7 +33,8 @@ from textwarden.plans.fixtures import (
 )
 from textwarden.plans.registry import Query
 from textwarden.sources.corpus import (
-    blank_gate, exclude_globs, glob_regex, ignore_paths, scan_corpus, size_gate, with_size_status,
+    blank_gate, changed_only, exclude_globs, glob_regex, ignore_paths, is_excluded, scan_corpus,
+    size_gate, with_size_status, write_clean_copy,
 )
 
 QUERIES: dict[str, Query] = {}
@@ -301,8 +310,6 @@ QUERIES["sanitize_text_pages"] = Query(_sanitize(pages), _sanitize_sql(PAGES_SQL
 
 
 def _sanitize_excluded(spark, sf_dir):
-    from textwarden.sources.corpus import is_excluded
-
     units = planted(spark, sf_dir).select("doc_id", "path", "text")
     rows = sanitize_corpus(units, excluded=is_excluded(F.col("path"), GLOBS))
     return rows.select("doc_id", "path", "sanitized", "changed")
@@ -362,8 +369,6 @@ QUERIES["sanitize_first_span"] = Query(
 
 
 def _sanitize_each_span(spark, sf_dir):
-    from textwarden.operators.spans import sanitize_span
-
     rows = detect_spans(planted(spark, sf_dir).select("doc_id", "text"), keep=("doc_id", "text"))
     done = sanitize_span(rows)
     return done.select(
@@ -575,8 +580,6 @@ QUERIES["gate_report"] = Query(
 
 
 def _changed_only(spark, sf_dir):
-    from textwarden.sources.corpus import changed_only
-
     return changed_only(_changes(spark, sf_dir)).select("doc_id", "path", "change_type")
 
 
@@ -684,6 +687,49 @@ QUERIES["builtin_rules"] = Query(
 )
 
 
+def _clean_copy(spark, sf_dir):
+    """Writes the sanitized documents to the shared folder and reads them back."""
+    folder = os.path.join(shared_folder(spark), f"clean-{uuid.uuid4().hex}")
+    units = planted(spark, sf_dir).select("doc_id", "source", "text")
+    write_clean_copy(sanitize_corpus(units), folder)
+    copy = spark.read.parquet(folder)
+    return copy.select("doc_id", "source", F.md5("text").alias("clean_md5"), "changed")
+
+
+QUERIES["clean_copy"] = Query(
+    _clean_copy,
+    f"WITH units AS ({PLANTED_SQL}), done AS (SELECT doc_id, source, text, {sql.rewrite('text')} "
+    "AS clean FROM units) SELECT doc_id, source, md5(clean) AS clean_md5, text <> clean AS changed FROM done",
+)
+
+
+def _risk_parts(spark, sf_dir):
+    """The score taken apart: sum, floor, path, bonus."""
+    found = with_matched(planted(spark, sf_dir).select("doc_id", "path", "text"))
+    matched = F.col("matched")
+    return found.select(
+        "doc_id",
+        base_score(matched).cast("bigint").alias("base"),
+        floored_score(matched).cast("bigint").alias("floored"),
+        F.expr(f"bigint({path_modifier()})").alias("modifier"),
+        count_bonus(F.size(matched)).cast("bigint").alias("bonus"),
+    )
+
+
+QUERIES["risk_parts"] = Query(
+    _risk_parts,
+    f"""WITH units AS ({PLANTED_SQL}), rules AS ({sql.rules_values()}), hits AS ({sql.hits('units')}),
+    sums AS (SELECT u.doc_id, count(r.ord) AS n, coalesce(sum(r.risk), 0) AS base,
+      coalesce(bool_or(r.critical), false) AS critical FROM units u LEFT JOIN hits h
+      ON u.doc_id = h.doc_id LEFT JOIN rules r ON h.ord = r.ord GROUP BY u.doc_id)
+    SELECT u.doc_id, CAST(base AS BIGINT) AS base,
+      CAST(CASE WHEN critical THEN greatest(base, 60) ELSE base END AS BIGINT) AS floored,
+      CAST({sql.path_modifier('u.path', 'u.text')} AS BIGINT) AS modifier,
+      CAST(CASE WHEN n >= 4 THEN 35 WHEN n >= 2 THEN 20 ELSE 0 END AS BIGINT) AS bonus
+    FROM units u JOIN sums s ON u.doc_id = s.doc_id""",
+)
+
+
 def _scan_and_copy(spark, sf_dir):
     """Gate, scan, score and clean in one plan."""
     units = blank_gate(size_gate(planted(spark, sf_dir), 8192))

@@ -29,6 +29,7 @@ POLL_INTERVAL = "200 milliseconds"
 ROW_SCHEMA = (
     "owner STRING, seq BIGINT, ts TIMESTAMP, kind STRING, text STRING, path STRING, choice STRING"
 )
+_PARTITIONS = "spark.sql.shuffle.partitions"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _EMPTY_KEY = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
@@ -164,9 +165,18 @@ def alert_rate(alerts: DataFrame, length: str = "5 minutes", lateness: str | Non
 
 
 def write_stream(
-    df: DataFrame, path: str, checkpoint: str, once: bool = False, poll: str = POLL_INTERVAL
+    df: DataFrame,
+    path: str,
+    checkpoint: str,
+    once: bool = False,
+    poll: str = POLL_INTERVAL,
+    state_partitions: int | None = None,
 ) -> StreamingQuery:
-    """Appends a stream to parquet; ``once`` works off what is there and stops."""
+    """Appends a stream to parquet; ``once`` works off what is there and stops.
+
+    ``state_partitions`` is how many parts the state is kept in; it holds for the life of
+    the checkpoint, so it should suit the owners expected, not those of the first day.
+    """
     writer = (
         df.writeStream.format("parquet")
         .outputMode("append")
@@ -174,7 +184,12 @@ def write_stream(
         .option("checkpointLocation", checkpoint)
     )
     timing = {"availableNow": True} if once else {"processingTime": poll}
-    return writer.trigger(**timing).start()
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(_PARTITIONS)
+    conf.set(_PARTITIONS, str(state_partitions or before))
+    try:
+        return writer.trigger(**timing).start()
+    finally:
+        conf.set(_PARTITIONS, before)
 
 
 def scan_stream(
