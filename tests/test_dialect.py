@@ -131,3 +131,30 @@ def test_literal_matches_itself_only(text):
     portable = re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08X}", java_like)
     assert regex.fullmatch(portable, text)
     assert not regex.fullmatch(portable, text + "x")
+
+
+NEEDLES = [
+    (r"foo\bbar", "", "foobar"), (r"\bThat\s+and\b", "", "That"), (r"a|bcd", "", None), (r"x(abc)?", "", None),
+    (r"x(?:abc)+y", "", "abc"), (r"(abc|d)ef", "", "ef"), (r"(?!secret)key", "", "key"), (r"ab*cd", "", "cd"),
+    (r"FooBar", "i", "foobar"), (r"fé", "i", None), (r"fé", "", "fé"), (r"[ab]{3}", "", None), (r"(?:abc){0}de", "", "de"),
+    (r"(?<=abc)de", "", "de"), (r"\u0041BC", "", "ABC"), (r"(a(bcd)e)\1", "", "bcd"), (r"ab{2}cde", "", "cde"),
+]
+
+
+def test_needles_are_what_every_match_holds():
+    assert [translate(p, f).needle for p, f, _ in NEEDLES] == [n for _, _, n in NEEDLES]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "c", "(", ")", "|", "?", "*", "+", "{2}", "[ab]", "(?:", "."]), min_size=1, max_size=9),
+       st.text("abc", min_size=0, max_size=10))
+def test_no_match_lacks_its_needle(pieces, text):
+    import regex
+
+    try:
+        done = translate("".join(pieces))
+    except RegexError:
+        return
+    found = regex.search("".join(pieces), text)
+    if found and done.needle:
+        assert done.needle in found.group(0)

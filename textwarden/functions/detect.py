@@ -28,16 +28,23 @@ def needle_gate(text: str, rule: Rule) -> str | None:
     return all_of(groups) if groups else None
 
 
+def cheap_tests(text: str, rule: Rule) -> list[str]:
+    """Tests on the text itself that pass wherever the rule hits, but for its needles."""
+    tests = [
+        any_of(f"contains(lower({text}), {lit(n)})" for n in group) for group in rule.folded_needles
+    ]
+    if rule.probe:
+        tests.append(f"rlike({text}, {lit(rule.probe)})")
+    if not tests and not rule.needles and rule.derived_needle:
+        needle, folded = rule.derived_needle
+        tests.append(f"contains({f'lower({text})' if folded else text}, {lit(needle)})")
+    return tests
+
+
 def hit(text: str, rule: Rule) -> str:
     """Test whether the rule hits the text; cheap necessary tests come first."""
-    tests = []
     gate = needle_gate(text, rule)
-    if gate is not None:
-        tests.append(gate)
-    for group in rule.folded_needles:
-        tests.append(any_of(f"contains(lower({text}), {lit(n)})" for n in group))
-    if rule.probe:
-        tests.append(f"rlike({text}, {lit(rule.probe)})")
+    tests = ([gate] if gate else []) + cheap_tests(text, rule)
     tests.append(f"rlike({text}, {lit(rule.detector())})")
     return f"coalesce({all_of(tests)}, false)"
 

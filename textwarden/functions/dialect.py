@@ -36,6 +36,9 @@ class Translated:
     pattern: str
     groups: int
     names: dict[str, int]
+    #: Text every match holds, in lower case if ``folded``; None if nothing is certain.
+    needle: str | None = None
+    folded: bool = False
 
 
 @dataclass
@@ -51,6 +54,8 @@ class _Part:
     assertion: bool = False
     repeatable: bool = True
     unbounded: bool = False
+    char: str | None = None
+    must: str = ""
 
 
 def _code(point: int, target: str) -> str:
@@ -102,7 +107,10 @@ class _Reader:
         text = part.text
         if self.ignore_case and self.target == JAVA:
             text = f"(?i:{text})"
-        return Translated(text, self.total, self.names)
+        needle, folded = part.must, self.ignore_case
+        if folded:
+            needle = needle.lower() if needle.isascii() else ""
+        return Translated(text, self.total, self.names, needle if len(needle) > 1 else None, folded)
 
     def _group_openers(self):
         """(index, name) of each capturing group, left to right."""
@@ -171,8 +179,21 @@ class _Reader:
             ends_word=bool(solid) and solid[-1].ends_word and not solid[-1].nullable,
             nullable=all(p.nullable for p in solid),
             unbounded=any(p.unbounded for p in parts),
+            must=self._certain(parts),
         )
 
+    @staticmethod
+    def _certain(parts: list[_Part]) -> str:
+        """The longest text that is there whenever the sequence matches."""
+        best = run = ""
+        for part in parts:
+            if part.char is not None:
+                run += part.char
+            elif not part.assertion:
+                run = ""
+            best = max(best, run, part.must, key=len)
+        return best
+
     def _boundary(self, parts: list[_Part], i: int) -> str:
         """An ASCII word boundary; one-sided where a neighbour decides the other side."""
         if self.target == RE2:
@@ -253,6 +274,7 @@ class _Reader:
             assertion=assertion,
             repeatable=not (assertion and (behind or self.unicode)),
             unbounded=body.unbounded,
+            must="" if assertion else body.must,
         )
 
     def _repeat(self, part: _Part) -> _Part:
@@ -276,6 +298,7 @@ class _Reader:
         return _Part(
             text + token, part.starts_word, part.first, part.ends_word, part.nullable or least == 0,
             assertion=part.assertion, unbounded=part.unbounded or bool(endless),
+            must=part.must if least else "",
         )
 
     # -- atoms -------------------------------------------------------------
@@ -284,8 +307,8 @@ class _Reader:
         other = ch.swapcase() if self.ignore_case else ch
         if other != ch and len(other) == 1 and (self.target == RE2 or ord(ch) > 0x7F):
             both = literal(ch, self.target) + literal(other, self.target)
-            return _Part(f"[{both}]", word, both, word)
-        return _Part(literal(ch, self.target), word, literal(ch, self.target), word)
+            return _Part(f"[{both}]", word, both, word, char=ch)
+        return _Part(literal(ch, self.target), word, literal(ch, self.target), word, char=ch)
 
     def _escape(self) -> _Part:
         ch = self._peek()

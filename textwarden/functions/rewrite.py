@@ -3,7 +3,8 @@
 Each rule rewrites the output of the one before, so the chain is never reordered
 or merged.  A step is skipped where cheap tests show that its rule cannot hit:
 
-* Probes are tested on the running text, and hit wherever the rule does.
+* Probes, and literals read off a user rule's regex, are tested on the running text, and
+  are found wherever the rule hits.
 * Needles of built-in rules are tested on the *original* text.  Every rewrite by a
   built-in rule puts in ``<NAME>``, needles hold neither ``<`` nor ``>`` and occur in
   no placeholder, so a needle in the running text is a needle of the original.
@@ -18,9 +19,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.functions.detect import needle_gate
+from textwarden.functions.detect import cheap_tests, needle_gate
 from textwarden.functions.rules import BUILTIN_COUNT, Rule, builtin_rules
-from textwarden.functions.sqltext import all_of, any_of, computed_once, ident, lit
+from textwarden.functions.sqltext import all_of, computed_once, ident, lit
 
 
 def rewrite_once(text: str, rule: Rule) -> str:
@@ -31,13 +32,8 @@ def rewrite_once(text: str, rule: Rule) -> str:
 
 def _step(original: str, rule: Rule, gated: bool) -> str:
     """The rule applied to the running text ``t``, skipped where it cannot hit."""
-    tests = []
-    if gated and rule.needles:
-        tests.append(needle_gate(original, rule))
-    for group in rule.folded_needles:
-        tests.append(any_of(f"contains(lower(t), {lit(n)})" for n in group))
-    if rule.probe:
-        tests.append(f"rlike(t, {lit(rule.probe)})")
+    tests = [needle_gate(original, rule)] if gated and rule.needles else []
+    tests += cheap_tests("t", rule)
     done = rewrite_once("t", rule)
     return f"if({all_of(tests)}, {done}, t)" if tests else done
 

@@ -163,6 +163,12 @@ class Rule:
     def detector(self, target: str = dialect.JAVA) -> str:
         return dialect.translate(self.regex, self.flags, target).pattern
 
+    @cached_property
+    def derived_needle(self) -> tuple[str, bool] | None:
+        """(text every hit holds, whether case is ignored), read off the regex."""
+        regex = dialect.translate(self.regex, self.flags)
+        return (regex.needle, regex.folded) if regex.needle else None
+
     def rewriter(self, target: str = dialect.JAVA) -> tuple[str, str]:
         """(pattern, replacement) applied when text is rewritten."""
         source, template = self.regex, self.placeholder

@@ -33,7 +33,10 @@ MAX_LITERAL_RULES = 500
 
 
 _COMPILED = T.StructType(
-    [T.StructField(name, T.StringType()) for name in ("java_regex", "replacement", "error")]
+    [
+        T.StructField(name, T.StringType())
+        for name in ("java_regex", "replacement", "needle", "error")
+    ]
 )
 
 
@@ -42,12 +45,13 @@ def _compiled(regex: pd.Series, flags: pd.Series, placeholder: pd.Series) -> pd.
     def one(source: str, marks: str, template: str):
         try:
             done = dialect.translate(source, marks)
-            return done.pattern, dialect.replacement(template, done), None
+            needle = None if done.folded else done.needle
+            return done.pattern, dialect.replacement(template, done), needle, None
         except dialect.RegexError as problem:
-            return None, None, str(problem)
+            return None, None, None, str(problem)
 
     rows = [one(*row) for row in zip(regex, flags, placeholder)]
-    return pd.DataFrame(rows, columns=["java_regex", "replacement", "error"])
+    return pd.DataFrame(rows, columns=["java_regex", "replacement", "needle", "error"])
 
 
 def numbered(raw: DataFrame, max_custom: int | None = MAX_CUSTOM_RULES, key: str | None = "repo_id") -> DataFrame:
@@ -95,6 +99,7 @@ def compile_rules(
         F.coalesce("flags", F.lit("g")).alias("flags"),
         F.col("_done.java_regex").alias("java_regex"),
         F.col("_done.replacement").alias("replacement"),
+        F.col("_done.needle").alias("needle"),
         F.coalesce("placeholder", F.lit(DEFAULT_PLACEHOLDER)).alias("placeholder"),
         F.expr("greatest(0D, least(100D, coalesce(risk_score, 0D)))").alias("risk"),
         F.coalesce("critical", F.lit(False)).alias("critical"),
@@ -143,6 +148,14 @@ def collect_rules(rules: DataFrame) -> tuple[Rule, ...]:
     return builtin_rules() + custom
 
 
+def _can_hit(text: str) -> str:
+    """Tests for the text a rule's hits all hold.
+
+    A regex that comes from the row is compiled for the row; this saves most of them.
+    """
+    return f"(r.needle IS NULL OR contains({text}, r.needle))"
+
+
 def match_repo_rules(
     units: DataFrame,
     rules: DataFrame,
@@ -158,7 +171,10 @@ def match_repo_rules(
     switched off, ``salts`` spreads every repository over so many keys, at the price of
     as many copies of its rules.
     """
-    fields = ("ord", "id", "label", "risk", "critical", F.col("java_regex").alias("regex"), "replacement")
+    fields = (
+        "ord", "id", "label", "risk", "critical", F.col("java_regex").alias("regex"),
+        "replacement", "needle",
+    )
     per_repo = rules.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct(*fields))).alias("repo_rules")
     )
@@ -170,7 +186,8 @@ def match_repo_rules(
     else:
         joined = units.join(per_repo, key, "left")
     own = (
-        f"transform(filter(coalesce(repo_rules, array()), r -> rlike({ident(text)}, r.regex)), "
+        f"transform(filter(coalesce(repo_rules, array()), r -> {_can_hit(ident(text))} "
+        f"AND rlike({ident(text)}, r.regex)), "
         "r -> named_struct('ord', r.ord, 'id', r.id, 'label', r.label, 'risk', r.risk, "
         "'critical', r.critical, 'regex', r.regex))"
     )
@@ -185,7 +202,7 @@ def sanitize_matched(matched: DataFrame, text: str = "text", out: str = "sanitiz
     """Rewrites units from ``match_repo_rules``: built-in rules first, then their own."""
     chain = (
         f"aggregate(coalesce(repo_rules, array()), {rewrite_chain(ident(text))}, "
-        "(done, r) -> regexp_replace(done, r.regex, r.replacement))"
+        f"(done, r) -> if({_can_hit('done')}, regexp_replace(done, r.regex, r.replacement), done))"
     )
     done = computed_once(matched, **{out: f"if(size(matched) > 0, {chain}, {ident(text)})"})
     return done.drop("repo_rules")
