@@ -103,6 +103,10 @@ def test_each_unit_meets_its_own_repository(spark):
     }
     salted = score_matched(match_repo_rules(units, rules, salts=3), whole=False).collect()
     assert {r.doc_id: (r.findings, r.score) for r in salted} == scored
+    shuffled = match_repo_rules(units, rules, max_broadcast=0)
+    assert "BroadcastHashJoin" in matched._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in shuffled._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: (r.findings, r.score) for r in score_matched(shuffled, whole=False).collect()} == scored
     clean = {r.doc_id: r.sanitized for r in sanitize_matched(matched).collect()}
     assert clean == {1: "<A> <IP_ADDRESS>", 2: "<WORD1>", 3: "word1", 4: "none", 5: "word1 <EMAIL>"}
 

@@ -22,6 +22,7 @@ from textwarden.functions.rules import (
     BUILTIN_COUNT, DEFAULT_PLACEHOLDER, MAX_CUSTOM_RULES, Rule, builtin_rules,
 )
 from textwarden.functions.sqltext import computed_once, ident
+from textwarden.operators.staging import BROADCAST_BYTES, broadcast_if_small
 from textwarden.sources.rule_files import definition_order
 
 # Python workers need the translator; they may not have this package installed.
@@ -162,14 +163,15 @@ def match_repo_rules(
     key: str = "repo_id",
     text: str = "text",
     salts: int = 1,
+    max_broadcast: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Adds ``matched`` and ``repo_rules`` to units scanned with their own repository's rules.
 
-    The rules of a repository become one row before the join.  Whether that side is
-    small enough to broadcast is left to its statistics; if not, adaptive execution
-    splits the partitions of a repository that holds most of the texts.  Where that is
-    switched off, ``salts`` spreads every repository over so many keys, at the price of
-    as many copies of its rules.
+    The rules of a repository become one row before the join.  If all of them measure at
+    most ``max_broadcast`` bytes they are broadcast and no text is moved.  Beyond that the
+    join shuffles, and adaptive execution splits the partitions of a repository that
+    holds most of the texts; where that is switched off, ``salts`` spreads every
+    repository over so many keys, at the price of as many copies of its rules.
     """
     fields = (
         "ord", "id", "label", "risk", "critical", F.col("java_regex").alias("regex"),
@@ -184,7 +186,7 @@ def match_repo_rules(
         salted = salted.withColumn("_salt", F.col("_salt").cast("bigint"))
         joined = units.select("*", salt).join(salted, [key, "_salt"], "left")
     else:
-        joined = units.join(per_repo, key, "left")
+        joined = units.join(broadcast_if_small(per_repo, max_broadcast), key, "left")
     own = (
         f"transform(filter(coalesce(repo_rules, array()), r -> {_can_hit(ident(text))} "
         f"AND rlike({ident(text)}, r.regex)), "

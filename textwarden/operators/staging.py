@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+#: Tables up to this size, as JSON text, are sent to every executor.
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,3 +35,14 @@ def stage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Writes the rows once, measures them, and marks them for broadcast if they are small.
+
+    Otherwise the join shuffles.  Without the measure Spark would have to guess the size
+    of a computed table, and could start to shuffle whole texts to meet a few rows.
+    """
+    kept = stage(df)
+    size = kept.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(kept) if size <= max_bytes else kept
