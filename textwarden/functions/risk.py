@@ -70,11 +70,15 @@ def _in_test_folder(path: str) -> str:
     return f"coalesce(contains({_normal(path)}, '/test/'), false)"
 
 
+def _vote(text: str, pattern: str, flags: str) -> str:
+    """1 if the regex hits, else 0; text the regex needs is looked for first."""
+    regex = dialect.translate(pattern, flags)
+    needed = f"contains({text}, {lit(regex.needle)}) AND " if regex.needle else ""
+    return f"int(coalesce({needed}rlike({text}, {lit(regex.pattern)}), false))"
+
+
 def _is_test_file(low: str, text: str) -> str:
-    votes = " + ".join(
-        f"int(coalesce(rlike({text}, {lit(dialect.translate(p, f).pattern)}), false))"
-        for p, f in TEST_CONTENT
-    )
+    votes = " + ".join(_vote(text, p, f) for p, f in TEST_CONTENT)
     by_content = f"({_matches(low, (TEST_DIRECTORY,))} AND ({votes}) >= {TEST_CONTENT_NEEDED})"
     return f"(NOT {_matches(low, NOT_TEST_PATHS)} AND ({_matches(low, TEST_PATHS)} OR {by_content}))"
 

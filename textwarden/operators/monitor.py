@@ -107,10 +107,13 @@ def monitor(
         sums={"opened": delta}, lows={"lowest": delta}, lasts={"last_tick": last_tick},
         width=width,
     )
-    flagged = counted.select(
-        *narrow.columns,
-        "last_tick",
-        F.expr("kind = 'tick' AND opened - least(0, coalesce(lowest, 0)) > 0").alias("suppressed"),
+    # Read three times below, so written once.
+    flagged = stage(
+        counted.select(
+            *[c for c in narrow.columns if c != "clean_key"],
+            "last_tick",
+            F.expr("kind = 'tick' AND opened - least(0, coalesce(lowest, 0)) > 0").alias("suppressed"),
+        )
     )
 
     written = (

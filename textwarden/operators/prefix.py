@@ -38,7 +38,9 @@ def prefix_scan(
     part = [*keys, "_chunk"]
     before = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    cut = df.select("*", F.floor(F.col(order) / F.lit(width)).alias("_chunk"))
+    place = F.col(order).cast("bigint")
+    chunk = F.expr(f"(_at - pmod(_at, {int(width)}L)) div {int(width)}L")
+    cut = df.select("*", place.alias("_at")).select(*df.columns, chunk.alias("_chunk"))
 
     # Within the chunk.
     local = cut.select(
