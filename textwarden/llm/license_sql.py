@@ -1,0 +1,49 @@
+"""The SQL twin of the licence scan, written from the same fixed tables."""
+
+from __future__ import annotations
+
+from textwarden.llm import license_rules as L
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _id(known: L.Sentence) -> str:
+    groups = known.pattern.count("(") - known.pattern.count("(?:")
+    caught = " || ".join(f"regexp_extract(s, {_q(known.pattern)}, {k + 1})" for k in range(groups))
+    if not groups:
+        return _q(known.id)
+    return f"CASE WHEN {caught} = '' THEN {_q(known.id)} ELSE {_q(known.id + ':')} || {caught} END"
+
+
+def _license_sql() -> str:
+    ids = " ".join(f"WHEN regexp_matches(s, {_q(k.pattern)}) THEN {_id(k)}" for k in L.SENTENCES)
+    steps, found = [], []
+    for k, rule in enumerate(L.RULES):
+        before = "seq" if k == 0 else f"r{k - 1}"
+        steps.append(
+            f"m{k + 1} AS (SELECT *, regexp_replace({before}, {_q(rule.pattern)}, '  ', 'g') AS r{k} FROM m{k})"
+        )
+        found.append(f"CASE WHEN regexp_matches({before}, {_q(rule.pattern)}) THEN {_q(rule.licence)} END")
+    last = f"r{len(L.RULES) - 1}"
+    return f"""
+WITH c AS (
+  SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), {_q(L.SPEAKS)}) THEN
+    list_filter(list_transform(string_split(regexp_replace(text, {_q(L._ENDS)}, chr(30), 'g'), chr(30)),
+      lambda s: trim(lower(regexp_replace(s, '[^A-Za-z0-9.+-]+', ' ', 'g')))),
+      lambda s: regexp_matches(s, {_q(L.SPEAKS_NORMAL)})) ELSE []::VARCHAR[] END AS sentences
+  FROM documents
+), i AS (
+  SELECT doc_id, list_transform(sentences, lambda s: CASE {ids} ELSE 'other' END) AS ids FROM c
+), m0 AS (
+  SELECT doc_id, ids, ' ' || array_to_string(ids, '  ') || ' ' AS seq FROM i
+), {", ".join(steps)}
+SELECT doc_id, len(ids) AS n_sentences, array_to_string(ids, ' ') AS sentence_ids,
+  array_to_string(list_sort(list_distinct(list_filter([{", ".join(found)}], lambda x: x IS NOT NULL))), ' AND ') AS licenses,
+  trim(regexp_replace({last}, ' +', ' ', 'g')) AS unmatched
+FROM m{len(L.RULES)}
+"""
+
+
+LICENSE_SQL = _license_sql()
