@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm import exact, license_rules, mixing, topk
+from textwarden.llm import exact, langid, license_rules, mixing, resample, topk, toxicity
 from textwarden.llm.license_sql import LICENSE_SQL
 from textwarden.plans.registry import Query
 
@@ -19,6 +19,37 @@ def id_remainder(key: str, modulus: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % modulus
 
 
+def _remainder_is(key: str, modulus: int, value: int) -> Column:
+    return F.coalesce(id_remainder(key, modulus) == value, F.lit(False))
+
+
+def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models from two thirds of the rows with a language; every row is predicted."""
+    docs = _documents(spark, sf_dir)
+    model = langid.train(docs.filter(id_remainder("doc_id", 3) != 1))
+    return langid.predict(docs, model).withColumnRenamed("key", "doc_id").select(
+        "doc_id", _remainder_is("doc_id", 3, 1).alias("held_out"), "lang_pred", "score",
+        F.size("mixture").alias("n_languages"),
+    )
+
+
+def op2_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents weighed by how much more they look like those labelled good than like all."""
+    docs = _documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return resample.resample(docs, resample.target_rows(docs, labels))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of four fifths of the ids are learned from; every document is scored."""
+    docs = _documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(id_remainder("doc_id", 5) != 0)
+    model = toxicity.train(docs, labels)
+    return toxicity.score(docs, model).select(
+        F.col("key").alias("doc_id"), _remainder_is("doc_id", 5, 0).alias("held_out"), "score", "predicted"
+    )
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(_documents(spark, sf_dir))
 
@@ -61,7 +92,10 @@ FROM s QUALIFY rank <= 20
 """
 
 QUERIES = {
+    "op1_language_mixture": Query(op1_language_mixture),
+    "op2_importance_resample": Query(op2_importance_resample),
     "op5_mixing": Query(op5_mixing),
+    "op6_toxicity": Query(op6_toxicity),
     "op8_exact_dedup": Query(op8_exact_dedup, _EXACT_SQL),
     "op9_license_scan": Query(op9_license_scan, LICENSE_SQL),
     "op10_top_k": Query(op10_top_k, _TOP_K_SQL),
