@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm import exact, langid, license_rules, mixing, resample, topk, toxicity
+from textwarden.llm import exact, langid, license_rules, mixing, odd_sketch, resample, topk, toxicity
 from textwarden.llm.license_sql import LICENSE_SQL
 from textwarden.plans.registry import Query
 
@@ -40,6 +40,16 @@ def op2_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(docs, resample.target_rows(docs, labels))
 
 
+#: Three words, 85 in 100.
+_NEAR = odd_sketch.Settings(words=3, least=85)
+
+
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_sketch.near_duplicates(_documents(spark, sf_dir), _NEAR).select(
+        "doc_id", "n_shingles", "component_id", "kept"
+    )
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of four fifths of the ids are learned from; every document is scored."""
     docs = _documents(spark, sf_dir)
@@ -94,6 +104,7 @@ FROM s QUALIFY rank <= 20
 QUERIES = {
     "op1_language_mixture": Query(op1_language_mixture),
     "op2_importance_resample": Query(op2_importance_resample),
+    "op4_near_duplicates": Query(op4_near_duplicates),
     "op5_mixing": Query(op5_mixing),
     "op6_toxicity": Query(op6_toxicity),
     "op8_exact_dedup": Query(op8_exact_dedup, _EXACT_SQL),
