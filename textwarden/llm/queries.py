@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm import exact, langid, license_rules, mixing, odd_sketch, resample, topk, toxicity
+from textwarden.llm import exact, langid, license_rules, mixing, odd_sketch, pieces, resample, topk, toxicity
 from textwarden.llm.license_sql import LICENSE_SQL
 from textwarden.plans.registry import Query
 
@@ -64,6 +64,15 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(_documents(spark, sf_dir))
 
 
+#: The model file, read on the driver.
+VOCABULARY_PATH = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op7_sentence_pieces(spark: SparkSession, sf_dir: str, path: str = VOCABULARY_PATH) -> DataFrame:
+    """Two distinct segmentations of every whole text."""
+    return pieces.encode(_documents(spark, sf_dir), pieces.read_vocabulary(path)).withColumnRenamed("key", "doc_id")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of the documents is the history that is indexed, the other half is looked up."""
     return exact.exact_dedup(_documents(spark, sf_dir), id_remainder("doc_id", 2) == 0)
@@ -107,6 +116,7 @@ QUERIES = {
     "op4_near_duplicates": Query(op4_near_duplicates),
     "op5_mixing": Query(op5_mixing),
     "op6_toxicity": Query(op6_toxicity),
+    "op7_sentence_pieces": Query(op7_sentence_pieces),
     "op8_exact_dedup": Query(op8_exact_dedup, _EXACT_SQL),
     "op9_license_scan": Query(op9_license_scan, LICENSE_SQL),
     "op10_top_k": Query(op10_top_k, _TOP_K_SQL),
