@@ -10,6 +10,7 @@ its passes, so no document is taken more often than ``MOST`` times.
 
 A source with most of the rows is cut into chunks by id: sums, windows and joins are by
 source and chunk, or by source and block.  The table of sources is sorted as a whole.
+Exploded tables are larger than Spark estimates, so their joins are told to sort and merge.
 
 Defined results: null text has no words; null is a source of its own, the last; rows
 that share id and text are packed one by one, and in ``mix_documents`` all take what the
@@ -73,12 +74,13 @@ def source_targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: f
     return sums.select("skey", "source_size", target.alias("target"))
 
 
-def packed(rows: DataFrame, chunks: int) -> DataFrame:
-    """Rows with ``chunk``, ``rn`` within it, and ``start``: their first word's place in the source."""
+def packed(rows: DataFrame, chunks: int, targets: DataFrame) -> DataFrame:
+    """Rows with ``chunk``, ``rn`` within it, ``start``, their first word's place in the source, and its target."""
     cut = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
     sums = cut.groupBy("skey", "chunk").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("skey").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("skey", "chunk", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("chunk_start"))
+    starts = starts.join(targets, "skey")
     within = Window.partitionBy("skey", "chunk").orderBy("doc_id", "hash", "size")
     earlier = F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = cut.withColumn("rn", F.row_number().over(within)).withColumn("earlier", earlier)
@@ -122,7 +124,7 @@ def shard_draws(wanted: DataFrame, shards: int, slots: int, shard_slots: int, se
         "cell", F.explode(F.sequence(F.expr(f"slots_before div {width}"), F.expr(f"last div {width}")))
     )
     hit = draws.withColumn("cell", F.expr(f"u div {width}")).join(
-        cells.select("skey", "cell", "slots_before", "last"), "cell"
+        cells.select("skey", "cell", "slots_before", "last").hint("merge"), "cell"
     ).filter("u BETWEEN slots_before AND last")
     return hit.groupBy("skey", "shard").agg(F.count("*").alias("drawn"))
 
@@ -138,14 +140,14 @@ def mix_slots(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: i
     shards = max(1, -(-slots // shard_slots))
     drawn = shard_draws(wanted, shards, max(1, slots), shard_slots, seed)
     # A source that drew nothing gets its few slots in one shard.
-    none = wanted.join(drawn.select("skey").distinct(), "skey", "left_anti").select(
+    none = wanted.join(drawn.select("skey").distinct().hint("merge"), "skey", "left_anti").select(
         "skey", F.pmod(F.xxhash64("skey", F.lit(seed)), F.lit(shards)).alias("shard"), F.lit(1).cast("long").alias("drawn")
     )
     by_shard = Window.partitionBy("skey").orderBy("shard")
     upto = F.sum("drawn").over(by_shard.rowsBetween(Window.unboundedPreceding, 0))
     counts = drawn.unionByName(none).select(
         "skey", "shard", "drawn", upto.alias("upto"), F.sum("drawn").over(Window.partitionBy("skey")).alias("all_drawn")
-    ).join(wanted, "skey")
+    ).join(wanted.hint("merge"), "skey")
     scaled = lambda c: F.floor(c / F.col("all_drawn") * F.col("slots"))
     counts = counts.withColumn("a", scaled(F.col("upto") - F.col("drawn"))).withColumn("b", scaled(F.col("upto")))
     each = counts.filter("b > a").select("skey", "shard", "blocks", F.explode(F.sequence(F.col("a"), F.col("b") - 1)).alias("slot"))
@@ -170,8 +172,8 @@ def _mixed(docs: DataFrame, key: str, source: str, text: str, block_words: int,
     rows = stage(sized(docs, key, source, text))
     chunks = max(1, -(-rows.count() // CHUNK_ROWS))
     targets = stage(source_targets(rows))
-    pieces = block_pieces(packed(rows, chunks), block_words)
-    return pieces, mix_slots(targets, block_words, seed=seed), targets
+    pieces = block_pieces(packed(rows, chunks, targets), block_words)
+    return pieces, mix_slots(targets, block_words, seed=seed).hint("merge")
 
 
 def mixture(
@@ -179,7 +181,7 @@ def mixture(
     block_words: int = BLOCK_WORDS, seed: int = 0,
 ) -> DataFrame:
     """The mix: ``(shard, slot, pass, skey, block, doc_id, hash, first_word, words)``, a row per piece."""
-    pieces, slots, _ = _mixed(docs, key, source, text, block_words, seed)
+    pieces, slots = _mixed(docs, key, source, text, block_words, seed)
     return slots.join(pieces.filter("size > 0"), ["skey", "block"]).select(
         "shard", "slot", "pass", "skey", "block", "doc_id", "hash", "first_word", "words"
     )
@@ -190,16 +192,14 @@ def taken_words(
     block_words: int = BLOCK_WORDS, seed: int = 0,
 ) -> DataFrame:
     """``(key, size, source_size, target, taken)``, one row per document."""
-    pieces, slots, targets = _mixed(docs, key, source, text, block_words, seed)
+    pieces, slots = _mixed(docs, key, source, text, block_words, seed)
     times = slots.groupBy("skey", "block").agg(F.count("*").alias("times"))
     taken = F.sum(F.col("words") * F.coalesce(F.col("times"), F.lit(0)))
-    per_doc = pieces.join(times, ["skey", "block"], "left").groupBy("skey", "chunk", "rn").agg(
-        F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), taken.alias("taken")
-    )
-    chunks = per_doc.select("skey", "chunk").distinct().join(targets, "skey")
-    return per_doc.join(chunks, ["skey", "chunk"]).select(
-        F.col("doc_id").alias(key), "size", "source_size", "target", "taken"
+    whole = [F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")]
+    per_doc = pieces.join(times.hint("merge"), ["skey", "block"], "left").groupBy("skey", "chunk", "rn").agg(
+        *whole, taken.alias("taken")
     )
+    return per_doc.select(F.col("doc_id").alias(key), "size", "source_size", "target", "taken")
 
 
 def mix_documents(
@@ -207,7 +207,7 @@ def mix_documents(
     block_words: int = BLOCK_WORDS, seed: int = 0,
 ) -> DataFrame:
     """The mix as documents: a row for each pass that takes words of a document, with those words."""
-    pieces, slots, _ = _mixed(docs, key, source, text, block_words, seed)
+    pieces, slots = _mixed(docs, key, source, text, block_words, seed)
     taken = slots.join(pieces.filter("size > 0 AND rn > 0"), ["skey", "block"])
     # One share for rows that agree in everything: that of the first.
     first = taken.groupBy("skey", "chunk", "rn", "doc_id", "hash", "pass").agg(
@@ -217,7 +217,7 @@ def mix_documents(
     shares = first.select(F.col("skey").alias("_s"), F.col("doc_id").alias("_d"), F.col("hash").alias("_h"), "pass", "_parts")
     named = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).withColumn("_source", _key(F.col(source)))
     joined = named.join(
-        shares, F.col(key).eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")) & (F.col("_source") == F.col("_s"))
+        shares.hint("merge"), F.col(key).eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")) & (F.col("_source") == F.col("_s"))
     )
     words = F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     whole = F.aggregate("_parts", F.lit(0).cast("long"), lambda n, p: n + p["words"]) == F.size("_words")
