@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm import exact, langid, license_rules, mixing, odd_sketch, pieces, resample, topk, toxicity
+from textwarden.llm import exact, langid, license_rules, mixing, odd_sketch, pieces, resample, suffix_dedup, topk, toxicity
 from textwarden.llm.license_sql import LICENSE_SQL
 from textwarden.plans.registry import Query
 
@@ -40,6 +40,10 @@ def op2_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(docs, resample.target_rows(docs, labels))
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_documents(spark, sf_dir)).drop("spans")
+
+
 #: Three words, 85 in 100.
 _NEAR = odd_sketch.Settings(words=3, least=85)
 
@@ -113,6 +117,7 @@ FROM s QUALIFY rank <= 20
 QUERIES = {
     "op1_language_mixture": Query(op1_language_mixture),
     "op2_importance_resample": Query(op2_importance_resample),
+    "op3_repeated_passages": Query(op3_repeated_passages),
     "op4_near_duplicates": Query(op4_near_duplicates),
     "op5_mixing": Query(op5_mixing),
     "op6_toxicity": Query(op6_toxicity),
