@@ -42,6 +42,8 @@ BEGINNINGS = range(3, 9)
 #: A text counts as having that many words at least, when rates are taken.
 LEAST_WORDS = 20
 RIDGE = 0.1
+#: Texts with this score or more are predicted toxic.
+TOXIC = 0.5
 #: Letters a sign may stand for.
 LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -382,20 +384,35 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return Model(characters, wanted, w[:-1], float(w[-1]))
 
 
+def _scores(rows: list[str], reader: Reader, model: Model) -> np.ndarray:
+    found = rates(rows, reader, model.features)
+    logit = model.bias + np.bincount(found.row, model.weights[found.place] * found.value, minlength=len(rows))
+    return 1 / (1 + np.exp(-np.clip(logit, -700, 700)))
+
+
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     reader = Reader(model.characters)
     for batch in textnum.blocks(batches):
-        found = rates(textnum.texts(batch), reader, model.features)
-        logit = model.bias + np.bincount(found.row, model.weights[found.place] * found.value, minlength=batch.num_rows)
-        score = 1 / (1 + np.exp(-np.clip(logit, -700, 700)))
+        score = _scores(textnum.texts(batch), reader, model)
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(score)], ["key", "score"])
 
 
+def _clean(batches: Iterator[pa.RecordBatch], model: Model, text: str) -> Iterator[pa.RecordBatch]:
+    reader = Reader(model.characters)
+    for batch in textnum.blocks(batches, text):
+        yield batch.filter(pa.array(_scores(textnum.texts(batch, text), reader, model) < TOXIC))
+
+
 def score(docs: DataFrame, model: Model, key: str | Column = "doc_id", text: str = "text") -> DataFrame:
     """``(key, score, predicted)``, one row per document."""
     kept = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select((F.col(key) if isinstance(key, str) else key).alias("key"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     scored = rows.mapInArrow(lambda it: _score(it, kept.value), f"key {kind}, score double")
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return scored.withColumn("predicted", (F.col("score") >= TOXIC).cast("int"))
+
 
+def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The documents that are not predicted toxic, with all their columns; nothing is shuffled."""
+    kept = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(lambda it: _clean(it, kept.value, text), docs.schema)
