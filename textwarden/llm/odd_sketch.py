@@ -4,15 +4,16 @@ A document is the set of its word shingles.  Documents with equal sets are one n
 MinHash samples of a node give it a bucket per band, and are folded into an odd sketch: a
 bitmap in which every sample flips one bit.  Two sketches differ in as many bits as the
 samples differ, so the population count of their exclusive or tells high similarities
-apart; pairs whose count lies beyond six deviations of a link's are dropped.  All others
-are confirmed on their full sets.
+apart; pairs whose count lies beyond six deviations of a link's are dropped.  The same
+sketch over the whole set never differs in more bits than the sets differ in elements,
+which drops more.  All others are confirmed on their full sets.
 
 Buckets of few nodes give all their pairs.  A larger bucket gives a star: every node with
 one of them, another one in every bucket, so the members of a large group meet many
 centres and one chain of links holds them together.  What the stars leave apart in a
-bucket is then paired with everything else there, unless the triangle inequality over the
-distances to the centre rules a link out.  Nothing is capped, and the members of a group
-are never paired among each other as a whole.
+bucket is then compared with everything else there, in blocks, by sketch alone; only pairs
+that may be links come out.  Nothing is capped, and the members of a group that is held
+together are never paired among each other.
 
 At the least similarity a pair shares no band with odds below 1e-7 (32 bands of 4 samples
 at 0.8; below 1e-10 at 0.85).
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from textwarden.llm import textnum
 from textwarden.llm.components import components
-from textwarden.operators.staging import stage
+from textwarden.llm.tables import written
 
 
 class Settings(NamedTuple):
@@ -63,7 +64,11 @@ class Settings(NamedTuple):
         return int(2 * (k - (k * j - 6 * (k * j * (1 - j)) ** 0.5))) + 1
 
 
-_SCHEMA = "key {kind}, hash long, n long, node binary, bands array<long>, sketch array<long>, blob binary"
+_SCHEMA = (
+    "key {kind}, hash long, n long, node binary, bands array<long>, sketch array<long>, parity array<long>, blob binary"
+)
+#: Nodes to a block, when the parts of a bucket are compared.
+BLOCK = 512
 
 
 def shingle_sets(rows: list[str], words: int) -> list[np.ndarray]:
@@ -112,6 +117,16 @@ def odd_sketches(samples: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
+def parities(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """Odd sketches of whole sets: two of them differ in no more bits than their sets do in elements."""
+    out = np.zeros((len(sets), bits // 64), np.uint64)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    place = textnum.mixed(np.concatenate(sets) + np.uint64(9)) % np.uint64(bits)
+    word, bit = np.divmod(place, np.uint64(64))
+    np.bitwise_xor.at(out, (row, word.astype(np.int64)), np.uint64(1) << bit)
+    return out
+
+
 def _band_hashes(samples: np.ndarray, settings: Settings) -> np.ndarray:
     parts = samples.reshape(len(samples), settings.bands, settings.rows)
     total = np.zeros(parts.shape[:2], np.uint64)
@@ -133,19 +148,21 @@ def _describe(batches: Iterator[pa.RecordBatch], settings: Settings) -> Iterator
         full = np.flatnonzero([len(s) for s in sets])
         bands = np.zeros((len(rows), settings.bands), np.uint64)
         sketch = np.zeros((len(rows), settings.bits // 64), np.uint64)
+        parity = sketch.copy()
         if len(full):
             samples = signatures([sets[i] for i in full], settings)
             bands[full], sketch[full] = _band_hashes(samples, settings), odd_sketches(samples, settings.bits)
+            parity[full] = parities([sets[i] for i in full], settings.bits)
         sums = [(int(s.sum()), int(textnum.mixed(s + np.uint64(1)).sum())) for s in sets]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("key"), batch.column("hash"),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([a.to_bytes(8, "big") + b.to_bytes(8, "big") for a, b in sums], pa.binary()),
-                _lists(bands), _lists(sketch),
+                _lists(bands), _lists(sketch), _lists(parity),
                 pa.array([pack.compress(t.encode("utf-8", "surrogatepass")) for t in rows], pa.binary()),
             ],
-            ["key", "hash", "n", "node", "bands", "sketch", "blob"],
+            ["key", "hash", "n", "node", "bands", "sketch", "parity", "blob"],
         )
 
 
@@ -187,35 +204,31 @@ def _first_pairs(buckets: DataFrame, settings: Settings) -> DataFrame:
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs whose odd sketches do not rule a link out."""
-    sides = [nodes.select(F.col("node").alias(s), F.col("sketch").alias(f"sketch_{s}")) for s in "ab"]
-    differing = F.aggregate(
-        F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x
+    """Pairs whose odd sketches and parities do not rule a link out."""
+    sides = [nodes.select(F.col("node").alias(s), F.struct("n", "sketch", "parity").alias(f"_{s}")) for s in "ab"]
+    bits = lambda c: F.aggregate(
+        F.zip_with(F.col("_a")[c], F.col("_b")[c], lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x
     )
-    return pairs.join(sides[0], "a").join(sides[1], "b").filter(differing <= settings.most_bits).select("a", "b")
+    room = (settings.of + settings.least) * bits("parity") <= (settings.of - settings.least) * (F.col("_a.n") + F.col("_b.n"))
+    joined = pairs.join(sides[0], "a").join(sides[1], "b")
+    return joined.filter((bits("sketch") <= settings.most_bits) & room).select("a", "b")
 
 
 def _measure(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
-    last: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
-
-    def own(blob: bytes) -> np.ndarray:
-        return shingle_sets([unpack.decompress(blob).decode("utf-8", "surrogatepass")], words)[0]
-
     for batch in batches:
-        shared, united = [], []
-        for blob_a, blob_b in zip(batch.column("blob_a"), batch.column("blob_b")):
-            a, b = blob_a.as_py(), blob_b.as_py()
-            if last[0] != a:
-                last = (a, own(a))
-            other = own(b)
-            n = len(np.intersect1d(last[1], other, assume_unique=True))
-            shared.append(n)
-            united.append(len(last[1]) + len(other) - n)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(united, pa.int64())],
-            ["a", "b", "shared", "united"],
-        )
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            pairs = list(zip(part.column("blob_a").to_pylist(), part.column("blob_b").to_pylist()))
+            blobs = list(dict.fromkeys(blob for pair in pairs for blob in pair))
+            texts = [unpack.decompress(blob).decode("utf-8", "surrogatepass") for blob in blobs]
+            sets = dict(zip(blobs, shingle_sets(texts, words)))
+            shared = [len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in pairs]
+            united = [len(sets[a]) + len(sets[b]) - n for (a, b), n in zip(pairs, shared)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("a"), part.column("b"), pa.array(shared, pa.int64()), pa.array(united, pa.int64())],
+                ["a", "b", "shared", "united"],
+            )
 
 
 def measured(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
@@ -241,43 +254,81 @@ def _linked(settings: Settings) -> Column:
     return settings.of * F.col("shared") >= settings.least * F.col("united")
 
 
-def _left_apart(buckets: DataFrame, labels: DataFrame, tested: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs that share a large bucket but neither a component nor a test yet.
+def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of all rows of ``x`` with all rows of ``y``."""
+    out = np.zeros((len(x), len(y)), np.int64)
+    for k in range(x.shape[1]):
+        out += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
+    return out
+
+
+def _tile(batches: Iterator[pa.RecordBatch], settings: Settings) -> Iterator[pa.RecordBatch]:
+    """The pairs of two blocks of a bucket that may be links and belong to different components.
 
-    In every bucket the members outside its largest component are paired with all members
-    of other components.
+    A pair comes out of the first bucket it shares, only.
     """
-    large = buckets.filter(F.col("size") > settings.small).select("bucket", "node", "center")
+    for batch in batches:
+        found: list[tuple[bytes, bytes]] = []
+        for i in range(batch.num_rows):
+            x, y = (batch.column(c)[i].values for c in ("xs", "ys"))
+            (nx, lx, sx, px, bx), (ny, ly, sy, py, by) = (
+                (
+                    side.field("n").to_numpy(), side.field("part").to_numpy(),
+                    *(np.stack(side.field(c).to_numpy(zero_copy_only=False)).view(np.uint64) for c in ("sketch", "parity", "bands")),
+                )
+                for side in (x, y)
+            )
+            room = (settings.of - settings.least) * (nx[:, None] + ny[None, :])
+            near = (lx[:, None] != ly[None, :]) & ((settings.of + settings.least) * _differing(px, py) <= room)
+            near &= _differing(sx, sy) <= settings.most_bits
+            a, b = np.nonzero(near)
+            shared = bx[a] == by[b]
+            at = np.arange(len(a))
+            first = bx[a][at, shared.argmax(axis=1)] == np.uint64(batch.column("bucket")[i].as_py() % 2**64)
+            a, b = a[first], b[first]
+            left, right = x.field("node").to_pylist(), y.field("node").to_pylist()
+            found += [(left[j], right[k]) for j, k in zip(a, b)]
+        rows = list(zip(*set(found))) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(r, pa.binary()) for r in rows], ["a", "b"])
+
+
+def _left_apart(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, tested: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs that share a large bucket but neither a component nor a test, and may be links.
+
+    In every bucket the members outside its largest component are compared with all
+    members of other components, block by block; only what the sketches leave open comes out.
+    """
+    large = buckets.filter(F.col("size") > settings.small).select("bucket", "node")
     named = large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     parts = named.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    main = parts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts"))
-    split = named.join(main.filter("parts > 1").select("bucket", "main"), "bucket")
-    far = tested.select(
-        F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"),
-        (1 - F.col("shared") / F.col("united")).alias("far"),
-    ).select(F.col("p.a").alias("center"), F.col("p.b").alias("node"), "far")
-    split = stage(split.join(far, ["center", "node"], "left"))
-    x = split.filter("label <> main").select("bucket", F.col("node").alias("a"), F.col("label").alias("la"), F.col("far").alias("fa"))
-    y = split.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("far").alias("fb"))
-    room = 1 - settings.least / settings.of + 1e-9
-    near = x.join(y, "bucket").filter(
-        (F.col("la") != F.col("lb")) & (F.coalesce(F.abs(F.col("fa") - F.col("fb")), F.lit(0.0)) <= room)
+    main = parts.groupBy("bucket").agg(
+        F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("parts")
+    )
+    split = written(named.join(main.filter("parts > 1").select("bucket", "main", "size"), "bucket"))
+    member = F.struct("node", "n", F.xxhash64("label").alias("part"), "sketch", "parity", "bands")
+    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)).alias("block")
+    full = split.join(nodes.select("node", "n", "sketch", "parity", "bands"), "node").select(
+        "bucket", block, (F.col("label") != F.col("main")).alias("aside"), member.alias("member")
     )
-    return _ordered_pairs(near.select("a", "b")).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    full = written(full)
+    xs = full.filter("aside").groupBy("bucket", "block").agg(F.collect_list("member").alias("xs")).drop("block")
+    ys = full.groupBy("bucket", "block").agg(F.collect_list("member").alias("ys")).drop("block")
+    near = xs.join(ys, "bucket").select("bucket", "xs", "ys").mapInArrow(lambda it: _tile(it, settings), "a binary, b binary")
+    return _ordered_pairs(near).join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def _classes(rows: DataFrame, settings: Settings) -> DataFrame:
     """``(node, rep)``: the first row of the component a node belongs to."""
-    nodes = stage(rows.filter("n > 0").groupBy("node").agg(
-        F.min(_order()).alias("first"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
+    nodes = written(rows.filter("n > 0").groupBy("node").agg(
+        F.min(_order()).alias("first"), *(F.first(c).alias(c) for c in ("n", "bands", "sketch", "parity"))
     ))
-    buckets = stage(_buckets(nodes))
-    tested = stage(measured(stage(likely(_first_pairs(buckets, settings), nodes, settings)), rows, nodes, settings))
+    buckets = written(_buckets(nodes))
+    tested = written(measured(written(likely(_first_pairs(buckets, settings), nodes, settings)), rows, nodes, settings))
     links = tested.filter(_linked(settings)).select("a", "b")
     labels = components(links)
-    more = stage(likely(_left_apart(buckets, labels, tested, settings), nodes, settings))
+    more = written(_left_apart(buckets, nodes, labels, tested, settings))
     if not more.isEmpty():
-        further = stage(measured(more, rows, nodes, settings).filter(_linked(settings)).select("a", "b"))
+        further = written(measured(more, rows, nodes, settings).filter(_linked(settings)).select("a", "b"))
         if not further.isEmpty():
             labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(further))
     named = nodes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -291,7 +342,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), key: str =
     ``kept``: the row's id names its component; ``first``: of rows that share this id, the
     one that stands for the component.
     """
-    rows = stage(describe(docs, settings, key, text))
+    rows = written(describe(docs, settings, key, text))
     narrow = rows.select("key", "hash", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
     full = narrow.filter("n > 0").join(_classes(rows, settings), "node").select("key", "hash", "n", "rep")
     empty = narrow.filter("n = 0").select("key", "hash", "n", _order().alias("rep"))
@@ -307,6 +358,7 @@ def keep_one(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_i
     stays = near_duplicates(docs, settings, key, text).filter("first").select(
         F.col(key).alias("_key"), F.col("hash").alias("_of")
     ).distinct()
-    named = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    joined = named.join(stays, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_hash") == F.col("_of")))
-    return joined.dropDuplicates(["_key", "_of"]).select(*docs.columns)
+    # The row travels as one column: its own names may be anything.
+    named = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_hash"))
+    joined = named.join(stays, F.col("_row")[key].eqNullSafe(F.col("_key")) & (F.col("_hash") == F.col("_of")))
+    return joined.dropDuplicates(["_key", "_of"]).select("_row.*")
