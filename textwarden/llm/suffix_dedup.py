@@ -41,7 +41,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textwarden.llm import textnum
-from textwarden.operators.staging import stage
 
 LENGTH, GRAM = 100, 32
 #: Offsets of an anchor in a string, and the first of the second half.
@@ -50,6 +49,8 @@ HALF = (OFFSETS + 1) // 2
 CORE = LENGTH - HALF + 1
 #: Bytes of text to a part, and bytes of a text hashed at once.
 PART_BYTES, SEGMENT = 8 << 20, 8 << 20
+#: Bytes of text whose passages are found at once.
+BLOCK_BYTES = 1 << 20
 #: Depth in bytes at which quicksort gives way to blind tries.
 SHALLOW = 32
 _NO_ID = 2**63 - 1
@@ -134,7 +135,7 @@ def _covered(gram: np.ndarray, left: np.ndarray, right: np.ndarray, seed: np.nda
 
 def _packed(columns: dict[str, np.ndarray], extra: bytes = b"") -> bytes:
     head = np.array([len(next(iter(columns.values())))], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(c.tobytes() for c in columns.values()) + extra)
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(c.tobytes() for c in columns.values()) + extra)
 
 
 def _unpacked(blobs: list[bytes], fields: tuple) -> tuple[dict[str, np.ndarray], list[bytes]]:
@@ -170,6 +171,12 @@ def _core_part(core: np.ndarray, parts: int) -> np.ndarray:
     return (textnum.mixed(core) % np.uint64(parts)).astype(np.int64)
 
 
+def _split(table: pa.Table, kind: str) -> tuple[list[bytes], list[tuple[str, int, bytes]]]:
+    """The blobs of a kind, and the other rows as they are: known spans travel along."""
+    rows = list(zip(*(table.column(c).to_pylist() for c in ("kind", "part", "blob"))))
+    return [r[2] for r in rows if r[0] == kind], [r for r in rows if r[0] != kind]
+
+
 def _kind(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
     kind, part, blob = zip(*rows) if rows else ((), (), ())
     return pa.RecordBatch.from_arrays(
@@ -190,7 +197,7 @@ def _stretches(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.
 
 
 def _find(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    for batch in textnum.blocks(batches):
+    for batch in textnum.blocks(batches, limit=BLOCK_BYTES):
         texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
         okey, row = batch.column("okey").to_numpy(), batch.column("row").to_numpy().astype("<u4")
         found: dict[str, list] = {name: [] for name in ("okey", "row", "at", "low", "high", "core", "whole")}
@@ -212,7 +219,9 @@ def _find(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
         span = {k: c[k][repeat] for k in ("okey", "row")}
         span["start"] = (c["at"] - c["high"])[repeat]
         span["end"] = (c["at"] - c["low"])[repeat] + LENGTH
-        c = {name: column[~repeat] for name, column in c.items()}
+        by_document = np.lexsort((c["at"], c["row"], c["okey"]))
+        by_document = by_document[~repeat[by_document]]  # which packs better
+        c = {name: column[by_document] for name, column in c.items()}
         rows = [("core", p, b) for p, b in _dealt(_core_part(c["core"], parts), c, _FIELDS)]
         rows += [("span", p, b) for p, b in _dealt(_document_part(span["okey"], span["row"], parts), span, _SPANS)]
         yield _kind(rows)
@@ -232,14 +241,16 @@ def _repeats(group: np.ndarray, okey: np.ndarray, row: np.ndarray, at: np.ndarra
 
 def _repeated_cores(table: pa.Table, parts: int) -> pa.Table:
     """The passages of a part whose core occurs at two places, by the part of their document."""
-    c, _ = _unpacked(table.column("blob").to_pylist(), _FIELDS)
+    blobs, others = _split(table, "core")
+    c, _ = _unpacked(blobs, _FIELDS)
     order = np.lexsort((c["at"], c["row"], c["okey"], c["core"]))
     c = {name: column[order] for name, column in c.items()}
     same = np.zeros(len(order) + 1, bool)
     same[1:-1] = c["core"][1:] == c["core"][:-1]
     again = same[1:] | same[:-1]
-    c = {name: column[again] for name, column in c.items()}
-    rows = [("core", p, b) for p, b in _dealt(_document_part(c["okey"], c["row"], parts), c, _FIELDS)]
+    again = again[by_document := np.lexsort((c["at"], c["row"], c["okey"]))]
+    c = {name: column[by_document[again]] for name, column in c.items()}
+    rows = others + [("core", p, b) for p, b in _dealt(_document_part(c["okey"], c["row"], parts), c, _FIELDS)]
     return pa.Table.from_batches([_kind(rows)])
 
 
@@ -429,7 +440,8 @@ def _compare(c: dict[str, np.ndarray], flat: np.ndarray, start: np.ndarray) -> n
 
 def _sort_passages(table: pa.Table, parts: int) -> pa.Table:
     """The ranges that repeat earlier ones, by the part of their document."""
-    c, contents = _unpacked(table.column("blob").to_pylist(), _FIELDS)
+    blobs, others = _split(table, "text")
+    c, contents = _unpacked(blobs, _FIELDS)
     flat = np.frombuffer(b"".join(contents), np.uint8)
     size = c["high"].astype(np.int64) - c["low"] + LENGTH
     start = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else size
@@ -445,7 +457,7 @@ def _sort_passages(table: pa.Table, parts: int) -> pa.Table:
         "okey": c["okey"][own], "row": c["row"][own],
         "start": at - (last[1] - 1 + base), "end": at - (first[1] + base) + LENGTH,
     }
-    rows = [("span", p, b) for p, b in _dealt(_document_part(span["okey"], span["row"], parts), span, _SPANS)]
+    rows = others + [("span", p, b) for p, b in _dealt(_document_part(span["okey"], span["row"], parts), span, _SPANS)]
     return pa.Table.from_batches([_kind(rows)])
 
 
@@ -473,7 +485,8 @@ def _by_document(c: dict[str, np.ndarray]) -> tuple[dict[tuple[int, int], tuple[
 
 def _send_passages(documents: pa.Table, wanted: pa.Table, parts: int) -> pa.Table:
     """The bytes of the passages with repeated cores, by the part of the core."""
-    c, _ = _unpacked(wanted.column("blob").to_pylist(), _FIELDS)
+    blobs, others = _split(wanted, "core")
+    c, _ = _unpacked(blobs, _FIELDS)
     where, order = _by_document(c)
     unpack, part = zstandard.ZstdDecompressor(), _core_part(c["core"], parts)
     dealt: dict[int, tuple[list, list]] = {}
@@ -489,7 +502,7 @@ def _send_passages(documents: pa.Table, wanted: pa.Table, parts: int) -> pa.Tabl
             places, bytes_ = dealt.setdefault(int(part[i]), ([], []))
             places.append(i)
             bytes_.append(text[at - high : at - low + LENGTH])
-    rows = [
+    rows = others + [
         ("text", p, _packed({name: c[name][places] for name, _ in _FIELDS}, b"".join(bytes_)))
         for p, (places, bytes_) in sorted(dealt.items())
     ]
@@ -552,15 +565,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // PART_BYTES))
-    found = stage(rows.mapInArrow(lambda it: _find(it, parts), _PACKED))
     documents = rows.mapInArrow(
         lambda it: _pack_documents(it, parts), "part long, okey long, row long, key long, text binary"
     ).groupBy("part")
-    repeated = found.filter("kind = 'core'").groupBy("part").applyInArrow(lambda t: _repeated_cores(t, parts), _PACKED)
+    found = rows.mapInArrow(lambda it: _find(it, parts), _PACKED)
+    repeated = found.groupBy("part").applyInArrow(lambda t: _repeated_cores(t, parts), _PACKED)
     sent = documents.cogroup(repeated.groupBy("part")).applyInArrow(lambda d, w: _send_passages(d, w, parts), _PACKED)
     spans = sent.groupBy("part").applyInArrow(lambda t: _sort_passages(t, parts), _PACKED)
-    every = found.filter("kind = 'span'").union(spans)
-    out = documents.cogroup(every.groupBy("part")).applyInArrow(
+    out = documents.cogroup(spans.groupBy("part")).applyInArrow(
         _drop, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
         "spans array<struct<start:long,end:long>>"
     )
