@@ -196,8 +196,9 @@ def keep_first(docs: DataFrame, is_history: Column, key: str = "doc_id", text: s
     decided = exact_dedup(docs, is_history, key, text).filter("kept").select(
         F.col("keep_id").alias("_winner"), F.col("text_sha256").alias("_sha")
     ).distinct()
-    named = docs.withColumn("_digest", F.sha2(normalised(F.col(text)), 256))
+    # The row travels as one column: its own names may be anything.
+    named = docs.select(F.struct(*docs.columns).alias("_row"), F.sha2(normalised(F.col(text)), 256).alias("_digest"))
     joined = named.join(
-        decided, F.col("_digest").eqNullSafe(F.col("_sha")) & F.col(key).eqNullSafe(F.col("_winner"))
+        decided, (F.col("_digest") == F.col("_sha")) & F.col("_row")[key].eqNullSafe(F.col("_winner"))
     )
-    return joined.dropDuplicates(["_sha", "_winner"]).select(*docs.columns)
+    return joined.dropDuplicates(["_sha", "_winner"]).select("_row.*")

@@ -18,9 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A text without any of these words has no licence sentence.
-SPEAKS = r"(?i)licen[cs]|copyright|warrant|as is|permission|redistribut|public domain|all rights reserved"
+SPEAKS = r"(?i)licen[cs]|copyright|warrant|as is|permission|redistribut|public domain|all rights reserved|neither the name|in no event"
 #: The same on a normalised sentence.
-SPEAKS_NORMAL = r"licen[cs]|copyright|warrant|as is|permission|redistribut|public domain|all rights reserved"
+SPEAKS_NORMAL = r"licen[cs]|copyright|warrant|as is|permission|redistribut|public domain|all rights reserved|neither the name|in no event"
 _BREAK = "\x1e"
 _ENDS = r"[.!?;][\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*\n"
 _VERSION = r"(?:version |v\.? ?)?([0-9]+(?:\.[0-9]+)*)"

@@ -214,13 +214,20 @@ def mix_documents(
         F.sort_array(F.collect_list(F.struct("first_word", "words"))).alias("_parts")
     )
     first = first.groupBy("skey", "doc_id", "hash", "pass").agg(F.min_by("_parts", "rn").alias("_parts"))
-    shares = first.select(F.col("skey").alias("_s"), F.col("doc_id").alias("_d"), F.col("hash").alias("_h"), "pass", "_parts")
-    named = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).withColumn("_source", _key(F.col(source)))
+    shares = first.select(F.col("skey").alias("_s"), F.col("doc_id").alias("_d"), F.col("hash").alias("_h"), "_parts")
+    # The row travels as one column: its own names may be anything.
+    own = F.col("_row")[text]
+    named = docs.select(
+        F.struct(*docs.columns).alias("_row"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_hash"),
+        _key(F.col(source)).alias("_source"),
+    )
     joined = named.join(
-        shares.hint("merge"), F.col(key).eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")) & (F.col("_source") == F.col("_s"))
+        shares.hint("merge"),
+        F.col("_row")[key].eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")) & (F.col("_source") == F.col("_s")),
     )
-    words = F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    words = F.filter(F.split(own, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     whole = F.aggregate("_parts", F.lit(0).cast("long"), lambda n, p: n + p["words"]) == F.size("_words")
     chosen = F.flatten(F.transform("_parts", lambda p: F.slice("_words", (p["first_word"] + 1).cast("int"), p["words"].cast("int"))))
     joined = joined.withColumn("_words", words)
-    return joined.withColumn(text, F.when(whole, F.col(text)).otherwise(F.array_join(chosen, " "))).select(*docs.columns)
+    taken_text = F.when(whole, own).otherwise(F.array_join(chosen, " "))
+    return joined.select(*((taken_text if c == text else F.col("_row")[c]).alias(c) for c in docs.columns))

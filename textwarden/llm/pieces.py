@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textwarden.llm import textnum
 
@@ -338,10 +339,11 @@ def sample(rows: list[str], seeds: np.ndarray, vocab: Vocabulary, k: int = SAMPL
             if not (which[i] == number):
                 _restore(taken, source, block, int(i))
             gone = excluded.setdefault((int(which[i]), at), [int(source.edge[at])])
-            chosen, rest_mass = _other(lattice, gone, _uniform(seeds[i : i + 1], np.array([at]), 2000 + number)[0])
-            gone.append(chosen)
             where = int(source.place[at])
-            u = _uniform(seeds[i : i + 1], np.array([where]), 3000 + number)
+            here = np.array([where - block.starts[i]])
+            chosen, rest_mass = _other(lattice, gone, _uniform(seeds[i : i + 1], here, 2000 + number)[0])
+            gone.append(chosen)
+            u = _uniform(seeds[i : i + 1], here, 3000 + number)
             source.bound[at] = _below(np.array([source.before[at] + rest_mass]), best[i : i + 1], u)[0]
             taken[where + 1 : block.starts[i + 1]] = -1
             taken[where] = chosen
@@ -461,5 +463,5 @@ def _decode(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, ids: str) -> I
 def decode(rows: DataFrame, vocab: Vocabulary, ids: str = "ids") -> DataFrame:
     """The rows with the text of their segmentation as ``decoded``."""
     kept = rows.sparkSession.sparkContext.broadcast(vocab)
-    kind = rows.schema.add("decoded", "string")
+    kind = T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())])
     return rows.mapInArrow(lambda it: _decode(it, kept.value, ids), kind)

@@ -63,7 +63,7 @@ def log_model(rows: DataFrame, text: str = "text") -> np.ndarray:
 def _weigh(batches: Iterator[pa.RecordBatch], ratio: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in textnum.blocks(batches):
         bucket, row = gram_buckets(textnum.texts(batch))
-        weight = np.bincount(row, ratio[bucket], minlength=batch.num_rows)
+        weight = np.bincount(row, ratio[bucket], minlength=batch.num_rows).astype(np.float64)
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(weight)], ["key", "log_weight"])
 
 
