@@ -51,12 +51,16 @@ def hit(text: str, rule: Rule) -> str:
 
 def any_hit(text: str = "text", rules: Sequence[Rule] | None = None) -> str:
     """Test whether any rule hits; stops at the first that does."""
-    return any_of(hit(text, r) for r in (rules or builtin_rules()))
+    return any_of(hit(text, r) for r in (builtin_rules() if rules is None else rules))
 
 
 def hit_flags(text: str = "text", rules: Sequence[Rule] | None = None) -> str:
     """One boolean per rule, in rule order."""
-    return "array(" + ", ".join(hit(text, r) for r in (rules or builtin_rules())) + ")"
+    flags = ", ".join(hit(text, r) for r in (builtin_rules() if rules is None else rules))
+    return f"cast(array({flags}) AS array<boolean>)"
+
+
+_ENTRY = "struct<ord:int,id:string,label:string,risk:double,critical:boolean,regex:string>"
 
 
 def _entry(rule: Rule) -> str:
@@ -70,9 +74,9 @@ def _entry(rule: Rule) -> str:
 def matched_rules(flags: str, rules: Sequence[Rule] | None = None) -> str:
     """The rules whose flag is set, as an array of structs in rule order."""
     entries = ", ".join(
-        f"if({flags}[{i}], {_entry(r)}, NULL)" for i, r in enumerate(rules or builtin_rules())
+        f"if({flags}[{i}], {_entry(r)}, NULL)" for i, r in enumerate(builtin_rules() if rules is None else rules)
     )
-    return f"array_compact(array({entries}))"
+    return f"array_compact(array({entries}))" if entries else f"cast(array() AS array<{_ENTRY}>)"
 
 
 def with_matched(
@@ -116,8 +120,10 @@ def finding_occurrences(
     counts = ", ".join(
         f"named_struct('rule_id', {lit(r.id)}, 'label', {lit(r.label)}, "
         f"'occurrences', {occurrences(ident(text), r)})"
-        for r in (rules or builtin_rules())
+        for r in (builtin_rules() if rules is None else rules)
     )
+    if not counts:
+        counts = "named_struct('rule_id', '', 'label', '', 'occurrences', 0)"
     rows = df.select(*kept, F.expr(f"inline(array({counts}))"))
     return rows.filter("occurrences > 0")
 

@@ -27,6 +27,17 @@ _EOL_POINTS = ((0x0A, 0x0A), (0x0D, 0x0D), (0x2028, 0x2029))
 _MAX_REPEAT = 2**31 - 1
 
 
+# General categories and the scripts in wide use, as both dialects name them.
+CATEGORIES = frozenset(
+    "L Lu Ll Lt Lm Lo M Mn Mc Me N Nd Nl No P Pc Pd Ps Pe Pi Pf Po S Sm Sc Sk So Z Zs Zl Zp C Cc Cf Co Cn".split()
+)
+SCRIPTS = frozenset(
+    "Arabic Armenian Bengali Bopomofo Cherokee Common Cyrillic Devanagari Ethiopic Georgian Greek Gujarati "
+    "Gurmukhi Han Hangul Hebrew Hiragana Inherited Kannada Katakana Khmer Lao Latin Malayalam Mongolian Myanmar "
+    "Oriya Sinhala Syriac Tamil Telugu Thaana Thai Tibetan".split()
+)
+
+
 class RegexError(ValueError):
     """The pattern is not valid, or has no equivalent on the target."""
 
@@ -356,8 +367,10 @@ class _Reader:
         self.at += found.end()
         key, value = found.groups()
         if key in ("Script", "sc"):
+            if value not in SCRIPTS:
+                raise RegexError("unsupported property escape")
             return f"\\{ch}{{script={value}}}"
-        if len(value) > 2:
+        if value not in CATEGORIES:
             raise RegexError("unsupported property escape")
         return f"\\{ch}{{{value}}}"
 

@@ -46,7 +46,7 @@ def rewrite_chain(text: str = "text", rules: Sequence[Rule] | None = None) -> st
     out, every step would double it.
     """
     out, leading = text, True
-    for rule in rules or builtin_rules():
+    for rule in builtin_rules() if rules is None else rules:
         leading = leading and rule.ord < BUILTIN_COUNT
         out = f"get(transform(array({out}), t -> {_step(text, rule, leading)}), 0)"
     return out

@@ -149,7 +149,7 @@ def score_units(
 
     ``score`` is INT when every rule weight is a whole number, else DOUBLE.
     """
-    rules = rules or builtin_rules()
+    rules = builtin_rules() if rules is None else rules
     whole = all(float(r.risk).is_integer() for r in rules)
     computed = {"_flags": hit_flags(ident(text), rules)}
     if path:

@@ -136,6 +136,7 @@ _FOLDED_NEEDLES: dict[str, tuple[tuple[str, ...], ...]] = {
 # Cheap Java regexes that hit wherever the rule does, for rules without a literal.
 _PROBES = {
     "ip_address": r"[0-9]\.[0-9]",
+    "email": r"[A-Za-z0-9._%+-]@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
     "heroku_api_key": r"-[0-9a-f]{4}-",
     "high_entropy_base64": r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}",
     "us_ssn": r"-[0-9]{2}-",
@@ -206,4 +207,4 @@ BUILTIN_COUNT = len(_BUILT_IN)
 
 def rules_frame(spark: SparkSession, rules: tuple[Rule, ...] | None = None) -> DataFrame:
     """The rules as a DataFrame."""
-    return spark.createDataFrame([r.row for r in (rules or builtin_rules())], RULE_SCHEMA)
+    return spark.createDataFrame([r.row for r in (builtin_rules() if rules is None else rules)], RULE_SCHEMA)

@@ -23,7 +23,8 @@ def ident(name: str) -> str:
 
 
 def any_of(tests: Iterable[str]) -> str:
-    return "(" + " OR ".join(tests) + ")"
+    """True where one test holds; no test never does."""
+    return "(" + (" OR ".join(tests) or "false") + ")"
 
 
 def all_of(tests: Iterable[str]) -> str:

@@ -19,8 +19,10 @@ def js_trim(text: Column) -> Column:
     return F.regexp_replace(text, rf"\A[{space}]+|[{space}]+\z", "")
 
 
-def fits(text: Column, max_bytes: int = MAX_TEXT_BYTES) -> Column:
-    """True unless the UTF-8 size is strictly greater than the limit."""
+def fits(text: Column, max_bytes: int | None = MAX_TEXT_BYTES) -> Column:
+    """True unless the UTF-8 size is strictly greater than the limit; None is no limit."""
+    if max_bytes is None:
+        return F.lit(True)
     return F.coalesce(F.octet_length(text) <= max_bytes, F.lit(True))
 
 

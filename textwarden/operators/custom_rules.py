@@ -60,14 +60,13 @@ def numbered(raw: DataFrame, max_custom: int | None = MAX_CUSTOM_RULES, key: str
 
     The limit counts definitions, whatever becomes of them later.  With ``key`` each
     repository is counted by itself; its definitions come from one file.  Without,
-    the first definitions of all are taken by a top-k, so none are gathered in one task.
+    the first definitions of all are taken by a top-k; with no limit they are counted
+    file by file, so none are gathered in one task.
     """
+    if key is None and max_custom is None:
+        return _numbered_by_file(raw)
     if key is None:
-        if max_custom is None:
-            limit = MAX_LITERAL_RULES + 1
-        else:
-            limit = max_custom
-        raw = raw.orderBy(*definition_order()).limit(limit)
+        raw = raw.orderBy(*definition_order()).limit(max_custom)
     keys = [key] if key else [F.lit(0)]
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*definition_order()))
     out = raw.select("*", (place + BUILTIN_COUNT - 1).alias("ord"))
@@ -76,6 +75,19 @@ def numbered(raw: DataFrame, max_custom: int | None = MAX_CUSTOM_RULES, key: str
     return out
 
 
+def _numbered_by_file(raw: DataFrame) -> DataFrame:
+    """All definitions with their place; only one row per file is ordered as a whole."""
+    file = ["source_rank", "folder"]
+    keyed = raw.withColumn("_folder", F.coalesce("folder", F.lit("")))
+    sizes = keyed.groupBy("source_rank", "_folder").agg(F.first("folder").alias("folder"), F.count("*").alias("_n"))
+    before = Window.orderBy(*file).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("source_rank", "_folder", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("source_rank", "_folder").orderBy("pos"))
+    placed = keyed.withColumn("_within", within).join(sizes, ["source_rank", "_folder"])
+    place = (F.col("_before") + F.col("_within") - 1 + BUILTIN_COUNT).cast("int").alias("ord")
+    return placed.select(*raw.columns, place)
+
+
 def _checked(raw: DataFrame, max_custom: int | None, key: str | None) -> DataFrame:
     enabled = numbered(raw, max_custom, key).filter("coalesce(enabled, true)")
     compiled = _compiled(

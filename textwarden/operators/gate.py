@@ -24,7 +24,7 @@ LEVEL_COLOURS = {"HIGH": "#f14c4c", "MEDIUM": "#cca700", "LOW": "#8dc891"}
 def gate_units(
     changes: DataFrame,
     rules: Sequence[Rule] | None = None,
-    max_bytes: int = MAX_TEXT_BYTES,
+    max_bytes: int | None = MAX_TEXT_BYTES,
     text: str = "text",
 ) -> DataFrame:
     """The units of a change feed that the gate scans."""
@@ -35,29 +35,31 @@ def gate_verdict(
     changes: DataFrame,
     rules: Sequence[Rule] | None = None,
     key: str = "change_id",
-    max_bytes: int = MAX_TEXT_BYTES,
+    max_bytes: int | None = MAX_TEXT_BYTES,
     text: str = "text",
 ) -> DataFrame:
     """One row per change set: blocked if any scanned unit has a finding of any level.
 
-    Change sets whose units are all skipped pass.  An error fails the job, so no
-    verdict is ever written for texts that were not scanned.
+    Change sets whose units are all skipped pass; ``skipped_units`` counts those that
+    would be scanned but are larger than the limit.  An error fails the job.
     """
-    scanned = is_scanned(F.col("change_type"), F.col("path")) & fits(F.col(text), max_bytes)
+    wanted = F.coalesce(is_scanned(F.col("change_type"), F.col("path")), F.lit(False))
+    fitting = fits(F.col(text), max_bytes)
     marked = computed_once(
-        changes.select(key, text, F.coalesce(scanned, F.lit(False)).alias("_scanned")),
+        changes.select(key, text, (wanted & fitting).alias("_scanned"), (wanted & ~fitting).alias("_skipped")),
         offends=f"_scanned AND {any_hit(ident(text), rules)}",
     )
     return marked.groupBy(key).agg(
         F.when(F.max("offends"), "block").otherwise("pass").alias("verdict"),
         F.count_if("offends").alias("offending_units"),
+        F.count_if("_skipped").alias("skipped_units"),
     )
 
 
 def gate_report(
     changes: DataFrame,
     rules: Sequence[Rule] | None = None,
-    max_bytes: int = MAX_TEXT_BYTES,
+    max_bytes: int | None = MAX_TEXT_BYTES,
     text: str = "text",
     path: str = "path",
 ) -> DataFrame:
@@ -91,7 +93,7 @@ def alerts(scored: DataFrame) -> DataFrame:
 def status_summary(
     df: DataFrame,
     rules: Sequence[Rule] | None = None,
-    max_bytes: int = MAX_TEXT_BYTES,
+    max_bytes: int | None = MAX_TEXT_BYTES,
     text: str = "text",
     path: str | None = "path",
 ) -> DataFrame:
@@ -113,7 +115,7 @@ def status_summary(
         *kept,
         F.when(fits_now, shown).otherwise("File too large").alias("status"),
         F.when(fits_now, tip)
-        .otherwise(F.format_string("File exceeds %dKB scanning limit", F.lit(max_bytes // 1024)))
+        .otherwise(F.format_string("File exceeds %dKB scanning limit", F.lit((max_bytes or 0) // 1024)))
         .alias("tooltip"),
         F.when(fits_now, colour).alias("colour"),
     )

@@ -5,21 +5,29 @@ Menus count in the order the file lists them, so they are read as maps, which ke
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_ITEMS = "array<struct<command:string,when:string,`group`:string>>"
-
-
 def _part(name: str):
     return F.get_json_object("manifest", f"$.contributes.{name}")
 
 
+def _entries(listed: str, pos: str):
+    """The entries of a JSON list one by one, so that a malformed one costs no other."""
+    return F.expr(f"posexplode(try_variant_get(try_parse_json({listed}), '$', 'array<variant>'))").alias(pos, "entry")
+
+
+def _text(field: str):
+    """A field of an entry; null unless it is text."""
+    kind = f"schema_of_variant(try_variant_get(entry, '$.{field}', 'variant'))"
+    return F.expr(f"if({kind} = 'STRING', try_variant_get(entry, '$.{field}', 'string'), NULL)").alias(field)
+
+
 def contributed_commands(manifests: DataFrame) -> DataFrame:
-    """``(repo_id, pos, command, title)`` as contributed."""
-    listed = F.from_json(_part("commands"), "array<struct<command:string,title:string>>")
-    rows = manifests.select("repo_id", F.posexplode(listed).alias("pos", "entry"))
-    return rows.select("repo_id", "pos", "entry.command", "entry.title")
+    """``(repo_id, pos, command, title)`` as contributed; entries that name no command are left out."""
+    listed = manifests.select("repo_id", _part("commands").alias("listed"))
+    rows = listed.select("repo_id", _entries("listed", "pos"))
+    return rows.select("repo_id", "pos", _text("command"), _text("title")).filter("command IS NOT NULL")
 
 
 def menu_contributions(manifests: DataFrame) -> DataFrame:
@@ -30,12 +38,11 @@ def menu_contributions(manifests: DataFrame) -> DataFrame:
 
 
 def menu_items(manifests: DataFrame) -> DataFrame:
+    """Items that name a command, with their conditions."""
     menus = menu_contributions(manifests)
-    rows = menus.select(
-        "repo_id", "menu_pos", "location",
-        F.posexplode(F.from_json("items", _ITEMS)).alias("item_pos", "entry"),
-    )
-    return rows.select("repo_id", "menu_pos", "item_pos", "location", "entry.*")
+    rows = menus.select("repo_id", "menu_pos", "location", _entries("items", "item_pos"))
+    named = rows.select("repo_id", "menu_pos", "item_pos", "location", *map(_text, ("command", "when", "group")))
+    return named.filter("command IS NOT NULL")
 
 
 def manifest_commands(manifests: DataFrame) -> DataFrame:
@@ -86,15 +93,3 @@ def manifest_features(manifests: DataFrame, source_folder: str = "src") -> DataF
         F.lit("User-configurable settings").alias("description"), nothing,
     )
     return commands.unionByName(menus).unionByName(settings)
-
-
-def source_listing(spark: SparkSession, path: str, glob: str = "*.ts") -> DataFrame:
-    """Paths of the source files below ``path``; their content is not read."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
-        .option("ignoreMissingFiles", True)
-        .load(path)
-    )
-    return files.select("path", F.col("length").alias("n_bytes"))

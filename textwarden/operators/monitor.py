@@ -59,7 +59,7 @@ def narrow_ticks(
 
     ``keep_clean`` also keeps the sanitized text of ticks that may alert.
     """
-    rules = rules or builtin_rules()
+    rules = builtin_rules() if rules is None else rules
     plain = rows.withColumn(
         "text", F.when(F.col("kind") == "tick", F.coalesce("text", F.lit("")))
     )

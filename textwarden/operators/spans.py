@@ -230,8 +230,10 @@ def diagnostics_rows(
 def placeholder_of(pattern_id: Column, rules: Sequence[Rule] | None = None) -> Column:
     """Placeholder of the first rule with the id, or null."""
     first: dict[str, str] = {}
-    for rule in rules or builtin_rules():
+    for rule in builtin_rules() if rules is None else rules:
         first.setdefault(rule.id, rule.placeholder)
+    if not first:
+        return F.lit(None).cast("string")
     table = F.create_map(*[F.lit(x) for pair in first.items() for x in pair])
     return F.try_element_at(table, pattern_id)
 

@@ -6,21 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textwarden.operators.manifests import (
-    contributed_commands, manifest_commands, manifest_features, menu_contributions, source_listing,
+    contributed_commands, manifest_commands, manifest_features, menu_contributions,
 )
 from textwarden.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
 
 # One manifest per customer, as SQL both engines run.  Menus are not in alphabetical
-# order, one command is contributed twice, one menu item names an unknown command.
+# order, one command is contributed twice, one menu item names an unknown command, and
+# some entries are malformed.
 _MANIFEST = """CASE WHEN c_custkey % 11 = 5 THEN c_name ELSE concat(
     '{"name": "', c_name, '", "contributes": {"commands": [',
     '{"command": "k', c_custkey, '.open", "title": "Open ', c_mktsegment, '"}, ',
-    '{"command": "k', c_custkey, '.close", "title": "Close"}, ',
+    '"no entry", {"title": "no command"}, {"command": 7}, ',
+    '{"command": "k', c_custkey, '.close", "title": "Close"}, null, ',
     '{"command": "k', c_custkey, '.open", "title": "Open again"}], ',
     '"menus": {"view/title": [{"command": "k', c_custkey, '.open", "when": "focus", "group": "1"}, ',
-    '{"command": "k', c_custkey, '.extra", "when": "x"}], ',
+    '["no item"], 5, {"command": "k', c_custkey, '.extra", "when": "x"}], ',
     '"editor/context": [{"command": "k', c_custkey, '.open", "group": "', c_nationkey, '"}]}',
     CASE c_custkey % 3 WHEN 0 THEN ', "configuration": {"title": "T"}' WHEN 1 THEN ', "configuration": null' ELSE '' END,
     '}}') END"""
@@ -41,7 +43,8 @@ QUERIES["manifest_contributed"] = Query(
     ),
     _MANIFESTS_SQL + """, listed AS (SELECT repo_id, json_extract(manifest, '$.contributes.commands[*]')
       AS l FROM good), rows AS (SELECT repo_id, unnest(l) AS e, unnest(range(0, len(l))) AS pos FROM listed)
-    SELECT repo_id, CAST(pos AS BIGINT) AS pos, e->>'$.command' AS command, e->>'$.title' AS title FROM rows""",
+    SELECT repo_id, CAST(pos AS BIGINT) AS pos, e->>'$.command' AS command, e->>'$.title' AS title FROM rows
+    WHERE json_type(e, '$.command') = 'VARCHAR'""",
 )
 
 
@@ -89,12 +92,3 @@ QUERIES["manifest_features"] = Query(
     UNION ALL SELECT 'menu', 'Context menu contributions for editor/context', count(*), 0 FROM good
     UNION ALL SELECT 'configuration', 'User-configurable settings', count(*), 0 FROM good WHERE c_custkey % 3 = 0""",
 )
-
-
-def _listing(spark, sf_dir):
-    """The files that hold the tables, listed without reading them."""
-    files = source_listing(spark, sf_dir, "*.parquet")
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "n_bytes")
-
-
-QUERIES["source_listing"] = Query(_listing)

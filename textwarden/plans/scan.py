@@ -210,7 +210,7 @@ GLOBS = ("/w/docs/**", "/w/*.tf", "**/.env", "/w/?.spec.ts")
 
 def _diagnostics(spark, sf_dir):
     units = planted(spark, sf_dir).select("doc_id", "path", "text")
-    rows = diagnostics_rows(units, globs=GLOBS, max_bytes=8192)
+    rows = diagnostics_rows(units, globs=GLOBS)
     return rows.select(
         "doc_id", "path", "message", "severity", "code", "diagnostic_source",
         *_big("line", "character", "end_line", "end_character"),
@@ -226,7 +226,7 @@ def _glob_sql(path: str = "path") -> str:
 
 QUERIES["diagnostics_rows"] = Query(
     _diagnostics,
-    _spans_sql(f"SELECT * FROM ({PLANTED_SQL}) p WHERE strlen(text) <= 8192 AND NOT {_glob_sql()}")
+    _spans_sql(f"SELECT * FROM ({PLANTED_SQL}) p WHERE strlen(text) <= 204800 AND NOT {_glob_sql()}")
     + f""" SELECT s.doc_id, u.path, 'Sensitive data detected: ' || s.label AS message,
       'Warning' AS severity, s.pattern_id AS code, 'textwarden' AS diagnostic_source,
       {_prefix_line('s.start_at').replace('text', 's.text')} AS line,
@@ -517,34 +517,39 @@ QUERIES["alerts"] = Query(
 
 def _status(spark, sf_dir):
     units = planted(spark, sf_dir).select("doc_id", "path", "text")
-    return status_summary(units, max_bytes=8192).select("doc_id", "status", "tooltip", "colour")
+    return status_summary(units).select("doc_id", "status", "tooltip", "colour")
 
 
 QUERIES["status_summary"] = Query(
     _status,
     f"WITH {sql.scored(PLANTED_SQL)} SELECT doc_id, "
-    "CASE WHEN strlen(text) > 8192 THEN 'File too large' ELSE level || ' (' || score || ')' END "
-    "AS status, CASE WHEN strlen(text) > 8192 THEN 'File exceeds 8KB scanning limit' "
+    "CASE WHEN strlen(text) > 204800 THEN 'File too large' ELSE level || ' (' || score || ')' END "
+    "AS status, CASE WHEN strlen(text) > 204800 THEN 'File exceeds 200KB scanning limit' "
     "ELSE 'Sensitive data risk: ' || level || '. ' || finding_count || ' finding(s).' END AS tooltip, "
-    "CASE WHEN strlen(text) > 8192 THEN NULL WHEN level = 'HIGH' THEN '#f14c4c' "
+    "CASE WHEN strlen(text) > 204800 THEN NULL WHEN level = 'HIGH' THEN '#f14c4c' "
     "WHEN level = 'MEDIUM' THEN '#cca700' ELSE '#8dc891' END AS colour FROM risk",
 )
 
 # -- gates -----------------------------------------------------------------
 
 # Change types met in a change feed; D and T bring no content to scan.
+_ENLARGED_SQL = (
+    "CASE WHEN doc_id % 40 = 7 THEN repeat(text, CAST(1 + 204800 // greatest(strlen(text), 1) AS BIGINT)) ELSE text END"
+)
 _CHANGE_TYPES = ("A", "C", "M", "R", "D", "T")
 _CHANGES_SQL = (
     f"SELECT doc_id, source || '-' || (doc_id % 7) AS change_id, path, "
-    f"{pick_sql(_CHANGE_TYPES, 'doc_id')} AS change_type, text FROM ({PLANTED_SQL}) p"
+    f"{pick_sql(_CHANGE_TYPES, 'doc_id')} AS change_type, {_ENLARGED_SQL} AS text FROM ({PLANTED_SQL}) p"
 )
 _SCANNED_SQL = (
-    "change_type IN ('A', 'C', 'M', 'R') AND coalesce(path, '') <> '' AND strlen(text) <= 8192"
+    "change_type IN ('A', 'C', 'M', 'R') AND coalesce(path, '') <> '' AND strlen(text) <= 204800"
 )
 
 
 def _changes(spark, sf_dir):
-    units = planted(spark, sf_dir)
+    units = planted(spark, sf_dir).withColumn("text", F.expr(
+        "if(doc_id % 40 = 7, repeat(text, int(1 + 204800 div greatest(octet_length(text), 1))), text)"
+    ))
     group = F.concat("source", F.lit("-"), F.pmod("doc_id", F.lit(7)).cast("string"))
     return units.select(
         "doc_id", group.alias("change_id"), "path",
@@ -553,21 +558,23 @@ def _changes(spark, sf_dir):
 
 
 def _verdict(spark, sf_dir):
-    rows = gate_verdict(_changes(spark, sf_dir), max_bytes=8192)
-    return rows.select("change_id", "verdict", *_big("offending_units"))
+    rows = gate_verdict(_changes(spark, sf_dir))
+    return rows.select("change_id", "verdict", *_big("offending_units", "skipped_units"))
 
 
 _OFFENDS_SQL = f"({_SCANNED_SQL}) AND ({' OR '.join(sql.matches('text', r) for r in builtin_rules())})"
 QUERIES["gate_verdict"] = Query(
     _verdict,
-    f"WITH changes AS ({_CHANGES_SQL}), marked AS (SELECT change_id, {_OFFENDS_SQL} AS offends "
+    f"WITH changes AS ({_CHANGES_SQL}), marked AS (SELECT change_id, {_OFFENDS_SQL} AS offends, "
+    "change_type IN ('A', 'C', 'M', 'R') AND coalesce(path, '') <> '' AND strlen(text) > 204800 AS skipped "
     "FROM changes) SELECT change_id, CASE WHEN bool_or(offends) THEN 'block' ELSE 'pass' END "
-    "AS verdict, CAST(count_if(offends) AS BIGINT) AS offending_units FROM marked GROUP BY change_id",
+    "AS verdict, CAST(count_if(offends) AS BIGINT) AS offending_units, "
+    "CAST(count_if(skipped) AS BIGINT) AS skipped_units FROM marked GROUP BY change_id",
 )
 
 
 def _report(spark, sf_dir):
-    rows = gate_report(_changes(spark, sf_dir), max_bytes=8192)
+    rows = gate_report(_changes(spark, sf_dir))
     return rows.select("change_id", "doc_id", "report")
 
 
@@ -732,7 +739,7 @@ QUERIES["risk_parts"] = Query(
 
 def _scan_and_copy(spark, sf_dir):
     """Gate, scan, score and clean in one plan."""
-    units = blank_gate(size_gate(planted(spark, sf_dir), 8192))
+    units = blank_gate(size_gate(planted(spark, sf_dir)))
     scored = score_units(units.select("doc_id", "path", "text"), path="path")
     return scored.select(
         "doc_id", *_big("score"), "level",
@@ -742,6 +749,6 @@ def _scan_and_copy(spark, sf_dir):
 
 QUERIES["scan_and_copy"] = Query(
     _scan_and_copy,
-    f"WITH {sql.scored(f'SELECT * FROM ({PLANTED_SQL}) p WHERE strlen(text) <= 8192')} "
+    f"WITH {sql.scored(f'SELECT * FROM ({PLANTED_SQL}) p WHERE strlen(text) <= 204800')} "
     f"SELECT doc_id, score, level, md5({sql.rewrite('text')}) AS clean_md5 FROM risk",
 )

@@ -17,7 +17,7 @@ def rules_values(rules: Sequence[Rule] | None = None) -> str:
     rows = ", ".join(
         f"({r.ord}, {quoted(r.id)}, {quoted(r.label)}, {quoted(r.placeholder)}, "
         f"{float(r.risk)!r}::DOUBLE, {str(r.critical).lower()}, {quoted(r.detector(dialect.RE2))})"
-        for r in (rules or builtin_rules())
+        for r in (builtin_rules() if rules is None else rules)
     )
     return (
         f"SELECT * FROM (VALUES {rows}) "
@@ -28,7 +28,7 @@ def rules_values(rules: Sequence[Rule] | None = None) -> str:
 def hits(source: str, key: str = "doc_id", rules: Sequence[Rule] | None = None) -> str:
     """Rows (key, ord) of the rules that hit the texts of ``source``."""
     flags = ", ".join(
-        f"CASE WHEN {matches('text', r)} THEN {r.ord} END" for r in (rules or builtin_rules())
+        f"CASE WHEN {matches('text', r)} THEN {r.ord} END" for r in (builtin_rules() if rules is None else rules)
     )
     return (
         f"SELECT {key}, ord FROM (SELECT {key}, unnest([{flags}]) AS ord FROM {source}) "
@@ -39,7 +39,7 @@ def hits(source: str, key: str = "doc_id", rules: Sequence[Rule] | None = None)
 def rewrite(column: str, rules: Sequence[Rule] | None = None) -> str:
     """Every rule applied in order."""
     out = column
-    for rule in rules or builtin_rules():
+    for rule in builtin_rules() if rules is None else rules:
         pattern, replacement = rule.rewriter(dialect.RE2)
         out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(replacement)}, 'g')"
     return out

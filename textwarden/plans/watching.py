@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textwarden.functions.risk import score_units
+from textwarden.functions.rules import builtin_rules
 from textwarden.operators.monitor import (
     bad_rows, changed_ticks, good_rows, monitor, sanitized_texts,
 )
@@ -104,14 +105,14 @@ _MONITOR_SQL = f"""
     outcomes AS (
       SELECT r.owner, r.seq, r.ts, r.score, r.level, r.findings,
         CASE WHEN suppressed THEN 'suppressed' WHEN text = '' OR text = memory THEN 'unchanged'
-          WHEN strlen(text) > 8192 THEN 'too_large' WHEN r.seq > i.since THEN 'ignored'
+          WHEN strlen(text) > 204800 THEN 'too_large' WHEN r.seq > i.since THEN 'ignored'
           WHEN level = 'LOW' THEN 'low' ELSE 'alert' END AS outcome
       FROM remembered r LEFT JOIN ignored i ON r.owner = i.owner AND r.path = i.path
       WHERE r.kind = 'tick')"""
 
 
 def _outcomes(spark, sf_dir):
-    rows = monitor(ticks(spark, sf_dir), max_bytes=8192, width=WIDTH)
+    rows = monitor(ticks(spark, sf_dir), width=WIDTH)
     return rows.select("owner", "seq", "outcome")
 
 
@@ -121,7 +122,7 @@ QUERIES["monitor_outcomes"] = Query(
 
 
 def _alerts(spark, sf_dir):
-    rows = monitor(ticks(spark, sf_dir), max_bytes=8192, width=WIDTH)
+    rows = monitor(ticks(spark, sf_dir), width=WIDTH)
     return rows.filter("outcome = 'alert'").select("owner", "seq", "message")
 
 
@@ -133,7 +134,7 @@ QUERIES["monitor_alerts"] = Query(
 
 
 def _rate(spark, sf_dir):
-    rows = monitor(ticks(spark, sf_dir), max_bytes=8192, width=WIDTH)
+    rows = monitor(ticks(spark, sf_dir), width=WIDTH)
     rate = alert_rate(rows.filter("outcome = 'alert'"))
     return rate.select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "level", "alerts"
@@ -232,7 +233,7 @@ def _streamed(spark, sf_dir):
         part = rows.filter((F.col("seq") >= low) & (F.col("seq") < high))
         part.write.mode("append").parquet(f"{folder}/in")
         stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
-        outcomes = monitor_stream(stream, max_bytes=8192)
+        outcomes = monitor_stream(stream)
         write_stream(
             outcomes, f"{folder}/out", f"{folder}/state", once=True, state_partitions=_cores(spark)
         ).awaitTermination()
@@ -263,7 +264,7 @@ def _streamed_scan(spark, sf_dir):
         kept = scored.select("doc_id", "score", "level")
         kept.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    query = scan_stream(pages, lambda session: (), write, f"{folder}/state", once=True)
+    query = scan_stream(pages, lambda session: builtin_rules(), write, f"{folder}/state", once=True)
     query.awaitTermination()
     return spark.read.parquet(f"{folder}/out").select(
         "doc_id", F.col("score").cast("bigint").alias("score"), "level"

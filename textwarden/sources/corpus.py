@@ -6,7 +6,7 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from textwarden.functions import dialect
@@ -30,31 +30,36 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if keys else df.repartition(cores)
 
 
+def _tolerant(reader: DataFrameReader, skip_damaged: bool) -> DataFrameReader:
+    return reader.option("ignoreCorruptFiles", skip_damaged).option("ignoreMissingFiles", skip_damaged)
+
+
 def scan_corpus(
-    spark: SparkSession, path: str, columns: Sequence[str] | None = None, key: str | None = None
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None, key: str | None = None,
+    skip_damaged: bool = False,
 ) -> DataFrame:
-    """Reads a parquet table of text units; damaged or vanished files are skipped."""
-    reader = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
-    df = reader.parquet(path)
+    """Reads a parquet table of text units.
+
+    A damaged or vanished file fails the job.  With ``skip_damaged`` such files are left
+    out, and their units are not scanned.
+    """
+    df = _tolerant(spark.read, skip_damaged).parquet(path)
     if columns:
         df = df.select(*columns)
     return spread(df, *([key] if key else []))
 
 
 def scan_files(
-    spark: SparkSession, path: str, glob: str | None = None, max_bytes: int | None = None
+    spark: SparkSession, path: str, glob: str | None = None, max_bytes: int | None = None,
+    skip_damaged: bool = False,
 ) -> DataFrame:
     """Reads files as units ``(path, text, n_bytes)``.
 
     The size test is pushed to the file listing, so content that is too large is
-    never read.  Bytes that are not UTF-8 become U+FFFD.
+    never read.  Bytes that are not UTF-8 become U+FFFD.  Files that cannot be read fail
+    the job, unless ``skip_damaged`` leaves them out.
     """
-    reader = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("ignoreCorruptFiles", True)
-        .option("ignoreMissingFiles", True)
-    )
+    reader = _tolerant(spark.read.format("binaryFile").option("recursiveFileLookup", True), skip_damaged)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     files = reader.load(path)
@@ -138,7 +143,9 @@ def ignore_paths(df: DataFrame, ignored: DataFrame, keys: Sequence[str] = ("owne
     return df.join(ignored.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def write_clean_copy(df: DataFrame, path: str, sanitized: str = "sanitized", mode: str = "append") -> None:
-    """Writes the units with their sanitized text; the original text stays behind."""
-    kept = [c for c in df.columns if c not in ("text", "matched", sanitized)]
-    df.select(*kept, F.col(sanitized).alias("text")).write.mode(mode).parquet(path)
+def write_clean_copy(
+    df: DataFrame, path: str, sanitized: str = "sanitized", mode: str = "append", text: str = "text"
+) -> None:
+    """Writes the units with their sanitized text; the column ``text`` stays behind."""
+    kept = [c for c in df.columns if c not in (text, "matched", sanitized)]
+    df.select(*kept, F.col(sanitized).alias(text)).write.mode(mode).parquet(path)

@@ -18,17 +18,18 @@ RAW_COLUMNS = (
 
 
 def load_rule_files(
-    spark: SparkSession, path: str, file_name: str = DEFAULT_FILE_NAME
+    spark: SparkSession, path: str, file_name: str = DEFAULT_FILE_NAME, skip_damaged: bool = False
 ) -> DataFrame:
     """``(repo_id, folder, content)`` of every rule file below ``path``.
 
     The folder that holds the file names the repository.  Spark lists no files whose name
     starts with a dot, so neither may these.  A repository without a file
-    simply has no row, hence no rules.
+    simply has no row, hence no rules.  A file that cannot be read fails the job, unless
+    ``skip_damaged`` leaves it, and its rules, out.
     """
     files = (
-        spark.read.option("ignoreMissingFiles", True)
-        .option("ignoreCorruptFiles", True)
+        spark.read.option("ignoreMissingFiles", skip_damaged)
+        .option("ignoreCorruptFiles", skip_damaged)
         .text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=file_name)
     )
     folder = F.regexp_replace(F.col("_metadata.file_path"), r"/[^/]*\z", "")
