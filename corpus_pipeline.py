@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from textwarden.llm import exact, mixing, odd_sketch, pieces, toxicity
 from textwarden.llm.queries import VOCABULARY_PATH, id_remainder
+from textwarden.llm.workers import reachable
 from textwarden.operators.staging import shared_folder
 
 #: Near duplicates share 0.8 of their five-word shingles.
@@ -22,17 +23,19 @@ NEAR = odd_sketch.Settings(words=5, least=80)
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not scored toxic."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labels = reachable(spark).read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.keep_clean(docs, toxicity.train(docs, labels))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every text; half of them is the history that is indexed."""
+    reachable(spark)
     return exact.keep_first(docs, id_remainder("doc_id", 2) == 0)
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near duplicates."""
+    reachable(spark)
     return odd_sketch.keep_one(docs, NEAR)
 
 
@@ -44,6 +47,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def segmented(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Distinct sampled segmentations of every text."""
+    reachable(spark)
     return pieces.encode(docs, pieces.read_vocabulary(VOCABULARY_PATH)).withColumnRenamed("key", "doc_id")
 
 

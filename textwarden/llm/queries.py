@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from textwarden.llm import exact, langid, license_rules, mixing, odd_sketch, pieces, resample, suffix_dedup, topk, toxicity
 from textwarden.llm.license_sql import LICENSE_SQL
+from textwarden.llm.workers import reachable
 from textwarden.plans.registry import Query
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return reachable(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def id_remainder(key: str, modulus: int) -> Column:
@@ -98,7 +99,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    vectors = reachable(spark).read.parquet(f"{sf_dir}/embeddings.parquet")
     return topk.top_k(vectors, lambda id_: id_ % 20 == 0)
 
 
