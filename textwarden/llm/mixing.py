@@ -29,6 +29,8 @@ from textwarden.operators.staging import stage
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of a block, slots of an output shard, rows of a chunk on average.
 BLOCK_WORDS, SHARD_SLOTS, CHUNK_ROWS = 64, 4096, 4096
+#: Slots that a task numbers.
+TASK_SLOTS = 1 << 16
 #: Weights of the sources in order, repeating; the mix's size against the input; passes.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 #: Cells that the range of a draw is cut into, to find its source by an equality join.
@@ -77,6 +79,7 @@ def source_targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: f
 def packed(rows: DataFrame, chunks: int, targets: DataFrame) -> DataFrame:
     """Rows with ``chunk``, ``rn`` within it, ``start``, their first word's place in the source, and its target."""
     cut = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
+    cut = cut.repartition(chunks, "skey", "chunk")
     sums = cut.groupBy("skey", "chunk").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("skey").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("skey", "chunk", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("chunk_start"))
@@ -116,7 +119,8 @@ def permuted(x: str, n: str, seed: Column) -> Column:
 def shard_draws(wanted: DataFrame, shards: int, slots: int, shard_slots: int, seed: int) -> DataFrame:
     """``(skey, shard, drawn)`` of sources ``(skey, slots, slots_before)``: multinomial counts."""
     width = max(1, -(-slots // CELLS))
-    draws = wanted.sparkSession.range(shards).select(
+    tasks = max(1, -(-shards * shard_slots // TASK_SLOTS))
+    draws = wanted.sparkSession.range(0, shards, 1, tasks).select(
         F.col("id").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(shard_slots - 1))).alias("slot")
     ).withColumn("u", F.pmod(F.xxhash64("shard", "slot", F.lit(seed)), F.lit(slots)))
     last = F.col("slots_before") + F.col("slots") - 1
@@ -150,7 +154,9 @@ def mix_slots(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: i
     ).join(wanted.hint("merge"), "skey")
     scaled = lambda c: F.floor(c / F.col("all_drawn") * F.col("slots"))
     counts = counts.withColumn("a", scaled(F.col("upto") - F.col("drawn"))).withColumn("b", scaled(F.col("upto")))
-    each = counts.filter("b > a").select("skey", "shard", "blocks", F.explode(F.sequence(F.col("a"), F.col("b") - 1)).alias("slot"))
+    # Few rows that become many: dealt out before, or one task would number a hot source's slots.
+    dealt = counts.filter("b > a").repartition(max(1, -(-slots // TASK_SLOTS)), "skey", "shard")
+    each = dealt.select("skey", "shard", "blocks", F.explode(F.sequence(F.col("a"), F.col("b") - 1)).alias("slot"))
     each = each.withColumn("pass", F.expr("slot div blocks")).withColumn("x", F.expr("slot % blocks"))
     seeded = F.concat_ws(":", F.col("skey"), F.col("pass").cast("string"), F.lit(str(seed)))
     return each.select("skey", "shard", "slot", "pass", permuted("x", "blocks", seeded).alias("block"))
