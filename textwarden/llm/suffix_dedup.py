@@ -7,8 +7,8 @@ hash in it; equal strings have equal anchors at equal offsets.  Neighbouring str
 one anchor travel together, as one passage, and in two halves by offset, so that all
 strings of a half hold the same ``CORE`` bytes or more around the anchor.
 
-1. Blocks of rows find their passages.  Of passages that agree within a block the first
-   one goes on; the others are repeats already.  Cores go to parts by their hash.
+1. Tasks find the passages of their rows.  Of passages that agree among many rows at once
+   the first goes on; the others are repeats already.  Cores go to parts by their hash.
 2. A part finds the cores that occur more than once.
 3. Documents meet their repeated cores and send those passages' bytes to parts.
 4. A part sorts the passages of a core twice, rightwards and leftwards from the anchor:
@@ -18,7 +18,7 @@ strings of a half hold the same ``CORE`` bytes or more around the anchor.
 5. Documents meet the ranges that go, and drop them.
 
 What is shuffled is packed by part; the number of parts follows the bytes of the input.
-An exact copy of a hot text is at most one passage per block and place.  Passages that
+Copies of a hot text are one passage per place and some hundred thousand passages.  Passages that
 share a core but differ around it, as at the edges of a passage that very many documents
 quote, are sorted in one part, about 150 bytes each.
 
@@ -51,6 +51,8 @@ CORE = LENGTH - HALF + 1
 PART_BYTES, SEGMENT = 8 << 20, 8 << 20
 #: Bytes of text whose passages are found at once.
 BLOCK_BYTES = 1 << 20
+#: Passages that a task holds before it packs them.
+HELD = 1 << 19
 #: Depth in bytes at which quicksort gives way to blind tries.
 SHALLOW = 32
 _NO_ID = 2**63 - 1
@@ -197,6 +199,7 @@ def _stretches(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.
 
 
 def _find(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    held: list[dict[str, np.ndarray]] = []
     for batch in textnum.blocks(batches, limit=BLOCK_BYTES):
         texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
         okey, row = batch.column("okey").to_numpy(), batch.column("row").to_numpy().astype("<u4")
@@ -213,18 +216,29 @@ def _find(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
         c = {name: np.concatenate(parts_) if parts_ else np.zeros(0, np.int64) for name, parts_ in found.items()}
         if not len(c["at"]):
             continue
-        order = np.lexsort((c["at"], c["row"], c["okey"], c["whole"]))
-        c = {name: column[order] for name, column in c.items()}
-        repeat = _repeats(c["whole"], c["okey"], c["row"], c["at"])
-        span = {k: c[k][repeat] for k in ("okey", "row")}
-        span["start"] = (c["at"] - c["high"])[repeat]
-        span["end"] = (c["at"] - c["low"])[repeat] + LENGTH
-        by_document = np.lexsort((c["at"], c["row"], c["okey"]))
-        by_document = by_document[~repeat[by_document]]  # which packs better
-        c = {name: column[by_document] for name, column in c.items()}
-        rows = [("core", p, b) for p, b in _dealt(_core_part(c["core"], parts), c, _FIELDS)]
-        rows += [("span", p, b) for p, b in _dealt(_document_part(span["okey"], span["row"], parts), span, _SPANS)]
-        yield _kind(rows)
+        held.append(c)
+        if sum(len(h["at"]) for h in held) >= HELD:
+            yield _pack_found(held, parts)
+            held = []
+    if held:
+        yield _pack_found(held, parts)
+
+
+def _pack_found(held: list[dict[str, np.ndarray]], parts: int) -> pa.RecordBatch:
+    """Passages by the part of their core; those that repeat one among them are spans already."""
+    c = {name: np.concatenate([h[name] for h in held]) for name in held[0]}
+    order = np.lexsort((c["at"], c["row"], c["okey"], c["whole"]))
+    c = {name: column[order] for name, column in c.items()}
+    repeat = _repeats(c["whole"], c["okey"], c["row"], c["at"])
+    span = {k: c[k][repeat] for k in ("okey", "row")}
+    span["start"] = (c["at"] - c["high"])[repeat]
+    span["end"] = (c["at"] - c["low"])[repeat] + LENGTH
+    by_document = np.lexsort((c["at"], c["row"], c["okey"]))
+    by_document = by_document[~repeat[by_document]]  # which packs better
+    c = {name: column[by_document] for name, column in c.items()}
+    rows = [("core", p, b) for p, b in _dealt(_core_part(c["core"], parts), c, _FIELDS)]
+    rows += [("span", p, b) for p, b in _dealt(_document_part(span["okey"], span["row"], parts), span, _SPANS)]
+    return _kind(rows)
 
 
 def _repeats(group: np.ndarray, okey: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -388,8 +402,9 @@ def _compare(c: dict[str, np.ndarray], flat: np.ndarray, start: np.ndarray) -> n
     base = np.where(low >= HALF, HALF, 0)
     column = np.arange(HALF)
     covers = (column >= (low - base)[:, None]) & (column <= (high - base)[:, None])
-    prefix = textnum.prefix_hash(flat)
-    value = textnum.range_hash(prefix, start, start + size) + (low * 256 + high).astype(np.uint64)
+    value = (low * 256 + high).astype(np.uint64)
+    for depth in range(0, int(size.max()), 8):
+        value = textnum.mixed(value + _words(flat, start, size, np.full(n, depth)))
     new = np.ones(n, bool)
     new[1:] = c["core"][1:] != c["core"][:-1]
     group = np.cumsum(new) - 1
