@@ -36,3 +36,48 @@ def test_messy(messy, nothing):
     assert license_rules.scan_licenses(nothing).count() == 0
     plan = license_rules.scan_licenses(messy)._jdf.queryExecution().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+#: A text for every known sentence, without further words that speak of licences where the sentence has none.
+EXAMPLES = {
+    "SPDX-License-Identifier: Zlib": "spdx:zlib",
+    "Under the GNU Affero General Public License version 3": "agpl:3",
+    "Under the GNU Lesser General Public License version 2.1": "lgpl:2.1",
+    "Under the GNU General Public\nLicence, version 2": "gpl:2",
+    "Apache License 2.0": "apache:2.0",
+    "Mozilla Public License 2.0": "mozilla:2.0",
+    "Eclipse Public License 1.0": "eclipse:1.0",
+    "Released as CC0 1.0.": "cc0:1.0",
+    "Dedicated under Creative\nCommons Zero": "cc0",
+    "Data: CC BY-NC-SA 4.0": "ccbyncsa:4.0",
+    "Data: CC BY-NC-ND 4.0": "ccbyncnd:4.0",
+    "Data: CC BY-NC 4.0": "ccbync:4.0",
+    "This dataset is available under CC BY-SA 4.0.": "ccbysa:4.0",
+    "Data: CC-BY-ND 4.0": "ccbynd:4.0",
+    "Data: CC BY 4.0": "ccby:4.0",
+    "Creative Commons Attribution 4.0": "ccby",
+    "The MIT License": "mitnamed",
+    "Released under the BSD 2-Clause.": "bsdnamed:2",
+    "A 3-clause\nBSD text": "bsdnamed:3",
+    "The ISC License": "iscnamed",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy": "mitgrant",
+    "The above copyright notice and this permission notice shall be included": "mitnotice",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose": "iscgrant",
+    "Redistribution and use in source and binary forms are permitted": "bsdgrant",
+    "Redistributions of source code must retain it": "bsdsource",
+    "Redistributions in binary form must reproduce it": "bsdbinary",
+    "Neither\nthe name nor it may be used to endorse": "bsdendorse",
+    "This is in the public\ndomain": "publicdomain",
+    "It is provided as\nis": "asis",
+    "In no\nevent shall they pay": "liability",
+    "Or, at your option, any later\nversion": "laterversion",
+    "All rights\nreserved": "copyright",
+    "A hash is 3fcc0a1, see acc by mail": "",
+}
+
+
+def test_every_known_sentence_passes_the_gates(spark):
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(EXAMPLES)], SCHEMA)
+    got = {r.doc_id: r.sentence_ids for r in license_rules.scan_licenses(docs).collect()}
+    assert [got[i] for i in range(len(EXAMPLES))] == list(EXAMPLES.values())
+    assert {e.split(":")[0] for e in EXAMPLES.values() if e} == {k.id for k in license_rules.SENTENCES}

@@ -17,7 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A text without any of these words has no licence sentence.
+#: Unknown sentences count only in texts with any of these words.
 SPEAKS = r"(?i)licen[cs]|copyright|warrant|as is|permission|redistribut|public domain|all rights reserved|neither the name|in no event"
 #: The same on a normalised sentence.
 SPEAKS_NORMAL = r"licen[cs]|copyright|warrant|as is|permission|redistribut|public domain|all rights reserved|neither the name|in no event"
@@ -31,41 +31,49 @@ class Sentence(NamedTuple):
 
     id: str
     pattern: str
+    #: What every text with such a sentence holds; ``~`` stands for what may be between two words.
+    needs: str
 
 
 #: Known sentences, the first that fits counts.
 SENTENCES = (
-    Sentence("spdx", r"spdx-license-identifier ([a-z0-9.+-]+)"),
-    Sentence("agpl", r"gnu affero general public licen[cs]e(?:.*? " + _VERSION + r")?"),
-    Sentence("lgpl", r"gnu (?:lesser|library) general public licen[cs]e(?:.*? " + _VERSION + r")?"),
-    Sentence("gpl", r"gnu general public licen[cs]e(?:.*? " + _VERSION + r")?"),
-    Sentence("apache", r"apache licen[cs]e(?: " + _VERSION + r")?"),
-    Sentence("mozilla", r"mozilla public licen[cs]e(?:.*? " + _VERSION + r")?"),
-    Sentence("eclipse", r"eclipse public licen[cs]e(?:.*? " + _VERSION + r")?"),
-    Sentence("cc0", r"cc0(?: " + _VERSION + r")?|creative commons zero"),
-    Sentence("ccbyncsa", r"cc[- ]by-nc-sa(?:[- ]" + _VERSION + r")?|creative commons attribution-noncommercial-sharealike"),
-    Sentence("ccbyncnd", r"cc[- ]by-nc-nd(?:[- ]" + _VERSION + r")?|creative commons attribution-noncommercial-noderiv"),
-    Sentence("ccbync", r"cc[- ]by-nc(?:[- ]" + _VERSION + r")?|creative commons attribution-noncommercial"),
-    Sentence("ccbysa", r"cc[- ]by-sa(?:[- ]" + _VERSION + r")?|creative commons attribution-sharealike"),
-    Sentence("ccbynd", r"cc[- ]by-nd(?:[- ]" + _VERSION + r")?|creative commons attribution-noderiv"),
-    Sentence("ccby", r"cc[- ]by(?:[- ]" + _VERSION + r")?|creative commons attribution"),
-    Sentence("mitnamed", r"\bmit licen[cs]e|licen[cs]ed under (?:the )?mit\b"),
-    Sentence("bsdnamed", r"\b([0-9])-clause bsd|bsd ([0-9])-clause|bsd licen[cs]e"),
-    Sentence("iscnamed", r"\bisc licen[cs]e"),
-    Sentence("mitgrant", r"permission is hereby granted free of charge to any person obtaining a copy"),
-    Sentence("mitnotice", r"above copyright notice and this permission notice shall be included"),
-    Sentence("iscgrant", r"permission to use copy modify and or distribute this software for any purpose"),
-    Sentence("bsdgrant", r"redistribution and use in source and binary forms.*are permitted"),
-    Sentence("bsdsource", r"redistributions of source code must retain"),
-    Sentence("bsdbinary", r"redistributions in binary form must reproduce"),
-    Sentence("bsdendorse", r"neither the name.*(?:endorse|promote)"),
-    Sentence("publicdomain", r"free and unencumbered software released into the public domain|in the public domain"),
-    Sentence("asis", r"provided as is|without warranty of any kind|without warranties or conditions"),
-    Sentence("liability", r"in no event shall"),
-    Sentence("laterversion", r"at your option any later version"),
-    Sentence("copyright", r"^copyright|copyright c |all rights reserved"),
+    Sentence("spdx", r"spdx-license-identifier ([a-z0-9.+-]+)", "spdx"),
+    Sentence("agpl", r"gnu affero general public licen[cs]e(?:.*? " + _VERSION + r")?", "licen[cs]"),
+    Sentence("lgpl", r"gnu (?:lesser|library) general public licen[cs]e(?:.*? " + _VERSION + r")?", "licen[cs]"),
+    Sentence("gpl", r"gnu general public licen[cs]e(?:.*? " + _VERSION + r")?", "licen[cs]"),
+    Sentence("apache", r"apache licen[cs]e(?: " + _VERSION + r")?", "licen[cs]"),
+    Sentence("mozilla", r"mozilla public licen[cs]e(?:.*? " + _VERSION + r")?", "licen[cs]"),
+    Sentence("eclipse", r"eclipse public licen[cs]e(?:.*? " + _VERSION + r")?", "licen[cs]"),
+    Sentence("cc0", r"cc0(?: " + _VERSION + r")?|creative commons zero", r"\bcc0|creative~commons"),
+    Sentence("ccbyncsa", r"cc[- ]by-nc-sa(?:[- ]" + _VERSION + r")?|creative commons attribution-noncommercial-sharealike", r"\bcc~by|creative~commons"),
+    Sentence("ccbyncnd", r"cc[- ]by-nc-nd(?:[- ]" + _VERSION + r")?|creative commons attribution-noncommercial-noderiv", r"\bcc~by|creative~commons"),
+    Sentence("ccbync", r"cc[- ]by-nc(?:[- ]" + _VERSION + r")?|creative commons attribution-noncommercial", r"\bcc~by|creative~commons"),
+    Sentence("ccbysa", r"cc[- ]by-sa(?:[- ]" + _VERSION + r")?|creative commons attribution-sharealike", r"\bcc~by|creative~commons"),
+    Sentence("ccbynd", r"cc[- ]by-nd(?:[- ]" + _VERSION + r")?|creative commons attribution-noderiv", r"\bcc~by|creative~commons"),
+    Sentence("ccby", r"cc[- ]by(?:[- ]" + _VERSION + r")?|creative commons attribution", r"\bcc~by|creative~commons"),
+    Sentence("mitnamed", r"\bmit licen[cs]e|licen[cs]ed under (?:the )?mit\b", "licen[cs]"),
+    Sentence("bsdnamed", r"\b([0-9])-clause bsd|bsd ([0-9])-clause|bsd licen[cs]e", "clause~bsd|bsd~[0-9]|licen[cs]"),
+    Sentence("iscnamed", r"\bisc licen[cs]e", "licen[cs]"),
+    Sentence("mitgrant", r"permission is hereby granted free of charge to any person obtaining a copy", "permission"),
+    Sentence("mitnotice", r"above copyright notice and this permission notice shall be included", "permission"),
+    Sentence("iscgrant", r"permission to use copy modify and or distribute this software for any purpose", "permission"),
+    Sentence("bsdgrant", r"redistribution and use in source and binary forms.*are permitted", "redistribut"),
+    Sentence("bsdsource", r"redistributions of source code must retain", "redistribut"),
+    Sentence("bsdbinary", r"redistributions in binary form must reproduce", "redistribut"),
+    Sentence("bsdendorse", r"neither the name.*(?:endorse|promote)", "neither~the~name"),
+    Sentence("publicdomain", r"free and unencumbered software released into the public domain|in the public domain", "public~domain"),
+    Sentence("asis", r"provided as is|without warranty of any kind|without warranties or conditions", "as~is|warrant"),
+    Sentence("liability", r"in no event shall", "in~no~event"),
+    Sentence("laterversion", r"at your option any later version", "any~later~version"),
+    Sentence("copyright", r"^copyright|copyright c |all rights reserved", "copyright|all~rights~reserved"),
 )
 
+#: A text without any of these has no known sentence; a text may put a line end or other signs between any two words.
+TEXT_GATE = "(?i)" + "|".join(dict.fromkeys("|".join(k.needs for k in SENTENCES).split("|"))).replace("~", "[^A-Za-z0-9]+")
+#: Any known sentence.
+KNOWN = r"\b(?:" + "|".join(k.pattern for k in SENTENCES) + ")"
+
+
 
 class Rule(NamedTuple):
     """An ordered rule: a licence and the sequence of identifiers that means it.
@@ -111,10 +119,11 @@ RULES = (
 
 
 def normal_sentences(text: Column) -> Column:
-    """The normalised sentences that speak of licences, in order."""
+    """The normalised sentences that are known or, in a text that ``SPEAKS``, speak of licences, in order."""
     cut = F.split(F.regexp_replace(text, _ENDS, _BREAK), _BREAK)
     plain = F.transform(cut, lambda s: F.trim(F.lower(F.regexp_replace(s, r"[^A-Za-z0-9.+-]+", " "))))
-    return F.filter(plain, lambda s: s.rlike(SPEAKS_NORMAL))
+    speaking = F.filter(plain, lambda s: s.rlike(SPEAKS_NORMAL + "|" + KNOWN))
+    return F.when(text.rlike(SPEAKS), speaking).otherwise(F.filter(plain, lambda s: s.rlike(KNOWN)))
 
 
 def sentence_id(sentence: Column) -> Column:
@@ -150,7 +159,7 @@ def match_rules(ids: Column) -> Column:
 
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, n_sentences, sentence_ids, licenses, unmatched)``, one row per document."""
-    speaks = F.coalesce(F.col(text).rlike(SPEAKS), F.lit(False))
+    speaks = F.coalesce(F.col(text).rlike(SPEAKS) | F.col(text).rlike(TEXT_GATE), F.lit(False))
     none = F.array().cast("array<string>")
     rows = docs.select(F.col(key).alias("_id"), F.when(speaks, normal_sentences(F.col(text))).otherwise(none).alias("_sentences"))
     rows = rows.withColumn("_ids", F.transform("_sentences", sentence_id))
