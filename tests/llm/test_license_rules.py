@@ -72,7 +72,7 @@ EXAMPLES = {
     "In no\nevent shall they pay": "liability",
     "Or, at your option, any later\nversion": "laterversion",
     "All rights\nreserved": "copyright",
-    "A hash is 3fcc0a1, see acc by mail": "",
+    "A hash is 3fcc0a1, see acc by mail, or cc bypass": "",
 }
 
 
@@ -81,3 +81,26 @@ def test_every_known_sentence_passes_the_gates(spark):
     got = {r.doc_id: r.sentence_ids for r in license_rules.scan_licenses(docs).collect()}
     assert [got[i] for i in range(len(EXAMPLES))] == list(EXAMPLES.values())
     assert {e.split(":")[0] for e in EXAMPLES.values() if e} == {k.id for k in license_rules.SENTENCES}
+
+
+#: Sentences that hold several: identifiers, licences, what is left.
+SEVERAL = {
+    "Licensed under either of Apache License, Version 2.0 or the MIT license": ("apache:2.0 mitnamed", "Apache-2.0 AND MIT", ""),
+    "The MIT license or GNU General Public License or the Apache License, Version 2.0": (
+        "mitnamed gpl apache:2.0", "Apache-2.0 AND GPL AND MIT", ""),
+    "SPDX-License-Identifier: MIT OR Zlib": ("spdx:mit spdx:zlib", "SPDX", ""),
+    "-- SPDX-License-Identifier: (GPL-2.0+ WITH Classpath-exception-2.0) OR CC0-1.0.\n-- More": (
+        "spdx:gpl-2.0+ spdx:classpath-exception-2.0 spdx:cc0-1.0", "SPDX", ""),
+    "-- Permission is hereby granted, free of charge, to any person obtaining\n-- a copy of it: the above copyright\n"
+    "-- notice and this permission notice shall be included.": ("mitgrant mitnotice", "MIT", ""),
+    "-- Redistribution and use in source and binary\n-- forms under the BSD license are permitted": (
+        "bsdgrant bsdnamed", "BSD", "bsdgrant"),
+    "GNU General Public License, version 2 or, at your option, any later version": ("gpl:2 laterversion", "GPL-2.0", "laterversion"),
+    "Data: CC BY-NC-SA 4.0, CC BY 4.0 and CC BY 4.0": ("ccbyncsa:4.0 ccby:4.0", "CC-BY-4.0 AND CC-BY-NC-SA-4.0", ""),
+}
+
+
+def test_all_identifiers_of_a_sentence(spark):
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(SEVERAL)], SCHEMA)
+    got = {r.doc_id: r for r in license_rules.scan_licenses(docs).collect()}
+    assert [(r.sentence_ids, r.licenses, r.unmatched) for r in (got[i] for i in range(len(SEVERAL)))] == list(SEVERAL.values())

@@ -12,6 +12,7 @@ sentences and empty strings; repeated rows each get their own, equal, answer.
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -35,7 +36,7 @@ class Sentence(NamedTuple):
     needs: str
 
 
-#: Known sentences, the first that fits counts.
+#: Known sentences; the first counts where two begin at one place.
 SENTENCES = (
     Sentence("spdx", r"spdx-license-identifier ([a-z0-9.+-]+)", "spdx"),
     Sentence("agpl", r"gnu affero general public licen[cs]e(?:.*? " + _VERSION + r")?", "licen[cs]"),
@@ -70,10 +71,26 @@ SENTENCES = (
 
 #: A text without any of these has no known sentence; a text may put a line end or other signs between any two words.
 TEXT_GATE = "(?i)" + "|".join(dict.fromkeys("|".join(k.needs for k in SENTENCES).split("|"))).replace("~", "[^A-Za-z0-9]+")
-#: Any known sentence.
-KNOWN = r"\b(?:" + "|".join(k.pattern for k in SENTENCES) + ")"
+_TOKEN = r"[a-z0-9][a-z0-9.+-]*"
+#: A whole SPDX expression; brackets are blanks by then.
+_SPDX = rf"\bspdx-license-identifier {_TOKEN}(?: (?:or|and|with) {_TOKEN})*"
+
+
+def _head(known: Sentence) -> str:
+    """How a known sentence begins: its pattern without what its version or end adds, and without groups."""
+    if known.id == "spdx":
+        return _SPDX
+    out = known.pattern
+    for lead in (".*? ", " ", "[- ]"):
+        out = out.replace(f"(?:{lead}{_VERSION})?", "")
+    for end in (".*are permitted", ".*(?:endorse|promote)"):
+        out = out.replace(end, f"(?={end})")
+    return rf"\b(?:{out.replace('([0-9])', '(?:[0-9])')})" + r"(?![a-z0-9])" * (known.id in ("cc0", "ccby"))
 
 
+#: Any known sentence.
+KNOWN = "|".join(_head(k) for k in SENTENCES)
+
 
 class Rule(NamedTuple):
     """An ordered rule: a licence and the sequence of identifiers that means it.
@@ -121,21 +138,40 @@ RULES = (
 def normal_sentences(text: Column) -> Column:
     """The normalised sentences that are known or, in a text that ``SPEAKS``, speak of licences, in order."""
     cut = F.split(F.regexp_replace(text, _ENDS, _BREAK), _BREAK)
-    plain = F.transform(cut, lambda s: F.trim(F.lower(F.regexp_replace(s, r"[^A-Za-z0-9.+-]+", " "))))
+    plain = F.transform(cut, lambda s: F.regexp_replace(s, r"[^A-Za-z0-9.+-]+", " "))
+    # '-' and '.' stay between two letters or digits only, so signs of comments are no words.
+    plain = F.transform(plain, lambda s: F.regexp_replace(s, r"(?<![A-Za-z0-9])[.-]|[.-](?![A-Za-z0-9])", " "))
+    plain = F.transform(plain, lambda s: F.trim(F.lower(F.regexp_replace(s, " +", " "))))
     speaking = F.filter(plain, lambda s: s.rlike(SPEAKS_NORMAL + "|" + KNOWN))
     return F.when(text.rlike(SPEAKS), speaking).otherwise(F.filter(plain, lambda s: s.rlike(KNOWN)))
 
 
-def sentence_id(sentence: Column) -> Column:
-    """The identifier of a normalised sentence, with the groups its pattern caught; ``other`` if unknown."""
-    out = F.lit("other")
+def sentence_ids(sentence: Column) -> Column:
+    """The distinct identifiers of a normalised sentence in order of place; ``other`` if it has none.
+
+    The sentence is cut before every known one, so a version is never taken from the next.
+    Where two begin at one place, the first in ``SENTENCES`` counts.
+    """
+    cut = F.split(F.regexp_replace(sentence, f"({KNOWN})", _BREAK + "$1"), _BREAK)
+    found = F.array_distinct(F.flatten(F.transform(F.filter(cut, lambda _, k: k > 0), _part_ids)))
+    return F.when(sentence.rlike(KNOWN), found).otherwise(F.array(F.lit("other")))
+
+
+def _part_ids(part: Column) -> Column:
+    """The identifiers of a part that begins with a known sentence, with the groups its pattern caught."""
+    out = F.array(F.lit("other"))
     for known in reversed(SENTENCES):
         groups = known.pattern.count("(") - known.pattern.count("(?:")
-        caught = F.concat(F.lit(""), *(
-            F.regexp_extract(sentence, known.pattern, k + 1) for k in range(groups)
-        ))
-        name = F.when(caught == "", F.lit(known.id)).otherwise(F.concat(F.lit(known.id + ":"), caught)) if groups else F.lit(known.id)
-        out = F.when(sentence.rlike(known.pattern), name).otherwise(out)
+        if known.id == "spdx":
+            names = F.split(F.regexp_extract(part, f"^{_SPDX}", 0), " (?:or|and|with) |^spdx-license-identifier ")
+            ids = F.transform(F.filter(names, lambda n: n != ""), lambda n: F.concat(F.lit("spdx:"), n))
+        elif groups:
+            caught = F.concat(F.lit(""), *(F.regexp_extract(part, f"^(?:{known.pattern})", k + 1) for k in range(groups)))
+            ids = F.array(F.when(caught == "", F.lit(known.id)).otherwise(F.concat(F.lit(known.id + ":"), caught)))
+        else:
+            ids = F.array(F.lit(known.id))
+        # What ends a sentence may stand in a later part.
+        out = F.when(part.rlike("^" + re.sub(r"\(\?=.*\)(?=\))", "", _head(known))), ids).otherwise(out)
     return out
 
 
@@ -162,11 +198,11 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     speaks = F.coalesce(F.col(text).rlike(SPEAKS) | F.col(text).rlike(TEXT_GATE), F.lit(False))
     none = F.array().cast("array<string>")
     rows = docs.select(F.col(key).alias("_id"), F.when(speaks, normal_sentences(F.col(text))).otherwise(none).alias("_sentences"))
-    rows = rows.withColumn("_ids", F.transform("_sentences", sentence_id))
+    rows = rows.withColumn("_ids", F.flatten(F.transform("_sentences", sentence_ids)))
     rows = rows.withColumn("_match", match_rules(F.col("_ids")))
     return rows.select(
         F.col("_id").alias(key),
-        F.size("_ids").cast("long").alias("n_sentences"),
+        F.size("_sentences").cast("long").alias("n_sentences"),
         F.array_join("_ids", " ").alias("sentence_ids"),
         F.array_join(F.array_sort(F.array_distinct("_match.found")), " AND ").alias("licenses"),
         F.trim(F.regexp_replace("_match.left", " +", " ")).alias("unmatched"),
