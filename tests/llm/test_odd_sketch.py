@@ -134,3 +134,12 @@ def test_no_node_is_lost(spark):
     got = odd_sketch.near_duplicates(docs)
     assert got.count() == 500 and got.filter("kept").count() == 50
     assert got.agg(F.max("component_id")).first()[0] == 49
+
+
+@pytest.mark.parametrize("words", [3, 5])
+def test_short_texts_alone_in_their_block(spark, words):
+    texts = [" ".join("abcdef"[:n]) for n in range(7)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA).repartitionByRange(7, "doc_id")
+    got = {r.key: r.n for r in odd_sketch.describe(docs, Settings(words=words, least=80)).collect()}
+    assert got == {n: len(_set(texts[n], words)) for n in range(7)}
+    assert all(len(odd_sketch.shingle_sets([t], words)[0]) == len(_set(t, words)) for t in texts)

@@ -80,7 +80,7 @@ def shingle_sets(rows: list[str], words: int) -> list[np.ndarray]:
     first = np.searchsorted(begin, starts)
     rolled = np.zeros(len(word), np.uint64)
     for k in range(words):
-        rolled[: len(word) - k] += textnum.mixed(word[k:] + np.uint64(k + 1))
+        rolled[: max(0, len(word) - k)] += textnum.mixed(word[k:] + np.uint64(k + 1))
     rolled = textnum.mixed(rolled)
     out = []
     for a, b in zip(first[:-1], first[1:]):
