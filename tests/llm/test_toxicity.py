@@ -88,3 +88,24 @@ def test_held_out_accuracy(spark):
     got = toxicity.score(docs, model).join(labels.filter(out).withColumnRenamed("doc_id", "key"), "key").toPandas()
     assert (got.predicted == got.toxic).mean() > 0.97
     assert got[got.toxic == 1].predicted.mean() > 0.85 and got[got.toxic == 0].predicted.mean() < 0.01
+
+
+@pytest.fixture(scope="module")
+def sentences(spark):
+    rows = [(i, f"you are a moron, I am an idiot, what a loser. {prose(i, 20)}", "en", "s", 0) for i in range(50)]
+    return toxicity.character_model(spark.createDataFrame(rows, SCHEMA))
+
+
+@pytest.mark.parametrize("text, word", [
+    ("you are a m o r o n", "moron"), ("I a m a n i d i o t", "idiot"), ("what a i.d.i.o.t", "idiot"),
+    ("m  o  r  o  n", "moron"), ("a  m  o  r  o  n", "moron"), ("m\to\tr\to\tn", "moron"), ("m, o, r, o, n", "moron"),
+    ("m/o/r/o/n", "moron"), ("you a  r  e  a  m - 0 - r - o - n", "moron"), ("mmoorroonn", "moron"), ("mm00rroonn", "moron"),
+])
+def test_words_after_others_wide_gaps_and_doubled_letters(sentences, text, word):
+    words, row = toxicity.restored_words(["x", text, "y z"], toxicity.Reader(sentences))
+    assert word in words and set(row) == {1}
+    assert word in toxicity.restore(text, sentences).split()
+
+
+def test_gaps_end_with_the_row(sentences):
+    assert toxicity.restored_words(["m", "o", "r o", "n"], toxicity.Reader(sentences)) == ([], [])

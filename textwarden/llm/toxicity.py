@@ -1,8 +1,9 @@
 """Toxicity of texts that hide their words: a noisy channel, then a classifier.
 
-Writers hide a word by look-alike signs (``1d10t``), by spaces between its letters, or by
+Writers hide a word by look-alike signs (``1d10t``), by gaps between its letters, or by
 repeating them.  Each such stretch of a text becomes a lattice of what its signs may stand
-for; Viterbi decoding under a character trigram model picks the likeliest reading.  The
+for; Viterbi decoding under a character trigram model picks the likeliest reading, once as
+one word, and once with gaps that may also be edges of words, so that it cuts the stretch.  The
 trigram model is counted over the whole corpus.  Plain words have a one-path lattice, so
 they are taken as they are.  A logistic model then scores the restored text by the rates
 of the words, and of beginnings of words, that stand out among labelled texts.
@@ -49,10 +50,12 @@ LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou", "#": "h",
 }
-#: What may stand between the letters of a word that is spread out.
-GAPS = " .-_*"
-#: Logarithms of the channel: a letter hidden by a sign, a run kept as two letters, as one, a sign dropped.
-HIDDEN, AS_TWO, AS_ONE, DROPPED = -0.7, -1.5, -0.3, -4.0
+#: What may stand between the letters of a word that is spread out: signs that are no words, and blanks.
+_GAP = r"(?:[^\w" + re.escape("".join(c for c in LOOKALIKES if not c.isdigit())) + "]|_)+"
+#: Logarithms of the channel: a letter hidden by a sign, a run kept as two letters, as one, a sign dropped, a pair as one.
+HIDDEN, AS_TWO, AS_ONE, DROPPED, HALVED = -0.7, -1.5, -0.3, -4.0, -2.5
+#: The edge of a word as a reading: the sign before "a", so that it is symbol 0.
+EDGE = "`"
 #: Results kept by a task; they are dropped together when there are more.
 MEMO = 50_000
 _SYMBOLS = 27  # 0 is the edge of a word, 1 to 26 are the letters
@@ -98,33 +101,37 @@ def character_model(rows: DataFrame, text: str = "text") -> np.ndarray:
 Lattice = list[list[tuple[str, float]]]
 
 
-def lattice(stretch: str) -> Lattice:
-    """What the signs of a stretch of lower-case text may stand for."""
+def lattice(stretch: str, edges: bool = False) -> Lattice:
+    """What the signs of a stretch of lower-case text may stand for; with ``edges``, a gap may be one."""
     out: Lattice = []
-    for run in re.finditer(r"(.)\1*", stretch, re.DOTALL):
+    for run in re.finditer(rf"{_GAP}|(.)\1*", stretch, re.DOTALL):
         sign, n = run[1], len(run[0])
+        if sign is None:
+            out.append([("", 0.0), (EDGE, 0.0)] if edges else [("", 0.0)])
+            continue
         plain = unicodedata.normalize("NFKD", sign)[:1]
         if "a" <= plain <= "z":
             if n >= 3:
                 out.append([(plain, AS_ONE), (plain * 2, AS_TWO)])
             else:
-                out.append([(plain * n, 0.0)])
+                out.append([(plain * n, 0.0)] + [(plain, HALVED)] * (n == 2))
             continue
-        readings = [("", 0.0 if sign in GAPS and sign != "*" else DROPPED)]
+        readings = [("", DROPPED)]
         for letter in LOOKALIKES.get(sign, ""):
             if n <= 2:
                 readings.append((letter * n, HIDDEN * n))
+                readings += [(letter, HIDDEN + HALVED)] * (n == 2)
             else:
                 readings += [(letter, HIDDEN + AS_ONE), (letter * 2, HIDDEN + AS_TWO)]
         out.append(readings)
     return out
 
 
-def decode(stretch: str, model: np.ndarray) -> str:
-    """The likeliest letters of a stretch: Viterbi over pairs of symbols."""
+def decode(stretch: str, model: np.ndarray, edges: bool = False) -> str:
+    """The likeliest letters of a stretch: Viterbi over pairs of symbols; with ``edges``, words between blanks."""
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     log_p = model
-    for readings in lattice(stretch):
+    for readings in lattice(stretch, edges):
         after: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (score, text) in states.items():
             for letters, cost in readings:
@@ -141,7 +148,8 @@ def decode(stretch: str, model: np.ndarray) -> str:
     while isinstance(best, tuple):  # long stretches are kept as links, which costs no copies
         parts.append(best[1])
         best = best[0]
-    return best + "".join(reversed(parts))
+    best += "".join(reversed(parts))
+    return " ".join(best.replace(EDGE, " ").split()) if edges else best
 
 
 @lru_cache
@@ -151,11 +159,24 @@ def _signs() -> np.ndarray:
     return out
 
 
-def odd_stretches(code: np.ndarray) -> list[tuple[int, int]]:
+#: Code points from here on are no gaps.
+_FAR = 0x20000
+
+
+@lru_cache
+def _gaps() -> np.ndarray:
+    """Which code points may stand between two letters: blanks, controls, punctuation and symbols."""
+    out = np.fromiter((unicodedata.category(chr(i))[0] in "ZPS" or unicodedata.category(chr(i)) in ("Cc", "Cf") for i in range(_FAR + 1)), bool)
+    out[_FAR] = False
+    return out
+
+
+def odd_stretches(code: np.ndarray, ends: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Ranges of lower-case code points that may hide a word.
 
-    A token that mixes letters with look-alikes or repeats a letter three times; and runs
-    of three or more single signs with one gap between each.
+    A token that mixes letters with look-alikes, repeats a letter three times or doubles
+    all its letters; and runs of three or more single signs with a gap between each.  ``ends``: where rows start, which
+    no gap bridges.
     """
     letter, sign = textnum.letters()[code], _signs()[code]
     space = (code <= 32) | (code == 0xA0)
@@ -163,6 +184,11 @@ def odd_stretches(code: np.ndarray) -> list[tuple[int, int]]:
     core = np.zeros(len(code), bool)
     core[:-1] |= (letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])
     core[:-2] |= letter[:-2] & (code[:-2] == code[1:-1]) & (code[1:-1] == code[2:])
+    same = np.zeros(len(code) + 1, bool)
+    same[1:-1] = code[:-1] == code[1:]
+    same = same[1:] | same[:-1]  # like a neighbour
+    once, twice = (np.concatenate([[0], np.cumsum(x)]) for x in (letter & ~same, letter & same))
+    core[begin[(once[end] == once[begin]) & (twice[end] - twice[begin] >= 4)]] = True
     at = np.flatnonzero(core)
     token = np.unique(np.searchsorted(begin, at, side="right") - 1)
     out = [(int(begin[t]), int(end[t])) for t in token]
@@ -170,10 +196,14 @@ def odd_stretches(code: np.ndarray) -> list[tuple[int, int]]:
     single = reads.copy()
     single[1:] &= ~reads[:-1]
     single[:-1] &= ~reads[1:]
-    gap = np.isin(code, [ord(c) for c in GAPS])
+    # Between two reads that follow each other there are other signs only; marks and rows' ends are no gaps.
+    other = np.concatenate([[0], np.cumsum(~reads & ~_gaps()[np.minimum(code, _FAR)])])
+    nth = np.cumsum(reads)
     place = np.flatnonzero(single)
     if len(place) > 2:
-        linked = (np.diff(place) == 2) & gap[np.minimum(place[:-1] + 1, len(code) - 1)]
+        linked = (np.diff(nth[place]) == 1) & (other[place[1:]] == other[place[:-1]])
+        if ends is not None:
+            linked &= np.diff(np.searchsorted(ends, place, side="right")) == 0
         a, b = textnum.runs(linked)
         for i, j in zip(a, b):
             if j - i >= 2 and letter[place[i : j + 1]].any():
@@ -182,6 +212,7 @@ def odd_stretches(code: np.ndarray) -> list[tuple[int, int]]:
 
 
 _DECORATION = re.compile(r"^([^\w\s])\1{2,}|([^\w\s])\2{2,}$")
+_DOUBLED = re.compile(r"(?:(.)\1)+", re.DOTALL)
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -195,9 +226,11 @@ class Reader:
         found = self.memo.get(stretch)
         if found is None:
             plain = _DECORATION.sub("", stretch)
-            found = _WORDS.findall(plain) if _WORDS.fullmatch(plain) and not re.search(r"(.)\1\1", plain) else [
-                w for w in (decode(plain, self.model), *_pieces(plain, self.model)) if w
-            ]
+            if _WORDS.fullmatch(plain) and not re.search(r"(.)\1\1", plain) and not _DOUBLED.fullmatch(plain):
+                found = _WORDS.findall(plain)
+            else:
+                whole, cut = decode(plain, self.model), decode(plain, self.model, edges=True).split()
+                found = [w for w in (whole, *(cut if cut != [whole] else ()), *_pieces(plain, self.model)) if w]
             if len(self.memo) >= MEMO:
                 self.memo.clear()
             self.memo[stretch] = found
@@ -214,7 +247,7 @@ def restored_words(rows: list[str], reader: Reader) -> tuple[list[str], list[int
     """The words that were hidden, and the row of each."""
     code, starts = textnum.codes([t.lower() for t in rows])
     flat, words, row = code.tobytes(), [], []
-    for a, b in odd_stretches(code):
+    for a, b in odd_stretches(code, starts):
         found = reader.words(flat[4 * a : 4 * b].decode("utf-32-le", "surrogatepass"))
         words += found
         row += [int(np.searchsorted(starts, a, side="right")) - 1] * len(found)
@@ -276,7 +309,7 @@ def restore(text: str, model: np.ndarray) -> str:
     cut = lambda a, b: flat[4 * a : 4 * b].decode("utf-32-le", "surrogatepass")
     for a, b in odd_stretches(code):
         if a >= at:
-            out += [cut(at, a), decode(_DECORATION.sub("", cut(a, b)), model)]
+            out += [cut(at, a), decode(_DECORATION.sub("", cut(a, b)), model, edges=True)]
             at = b
     return ("".join(out) + cut(at, len(code)))[:-1]
 
