@@ -204,3 +204,14 @@ def test_alert_rate(spark):
     df = spark.sql("SELECT timestamp_seconds(1704067200 + id * 100) AS ts, if(id % 2 = 0, 'HIGH', 'MEDIUM') AS level FROM range(6)")
     got = {(str(r.window_start), r.level): r.alerts for r in alert_rate(df).collect()}
     assert sum(got.values()) == 6 and len(got) == 4
+
+
+def test_whole_turns_of_all_roles_are_compared(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    turns = [("a", 0, "user", "same"), ("a", 1, "assistant", "same"), ("a", 2, "assistant", "reply"), ("a", 3, "user", None),
+             ("a", 4, "assistant", "other reply"), ("b", 0, "assistant", "reply")]
+    rows = spark.createDataFrame(turns, "conv_id STRING, turn INT, role STRING, text STRING")
+    rows.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = entry.queries()["monitor_changes_whole"](spark, str(tmp_path)).collect()
+    assert sorted((r.owner, r.seq) for r in got) == [("a", 0), ("a", 4), ("a", 8), ("b", 0)]

@@ -185,6 +185,28 @@ QUERIES["monitor_changes"] = Query(
 )
 
 
+def _whole_turns(spark, sf_dir):
+    rows = scan_corpus(spark, f"{sf_dir}/conversations.parquet", ("conv_id", "turn", "role", "text"))
+    rows = rows.select(F.col("conv_id").alias("owner"), (2 * F.col("turn")).alias("seq"), "text")
+    # Every third turn comes again at the next number, so that texts stay the same.
+    return rows.union(rows.filter("seq % 3 = 0").withColumn("seq", F.col("seq") + 1))
+
+
+def _whole_changes(spark, sf_dir):
+    return changed_ticks(_whole_turns(spark, sf_dir))
+
+
+QUERIES["monitor_changes_whole"] = Query(
+    _whole_changes,
+    """WITH turns AS (SELECT conv_id AS owner, 2 * turn AS seq, text FROM conversations),
+    ticks AS (SELECT * FROM turns UNION ALL SELECT owner, seq + 1, text FROM turns WHERE seq % 3 = 0),
+    seen AS (SELECT *, coalesce(last_value(nullif(text, '') IGNORE NULLS)
+      OVER (PARTITION BY owner ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')
+      AS memory FROM ticks)
+    SELECT owner, seq FROM seen WHERE text <> '' AND text <> memory""",
+)
+
+
 def _broken(spark, sf_dir):
     """Rows with a missing owner or an unknown kind, planted among the ticks."""
     rows = ticks(spark, sf_dir).withColumns(
