@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm import exact, langid, license_rules, mixing, odd_sketch, pieces, resample, suffix_dedup, topk, toxicity
+from textwarden.llm import (
+    collocations, exact, fingerprints, langid, license_rules, mixing, odd_sketch, pieces, resample, suffix_dedup, topk,
+    toxicity, whitening,
+)
 from textwarden.llm.license_sql import LICENSE_SQL
 from textwarden.llm.workers import reachable
 from textwarden.plans.registry import Query
@@ -115,6 +118,59 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM s QUALIFY rank <= 20
 """
 
+
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edited(_documents(spark, sf_dir))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_documents(spark, sf_dir))
+
+
+#: Every phrase is counted, frequent or not: SQL need not know how to leave some out.
+_COLLOCATION_SQL = """
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), p AS (
+  SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p
+), g AS (
+  SELECT lang, unnest(flatten(list_transform(range(1, 5), lambda k:
+         list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])))) AS ph FROM w
+), f AS (
+  SELECT lang, ph, count(*) AS f FROM g GROUP BY ALL
+), total AS (
+  SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang
+), c AS (
+  SELECT lang, ph, f AS a FROM f WHERE f >= 30 AND len(ph) >= 2
+), inner_ AS (
+  SELECT lang, a, len(ph) AS size, unnest(flatten(list_transform(range(2, len(ph)), lambda k:
+         list_transform(range(1, len(ph) - k + 2), lambda i: ph[i:i + k - 1])))) AS ph FROM c
+), best AS (
+  SELECT lang, ph, max(a) AS b FROM inner_ GROUP BY ALL
+), alone AS (
+  SELECT c.* FROM c LEFT JOIN best USING (lang, ph) WHERE b IS NULL OR 100::HUGEINT * b < 80::HUGEINT * a
+), cut AS (
+  SELECT lang, ph, a, unnest(range(1, len(ph))) AS k FROM alone
+), scored AS (
+  SELECT cut.lang, cut.ph, a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f::HUGEINT + y.f) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.ph = cut.ph[:k] JOIN f y ON y.lang = cut.lang AND y.ph = cut.ph[k + 1:]
+), lowest AS (
+  SELECT lang, array_to_string(ph, ' ') AS phrase, a, l, r, score FROM scored
+  QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+       phrase, a, l, r, n, score::BIGINT AS score
+FROM lowest JOIN total USING (lang) QUALIFY rank <= 2000
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(reachable(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_language_mixture": Query(op1_language_mixture),
     "op2_importance_resample": Query(op2_importance_resample),
@@ -126,4 +182,7 @@ QUERIES = {
     "op8_exact_dedup": Query(op8_exact_dedup, _EXACT_SQL),
     "op9_license_scan": Query(op9_license_scan, LICENSE_SQL),
     "op10_top_k": Query(op10_top_k, _TOP_K_SQL),
+    "op11_document_fingerprints": Query(op11_document_fingerprints),
+    "op12_collocations": Query(op12_collocations, _COLLOCATION_SQL),
+    "op13_whitening": Query(op13_whitening),
 }
