@@ -38,9 +38,9 @@ from textwarden.llm.tables import written
 
 #: Bytes of text whose suffixes are added up at once, and suffixes a task holds before it deals them out.
 BLOCK_BYTES = 1 << 22
-HELD = 3_000_000
+HELD = 1_500_000
 #: Text whose suffixes make up one part.
-PART_BYTES = 1 << 24
+PART_BYTES = 1 << 23
 _END = -1
 #: Rows that are sorted by depth: a phrase of so many leading words, and the depths it counts for.
 _KINDS = {1: (1,), 2: (2,), 4: (3, 4)}
