@@ -68,6 +68,57 @@ def test_hidden_toxic_texts_are_scored(spark):
     assert sorted(r.doc_id for r in toxicity.keep_clean(new, model).collect()) == [2, 3, 4]
 
 
+def _plain_features(texts, label, reader):
+    """Features by counting them one by one."""
+    rate, toxic_texts = {}, {}
+    for i, t in enumerate(texts):
+        features, words = toxicity._block_features([t], reader)
+        counts = {}
+        for _, f in features:
+            for x in f.tolist():
+                counts[x] = counts.get(x, 0) + 1
+        for x, n in counts.items():
+            rate.setdefault(x, {})[i] = np.log1p(100.0 * n / max(words[0], toxicity.LEAST_WORDS))
+            toxic_texts[x] = toxic_texts.get(x, 0) + label[i]
+    n, scored = [label.count(0), label.count(1)], []
+    for x, values in rate.items():
+        if toxic_texts[x] >= toxicity.LEAST_TEXTS:
+            v = np.array([values.get(i, 0.0) for i in range(len(texts))])
+            mean = [v[np.array(label) == j].mean() for j in (0, 1)]
+            spread = sum(v[np.array(label) == j].var() / n[j] for j in (0, 1)) + 0.25 / (n[0] * n[1])
+            z = abs(mean[1] - mean[0]) / np.sqrt(spread)
+            if z >= toxicity.LEAST_Z:
+                scored.append((-z, x))
+    return [x for _, x in sorted(scored)]
+
+
+@pytest.mark.parametrize("words", [4, 1 << 17])
+def test_features_against_plain_counts(spark, monkeypatch, words):
+    """Also with a bitmap far too small to tell features apart."""
+    monkeypatch.setattr(toxicity, "BITMAP_WORDS", words)
+    label = [int(i % 3 == 0) for i in range(120)]
+    texts = [f"{prose(i % 17, 60)} {'you 1d10t and moron ' * (i % 5 == 0) if t else ''}{prose(i + 400, 60)}" for i, t in enumerate(label)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    labels = spark.createDataFrame([(i, 1, t) for i, t in enumerate(label)], LABELS)
+    model = toxicity.train(docs, labels)
+    expected = _plain_features(texts, label, toxicity.Reader(toxicity.character_model(docs)))
+    assert len(expected) > 5 and model.features.tolist() == sorted(expected[: toxicity.FEATURES])
+
+
+def test_fit_in_blocks_is_the_fit(monkeypatch):
+    r = np.random.default_rng(3)
+    x = np.where(r.random((500, 12)) < 0.3, r.random((500, 12)), 0)
+    y = (x @ r.normal(size=12) + r.normal(size=500) > 0).astype(float)
+    row, place = np.nonzero(x)
+    start = np.searchsorted(row, np.arange(501))
+    w = toxicity._fit(y, start, place, x[row, place], 12)
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 7)
+    assert np.allclose(w, toxicity._fit(y, start, place, x[row, place], 12))
+    p = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
+    held = np.append(toxicity.RIDGE * w[:-1], 1e-3 * w[-1])
+    assert np.abs(np.append(x.T @ (p - y), (p - y).sum()) + held).max() < 1e-6  # nothing left to gain
+
+
 def test_messy(spark, messy, nothing):
     labels = spark.createDataFrame([(1, 1, 1), (1, 1, 0), (2, 0, 0), (None, 1, 1), (3, 1, None), (7, 1, 0)], LABELS)
     for known in (labels, labels.filter("toxic = 0"), labels.filter(F.lit(False))):

@@ -9,8 +9,9 @@ they are taken as they are.  A logistic model then scores the restored text by t
 of the words, and of beginnings of words, that stand out among labelled texts.
 
 The classifier is fitted on at most ``LABELLED_ROWS`` labelled rows, chosen by a hash of
-the id, and has at most ``FEATURES`` features, chosen from the ``CANDIDATES`` that occur in
-most toxic rows among them; everything else covers all rows and whole texts.
+the id, and has at most ``FEATURES`` features: of all that occur in some toxic texts among
+those rows, the ones whose rates differ most between the labels.  Everything else covers all
+rows and whole texts.
 
 Defined results: null and empty texts are scored like texts without any known word; with
 no labelled rows every score is about 0, and with one label only about that label; repeated rows get equal scores; labels that contradict
@@ -34,8 +35,12 @@ from textwarden.llm import textnum
 from textwarden.operators.staging import stage
 
 LABELLED_ROWS = 20_000
-#: Features of the classifier, and those it chooses from.
-FEATURES, CANDIDATES = 512, 1 << 16
+#: Features of the classifier.
+FEATURES = 512
+#: 64-bit words of a bitmap over the features whose rates are summed up.
+BITMAP_WORDS = 1 << 17
+#: Rows of a block of the matrix the classifier is fitted on.
+FIT_ROWS = 2048
 #: A feature occurs in that many toxic texts, and its mean rates are that many deviations apart.
 LEAST_TEXTS, LEAST_Z = 4, 2.5
 #: A word counts as a whole and by its beginnings of these lengths.
@@ -287,6 +292,11 @@ def _block_features(rows: list[str], reader: Reader) -> tuple[Iterator[tuple[np.
     return each(), np.bincount(row, minlength=len(rows))
 
 
+def _rate(n: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """How dense a feature is that occurs so often among so many words, on a log scale."""
+    return np.log1p(100.0 * n / np.maximum(words, LEAST_WORDS))
+
+
 def rates(rows: list[str], reader: Reader, wanted: np.ndarray) -> Counted:
     """How dense the wanted features, in ascending order, are in every row, on a log scale."""
     features, words = _block_features(rows, reader)
@@ -299,7 +309,7 @@ def rates(rows: list[str], reader: Reader, wanted: np.ndarray) -> Counted:
         hits.append(row[hit] * len(wanted) + at[hit])
     cell, n = np.unique(np.concatenate(hits) if hits else np.zeros(0, np.int64), return_counts=True)
     row, place = np.divmod(cell, max(1, len(wanted)))
-    return Counted(row, place, np.log1p(100.0 * n / np.maximum(words[row], LEAST_WORDS)))
+    return Counted(row, place, _rate(n, words[row]))
 
 
 def restore(text: str, model: np.ndarray) -> str:
@@ -332,17 +342,46 @@ def _toxic_features(batches: Iterator[pa.RecordBatch], characters: np.ndarray) -
     yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["feature", "n"])
 
 
-def _moments(batches: Iterator[pa.RecordBatch], characters: np.ndarray, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Sums and sums of squares of every feature's rates, by label."""
-    reader, total = Reader(characters), np.zeros((4, len(wanted)))
+def _bitmap(found: DataFrame) -> np.ndarray:
+    """A bit for every feature, at a place its hash names: of one size for any number of features."""
+    word = F.pmod("feature", F.lit(BITMAP_WORDS)).cast("int").alias("word")
+    bit = F.shiftrightunsigned("feature", BITMAP_WORDS.bit_length() - 1).bitwiseAND(63).cast("int")
+    rows = found.groupBy(word).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits")).toArrow()
+    out = np.zeros(BITMAP_WORDS, np.uint64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _marked(feature: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    word = bitmap[(feature % np.uint64(len(bitmap))).astype(np.int64)]
+    place = feature >> np.uint64(len(bitmap).bit_length() - 1) & np.uint64(63)
+    return (word >> place & np.uint64(1)).astype(bool)
+
+
+def _moments(batches: Iterator[pa.RecordBatch], characters: np.ndarray, bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sums and sums of squares of the marked features' rates, by label, for every block."""
+    reader = Reader(characters)
     for batch in textnum.blocks(batches):
-        found = rates(textnum.texts(batch), reader, wanted)
-        toxic = batch.column("label").to_numpy()[found.row] == 1
-        for k, value in enumerate((found.value, found.value**2)):
-            for j, own in enumerate((~toxic, toxic)):
-                total[2 * k + j] += np.bincount(found.place[own], value[own], minlength=len(wanted))
-    at = np.flatnonzero(total.any(axis=0))
-    yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(t[at]) for t in total)], ["place", "x0", "x1", "y0", "y1"])
+        features, words = _block_features(textnum.texts(batch), reader)
+        kept = [(row[m], f[m]) for row, f in features for m in (_marked(f, bitmap),)]
+        row, feature = map(np.concatenate, zip(*kept))
+        feature, place = np.unique(feature, return_inverse=True)
+        cell, n = np.unique(row * max(1, len(feature)) + place, return_counts=True)
+        row, place = np.divmod(cell, max(1, len(feature)))
+        value = _rate(n, words[row])
+        toxic = batch.column("label").to_numpy()[row] == 1
+        sums = [np.bincount(place[own], v[own], minlength=len(feature)) for v in (value, value**2) for own in (~toxic, toxic)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(feature.view(np.int64)), *(pa.array(s) for s in sums)], ["feature", "x0", "x1", "y0", "y1"]
+        )
+
+
+def _standing_out(sums: DataFrame, n: np.ndarray) -> DataFrame:
+    """The features whose mean rates differ most between the labels, in deviations, and by how many."""
+    mean = [F.col(f"x{j}") / float(n[j]) for j in (0, 1)]
+    spread = [F.greatest(F.col(f"y{j}") / float(n[j]) - mean[j] * mean[j], F.lit(0.0)) / float(n[j]) for j in (0, 1)]
+    z = F.abs(mean[1] - mean[0]) / F.sqrt(spread[0] + spread[1] + F.lit(0.25 / float(n.prod())))
+    return sums.select("feature", z.alias("z")).filter(F.col("z") >= LEAST_Z)
 
 
 def _sample_rates(batches: Iterator[pa.RecordBatch], characters: np.ndarray, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -357,26 +396,25 @@ def _sample_rates(batches: Iterator[pa.RecordBatch], characters: np.ndarray, wan
         )
 
 
-def _standing_out(sums: list, n: np.ndarray, size: int) -> np.ndarray:
-    """Places of the features whose mean rates differ most between the labels, in deviations."""
-    at = np.array([r.place for r in sums], np.int64)
-    x = np.array([[r.x0, r.x1] for r in sums]).reshape(-1, 2) / n
-    y = np.array([[r.y0, r.y1] for r in sums]).reshape(-1, 2) / n
-    spread = np.sqrt(((y - x * x).clip(0) / n).sum(axis=1) + 0.25 / n.prod())
-    z = np.abs(x[:, 1] - x[:, 0]) / spread
-    order = np.lexsort((at, -z))
-    return np.sort(at[order[z[order] >= LEAST_Z][:size]])
-
+def _fit(label: np.ndarray, start: np.ndarray, place: np.ndarray, value: np.ndarray, size: int, ridge: float = RIDGE) -> np.ndarray:
+    """Logistic weights by Newton steps; the last is the bias, which is not held back.
 
-def _fit(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
-    """Logistic weights by Newton steps; the last is the bias, which is not held back."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, hold = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+    A row's features are ``place[start[i]:start[i + 1]]``.  The matrix is laid out a block
+    at a time.
+    """
+    w, hold = np.zeros(size + 1), np.full(size + 1, ridge)
     hold[-1] = 1e-3
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + hold * w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(hold), gradient)
+        gradient, bend = hold * w, np.diag(hold)
+        for a in range(0, len(label), FIT_ROWS):
+            b = min(a + FIT_ROWS, len(label))
+            x = np.zeros((b - a, size + 1))
+            x[:, -1] = 1
+            x[np.repeat(np.arange(b - a), np.diff(start[a : b + 1])), place[start[a] : start[b]]] = value[start[a] : start[b]]
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            gradient += x.T @ (p - label[a:b])
+            bend += (x * (p * (1 - p))[:, None]).T @ x
+        step = np.linalg.solve(bend, gradient)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -401,19 +439,25 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return Model(characters, np.zeros(0, np.uint64), np.zeros(0), 30.0 if n[1] > 0 else -30.0)
     found = sample.filter("label = 1").mapInArrow(lambda it: _toxic_features(it, kept.value), "feature long, n long")
     found = found.groupBy("feature").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_TEXTS)
-    top = found.orderBy(F.col("n").desc(), "feature").limit(CANDIDATES).collect()
-    wanted = np.sort(np.array([r.feature for r in top], np.int64).view(np.uint64))
+    found = stage(found.select("feature"))
+    marks = spark.sparkContext.broadcast(_bitmap(found))
     sums = sample.mapInArrow(
-        lambda it: _moments(it, kept.value, wanted), "place long, x0 double, x1 double, y0 double, y1 double"
-    ).groupBy("place").agg(*(F.sum(c).alias(c) for c in ("x0", "x1", "y0", "y1"))).collect()  # CANDIDATES rows
-    wanted = wanted[_standing_out(sums, n, FEATURES)]
+        lambda it: _moments(it, kept.value, marks.value), "feature long, x0 double, x1 double, y0 double, y1 double"
+    ).groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("x0", "x1", "y0", "y1")))
+    # Features that only share their place in the bitmap with another one drop out here.
+    best = _standing_out(sums.join(found, "feature", "left_semi"), n).orderBy(F.col("z").desc(), "feature").limit(FEATURES)
+    wanted = np.sort(best.select("feature").toArrow().column("feature").to_numpy().view(np.uint64))
+    # LABELLED_ROWS rows of at most FEATURES numbers, as arrays.
     data = sample.mapInArrow(
         lambda it: _sample_rates(it, kept.value, wanted), "label int, place array<int>, value array<double>"
-    ).collect()  # LABELLED_ROWS rows of FEATURES numbers
-    x = np.zeros((len(data), len(wanted)))
-    for i, row in enumerate(data):
-        x[i, row.place] = row.value
-    w = _fit(x, np.array([r.label for r in data], float))
+    ).toArrow()
+    place, value = (data.column(c).combine_chunks() for c in ("place", "value"))
+    w = _fit(
+        data.column("label").to_numpy().astype(float), place.offsets.to_numpy().astype(np.int64) - place.offsets[0].as_py(),
+        place.flatten().to_numpy(), value.flatten().to_numpy(), len(wanted),
+    )
+    for sent in (kept, marks):
+        sent.destroy()
     return Model(characters, wanted, w[:-1], float(w[-1]))
 
 
