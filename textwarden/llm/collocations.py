@@ -37,10 +37,12 @@ from textwarden.llm import textnum
 from textwarden.llm.tables import written
 
 #: Bytes of text whose suffixes are added up at once, and suffixes a task holds before it deals them out.
-BLOCK_BYTES = 1 << 22
-HELD = 1_500_000
+BLOCK_BYTES = 1 << 21
+HELD = 1_000_000
 #: Text whose suffixes make up one part.
 PART_BYTES = 1 << 23
+#: Groups of a language's phrases that are ranked before all of them are.
+GROUPS = 32
 _END = -1
 #: Rows that are sorted by depth: a phrase of so many leading words, and the depths it counts for.
 _KINDS = {1: (1,), 2: (2,), 4: (3, 4)}
@@ -77,7 +79,7 @@ class Words:
         begins = inside.copy()
         begins[1:] &= ~inside[:-1] | head[1:]
         start = np.flatnonzero(begins)
-        where = np.cumsum(inside, dtype=np.int64)
+        where = np.cumsum(inside, dtype=np.int32)  # a column of texts is below 2**31 bytes
         # Words side by side, without what stands between them.
         edges = np.append(where[start] - 1, where[-1] if len(where) else 0)
         data = _lowered()[flat[inside]]
@@ -86,7 +88,7 @@ class Words:
         ).dictionary_encode()
         self.word = words.indices.to_numpy().astype(np.int64)
         self.dictionary = words.dictionary
-        piece = np.cumsum((kind == 2) | head, dtype=np.int64)[start]
+        piece = np.cumsum((kind == 2) | head, dtype=np.int32)[start]
         self.follows = np.zeros(len(start), bool)  # the next word stands in the same piece
         self.follows[:-1] = piece[1:] == piece[:-1]
         document = np.searchsorted(offsets - offsets[0], start, "right") - 1
@@ -391,6 +393,9 @@ def collocations(
     score = F.expr("(cast(2000000 as decimal(10,0)) * cast(a as decimal(20,0))) div (cast(l as decimal(20,0)) + r)")
     lowest = cut.groupBy("lang", "phrase").agg(F.first("a").alias("a"), F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut"))
     scored = lowest.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
-    order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    best = scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
+    best = scored
+    # The best of groups of phrases first: what meets in one task then does not grow with the phrases.
+    for by in (["lang", F.pmod(F.xxhash64("phrase"), F.lit(GROUPS))], ["lang"]):
+        order = Window.partitionBy(*by).orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
+        best = best.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
     return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
