@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +106,16 @@ def test_features_against_plain_counts(spark, monkeypatch, words):
     assert len(expected) > 5 and model.features.tolist() == sorted(expected[: toxicity.FEATURES])
 
 
+def test_blocks_of_one_label(characters):
+    marks = np.full(4, 2**64 - 1, np.uint64)
+    for label in (0, 1):
+        for texts in (["a few words"], [""], [None, "x"]):
+            batch = pa.record_batch([pa.array([label] * len(texts), pa.int32()), pa.array(texts, pa.string())], ["label", "text"])
+            (out,) = toxicity._moments(iter([batch]), characters, marks)
+            assert [str(t) for t in out.schema.types] == ["int64"] + ["double"] * 4
+            assert sum(out.column(f"x{1 - label}").to_pylist()) == 0
+
+
 def test_fit_in_blocks_is_the_fit(monkeypatch):
     r = np.random.default_rng(3)
     x = np.where(r.random((500, 12)) < 0.3, r.random((500, 12)), 0)

@@ -372,7 +372,8 @@ def _moments(batches: Iterator[pa.RecordBatch], characters: np.ndarray, bitmap:
         toxic = batch.column("label").to_numpy()[row] == 1
         sums = [np.bincount(place[own], v[own], minlength=len(feature)) for v in (value, value**2) for own in (~toxic, toxic)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(feature.view(np.int64)), *(pa.array(s) for s in sums)], ["feature", "x0", "x1", "y0", "y1"]
+            # Sums over no row at all come as whole numbers.
+            [pa.array(feature.view(np.int64)), *(pa.array(s, pa.float64()) for s in sums)], ["feature", "x0", "x1", "y0", "y1"]
         )
 
 
