@@ -28,13 +28,10 @@ def results(spark, rows):
 
 
 MESSAGES = [
-    ("TypeError: Cannot read property 'value' of undefined", "extension-bug"),
-    ("ReferenceError: apiKey is not defined", "extension-bug"),
-    ("Error: Command execution failed: timeout after 5000ms", "extension-bug"),
-    ("RangeError: Maximum call stack size exceeded", "timing-issue"),
-    ("Error: Expected sanitizer to redact but received original text", "timing-issue"),
-    ("AssertionError: Expected risk score 60 but received 0", "timing-issue"),
-    ("Unexpected runtime error", "timing-issue"),
+    ("Cannot read property 'tariff' of a closed row", "extension-bug"),
+    ("ReferenceError", "extension-bug"), ("nightly: Command sync failed, timeout", "extension-bug"),
+    ("balance drifted", "timing-issue"), ("Expected three rows", "timing-issue"), ("expected 3 but got 4", "test-issue"),
+    ("command failed", "timing-issue"),
     ("timeout", "test-issue"), ("TIMEOUT", "timing-issue"), ("Element x not found", "test-issue"),
     ("PERMISSION DENIED", "extension-bug"), ("permission  denied", "environment-issue"),
     ("Out of memory", "environment-issue"), (None, "timing-issue"),
@@ -44,7 +41,7 @@ MESSAGES = [
 def test_categories(spark):
     rows = diagnose(results(spark, [{"error": m} for m, _ in MESSAGES])).orderBy("seq").collect()
     assert [r.root_cause.category for r in rows] == [c for _, c in MESSAGES]
-    assert rows[0].root_cause.description == "Extension attempted to read undefined property 'value'"
+    assert rows[0].root_cause.description == "Extension attempted to read undefined property 'tariff'"
     assert rows[7].root_cause.description.startswith("Test timed out after 7ms")
 
 

@@ -3,17 +3,26 @@
 A tick is one look at an owner's current text.  Rows are
 ``(owner, seq, ts, kind, text, path, choice)``; ``kind`` is ``tick``, ``suppress``
 (skip one tick to come) or ``decision`` (the answer to the alert of the last tick:
-``sanitize``, ``ignore`` or ``allow``; recorded only for ticks that did alert).
-
-Every text is scanned where it lies and reduced to a key, a score and labels; only
-those narrow rows are shuffled and ordered.  Keys are hashes, so no secret is kept.
+``sanitize``, ``ignore`` or ``allow``).  A decision for which no alert waits is refused.
+
+Every text is scanned where it lies and reduced to hashes, a score and labels; only those
+narrow rows are shuffled and ordered.
+
+Whether a tick alerts depends on the decisions before it, and whether these count depends
+on alerts, so no sum or minimum over an owner's rows says it.  The rows are cut into
+chunks of about equally many (``operators/prefix.py``) and each is run as if nothing came
+before.  A chunk hands on the state of its last owner and the paths that owner ignored.
+Chunks that were given something else than they would be now are run again, all at once,
+until nothing changes.  The first chunk is right from the start and each round settles at
+least one more of an owner, so this ends; since a state is forgotten within a few ticks, it
+ends after a few rounds, whatever the number of chunks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textwarden.functions.detect import with_matched
@@ -22,15 +31,15 @@ from textwarden.functions.risk import score_matched
 from textwarden.functions.rules import MAX_TEXT_BYTES, Rule, builtin_rules
 from textwarden.functions.sqltext import computed_once, ident
 from textwarden.operators.gate import warn_message
-from textwarden.operators.prefix import DEFAULT_WIDTH, prefix_scan
+from textwarden.operators.prefix import DEFAULT_WIDTH, chunked, prefix_scan
 from textwarden.operators.staging import stage
+from textwarden.operators.ticks import SAYS, run_chunk
 
 SANITIZE, IGNORE, ALLOW = "sanitize", "ignore", "allow"
 KINDS = ("tick", "suppress", "decision")
 OUTCOMES = ("suppressed", "unchanged", "too_large", "ignored", "low", "alert")
 
 EMPTY_KEY = "sha2('', 256)"
-_ADDS = f"(kind = 'suppress' OR (kind = 'decision' AND choice = '{SANITIZE}'))"
 
 
 def bad_rows(rows: DataFrame) -> DataFrame:
@@ -50,15 +59,9 @@ def good_rows(rows: DataFrame) -> DataFrame:
 
 
 def narrow_ticks(
-    rows: DataFrame,
-    rules: Sequence[Rule] | None = None,
-    max_bytes: int = MAX_TEXT_BYTES,
-    keep_clean: bool = False,
+    rows: DataFrame, rules: Sequence[Rule] | None = None, max_bytes: int = MAX_TEXT_BYTES
 ) -> DataFrame:
-    """Each row without its text, but with everything the monitor asks of the text.
-
-    ``keep_clean`` also keeps the sanitized text of ticks that may alert.
-    """
+    """Each row without its text, but with everything the monitor asks of the text."""
     rules = builtin_rules() if rules is None else rules
     plain = rows.withColumn(
         "text", F.when(F.col("kind") == "tick", F.coalesce("text", F.lit("")))
@@ -78,11 +81,60 @@ def narrow_ticks(
         "text_key", "is_empty", "too_large", "score", "level", "findings",
         F.sha2("clean", 256).alias("clean_key"),
     ]
-    if keep_clean:
-        kept.append(F.when(F.col("level") != "LOW", F.col("clean")).alias("clean"))
     return cleaned.select(*kept)
 
 
+_STATE = ("opened", "memory", "alert_seq", "alert_path", "alert_clean")
+
+
+def _given(said: DataFrame, firsts: DataFrame, paths: DataFrame) -> DataFrame:
+    """What each chunk should be given, by what the chunks said last.
+
+    Only a chunk's first owner may have begun in an earlier one, which then ended with it.
+    """
+    before = Window.orderBy("chunk")  # a row a chunk
+    ends = said.filter("what = 'state'").select("chunk", "owner", *_STATE)
+    handed = ends.select(
+        (F.lead("chunk").over(before)).alias("chunk"), "owner", *_STATE
+    ).join(firsts, ["chunk", "owner"], "left_semi")
+    earlier = said.filter("what = 'ignored'").groupBy("owner", "path").agg(F.min("chunk").alias("since"))
+    known = paths.join(earlier, ["owner", "path"]).filter("since < chunk")
+    return handed.selectExpr("'state' AS what", "chunk", "owner", *_STATE, "CAST(NULL AS STRING) AS path").union(
+        known.selectExpr(
+            "'ignored'", "chunk", "owner", "CAST(NULL AS INT)", "CAST(NULL AS STRING)", "CAST(NULL AS BIGINT)",
+            "CAST(NULL AS STRING)", "CAST(NULL AS STRING)", "path",
+        )
+    )
+
+
+def _outcomes(narrow: DataFrame, width: int) -> DataFrame:
+    """``(owner, seq, outcome, tick_seq)`` of ticks and decisions."""
+    steps = narrow.select(
+        F.col("owner").cast("string").alias("owner"), F.col("seq").cast("long").alias("seq"), "kind", "choice", "path",
+        "text_key", "clean_key", "is_empty", "too_large", (F.col("level") == "LOW").alias("is_low"),
+    )
+    rows = chunked(steps, ["owner"], "seq", width).withColumnRenamed("_chunk", "chunk")
+    by_chunk = rows.groupBy("chunk")
+    firsts = stage(by_chunk.agg(F.min("owner").alias("owner")))
+    paths = stage(rows.filter("path <> ''").join(firsts, ["chunk", "owner"], "left_semi").select("chunk", "owner", "path").distinct())
+
+    def run(chosen: DataFrame, given: DataFrame, outcomes: bool = False) -> DataFrame:
+        return chosen.groupBy("chunk").cogroup(given.groupBy("chunk")).applyInArrow(
+            lambda a, b: run_chunk(a, b, outcomes), SAYS
+        )
+
+    given = stage(_given(rows.sparkSession.createDataFrame([], SAYS), firsts, paths))
+    said = stage(run(rows, given))
+    while True:
+        after = stage(_given(said, firsts, paths))
+        changed = stage(after.exceptAll(given).union(given.exceptAll(after)).select("chunk").distinct())
+        if changed.isEmpty():
+            return run(rows, given, outcomes=True).select("owner", "seq", "outcome", "tick_seq")
+        given = after
+        again = run(rows.join(changed, "chunk", "left_semi"), given.join(changed, "chunk", "left_semi"))
+        said = stage(said.join(changed, "chunk", "left_anti").unionByName(again))
+
+
 def monitor(
     rows: DataFrame,
     rules: Sequence[Rule] | None = None,
@@ -94,53 +146,31 @@ def monitor(
     In order: a tick with a suppression open is ``suppressed``; an empty text, or one
     equal to the remembered text, is ``unchanged``; then ``too_large``, ``ignored``,
     ``low``, ``alert``.  The remembered text is that of the last tick which was
-    suppressed or not empty, or what a sanitize decision put in its place.
+    suppressed or not empty, or what a sanitize decision put in its place.  Numbers are
+    unique within an owner.
     """
     narrow = stage(narrow_ticks(good_rows(rows), rules, max_bytes))
-
-    # Suppressions open before a row: a counter that never falls below zero, which is
-    # its cumulative sum less the lowest that sum has been.
-    delta = f"CASE WHEN kind = 'tick' THEN -1 WHEN {_ADDS} THEN 1 ELSE 0 END"
-    last_tick = "CASE WHEN kind = 'tick' THEN struct(path, clean_key) END"
-    counted = prefix_scan(
-        narrow, ["owner"], "seq",
-        sums={"opened": delta}, lows={"lowest": delta}, lasts={"last_tick": last_tick},
-        width=width,
-    )
-    # Read three times below, so written once.
-    flagged = stage(
-        counted.select(
-            *[c for c in narrow.columns if c != "clean_key"],
-            "last_tick",
-            F.expr("kind = 'tick' AND opened - least(0, coalesce(lowest, 0)) > 0").alias("suppressed"),
-        )
-    )
-
-    written = (
-        "CASE WHEN kind = 'tick' AND (suppressed OR NOT is_empty) THEN text_key "
-        f"WHEN kind = 'decision' AND choice = '{SANITIZE}' THEN last_tick.clean_key END"
-    )
-    remembered = prefix_scan(flagged, ["owner"], "seq", lasts={"memory": written}, width=width)
-
-    ignored = (
-        flagged.filter(f"kind = 'decision' AND choice = '{IGNORE}' AND last_tick.path <> ''")
-        .groupBy("owner", F.col("last_tick.path").alias("path"))
-        .agg(F.min("seq").alias("ignored_from"))
-    )
-    ticks = remembered.filter("kind = 'tick'").join(ignored, ["owner", "path"], "left")
-    outcome = f"""
-        CASE WHEN suppressed THEN 'suppressed'
-             WHEN is_empty OR text_key = coalesce(memory, {EMPTY_KEY}) THEN 'unchanged'
-             WHEN too_large THEN 'too_large'
-             WHEN coalesce(seq > ignored_from, false) THEN 'ignored'
-             WHEN level = 'LOW' THEN 'low'
-             ELSE 'alert' END"""
+    outcomes = _outcomes(narrow, width)
+    ticks = narrow.filter("kind = 'tick'").join(outcomes.drop("tick_seq"), ["owner", "seq"])
     kept = [c for c in rows.columns if c not in ("text", "kind", "choice")]
-    done = ticks.select(*kept, "score", "level", "findings", F.expr(outcome).alias("outcome"))
+    done = ticks.select(*kept, "score", "level", "findings", "outcome")
     message = warn_message(F.col("score"), F.col("level"), F.col("findings"))
     return done.select("*", F.when(F.col("outcome") == "alert", message).alias("message"))
 
 
+def decisions(
+    rows: DataFrame, rules: Sequence[Rule] | None = None, max_bytes: int = MAX_TEXT_BYTES, width: int = DEFAULT_WIDTH
+) -> DataFrame:
+    """``(owner, seq, choice, outcome, tick_seq)`` of every decision.
+
+    ``applied`` or ``refused``; ``tick_seq`` is the tick whose text is to be sanitized.
+    Refused ones belong in the error table, beside ``bad_rows``.
+    """
+    narrow = stage(narrow_ticks(good_rows(rows), rules, max_bytes))
+    asked = narrow.filter("kind = 'decision'").select("owner", "seq", "choice")
+    return asked.join(_outcomes(narrow, width), ["owner", "seq"])
+
+
 def changed_ticks(rows: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
     """Ticks whose text is neither empty nor the one remembered, without scanning anything."""
     keyed = rows.select(
@@ -156,23 +186,18 @@ def changed_ticks(rows: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
 
 
 def sanitized_texts(
-    rows: DataFrame, rules: Sequence[Rule] | None = None, width: int = DEFAULT_WIDTH
+    rows: DataFrame, rules: Sequence[Rule] | None = None, width: int = DEFAULT_WIDTH, decided: DataFrame | None = None
 ) -> DataFrame:
-    """What each sanitize decision puts in place of the text it answers.
+    """What each sanitize decision that counts puts in place of the text it answers.
 
-    Only the texts that were decided on are rewritten: their ticks are found by number
-    first, and the texts joined to them.
+    Only those texts are rewritten: their ticks are known by number first, and the texts
+    joined to them.  ``decided`` has ``(owner, seq, tick_seq)``, as ``decisions`` or the
+    stream gives it; without it the monitor is run.
     """
-    numbers = rows.select("owner", "seq", "kind", "choice")
-    seen = prefix_scan(
-        numbers, ["owner"], "seq", lasts={"tick_seq": "CASE WHEN kind = 'tick' THEN seq END"},
-        width=width,
-    )
-    decided = seen.filter(f"kind = 'decision' AND choice = '{SANITIZE}'").select(
+    decided = decisions(rows, rules, width=width) if decided is None else decided
+    wanted = decided.filter("tick_seq IS NOT NULL").select(
         "owner", F.col("seq").alias("decision_seq"), F.col("tick_seq").alias("seq")
     )
     texts = rows.filter("kind = 'tick'").select("owner", "seq", "text")
-    joined = texts.join(decided, ["owner", "seq"])
-    return joined.select(
-        "owner", "decision_seq", F.expr(sanitize(rules=rules)).alias("sanitized")
-    )
+    joined = texts.join(wanted, ["owner", "seq"])
+    return joined.select("owner", "decision_seq", F.expr(sanitize(rules=rules)).alias("sanitized"))

@@ -1,10 +1,11 @@
 """Running values over long ordered groups, without one task per group.
 
 A window over a whole group sorts that group in one task, however many rows it holds.
-Here each group is cut into chunks of the order column.  Rows are windowed within
-their chunk; one summary row per chunk is windowed over the group and hands each
-chunk what came before it.  A group holding a third of all rows is spread over as
-many tasks as it has chunks.
+Here all rows are cut into ranges of the group and the order column, with about equally
+many rows whatever the numbers are and however they are spread over groups.  Rows are
+windowed within their chunk; one summary row per chunk and group is windowed over the
+group and hands each chunk what came before it.  A group holding a third of all rows is
+spread over a third of the chunks; small groups share one.
 """
 
 from __future__ import annotations
@@ -14,9 +15,21 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textwarden.operators.staging import stage
+
+#: Rows of a chunk, about.
 DEFAULT_WIDTH = 100_000
 
 
+def chunked(df: DataFrame, keys: Sequence[str], order: str, width: int = DEFAULT_WIDTH) -> DataFrame:
+    """The rows with their ``_chunk``: numbers that rise with the keys and the order column.
+
+    The rows are written once, so a chunk stays what it is if a task is run again.
+    """
+    parts = max(1, -(-df.count() // int(width)))
+    return stage(df.repartitionByRange(parts, *keys, order).withColumn("_chunk", F.spark_partition_id()))
+
+
 def prefix_scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -30,17 +43,14 @@ def prefix_scan(
 
     ``sums`` are cumulative sums of SQL expressions, ``lows`` the lowest inclusive
     cumulative sum so far (null on the first row), ``lasts`` the last value that is not
-    null.  ``order`` is a whole number, unique within the group; a chunk spans
-    ``width`` of it, so holds at most that many rows.
+    null.  ``order`` is unique within the group; a chunk holds about ``width`` rows.
     """
     sums, lows, lasts = dict(sums or {}), dict(lows or {}), dict(lasts or {})
     keys = list(keys)
     part = [*keys, "_chunk"]
     before = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    place = F.col(order).cast("bigint")
-    chunk = F.expr(f"(_at - pmod(_at, {int(width)}L)) div {int(width)}L")
-    cut = df.select("*", place.alias("_at")).select(*df.columns, chunk.alias("_chunk"))
+    cut = chunked(df, keys, order, width)
 
     # Within the chunk.
     local = cut.select(

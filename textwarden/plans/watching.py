@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from textwarden.functions.risk import score_units
 from textwarden.functions.rules import builtin_rules
 from textwarden.operators.monitor import (
-    bad_rows, changed_ticks, good_rows, monitor, sanitized_texts,
+    bad_rows, changed_ticks, decisions, good_rows, monitor, sanitized_texts,
 )
 from textwarden.operators.staging import shared_folder
 from textwarden.plans import sql
@@ -28,7 +28,8 @@ WIDTH = 2_000
 START = "2024-01-01 00:00:00"
 
 # Every document is looked at twice by the owner named by its source, sometimes followed
-# by an empty text; some looks are preceded by a suppression or answered by a decision.
+# by an empty text; some looks are preceded by a suppression or followed by a decision,
+# whether they alerted or not.
 _EVENTS = """
     named_struct('step', 0, 'kind', 'suppress', 'used', doc_id % 11 = 0),
     named_struct('step', 1, 'kind', 'tick', 'used', true),
@@ -72,7 +73,7 @@ _TICKS_SQL = f"""
       FROM events)"""
 
 _MONITOR_SQL = f"""
-    WITH {_TICKS_SQL},
+    WITH RECURSIVE {_TICKS_SQL},
     {sql.scored("SELECT doc_id, path, text FROM docs")},
     cleaned AS (SELECT *, {sql.rewrite('text')} AS clean FROM risk),
     rows AS (
@@ -81,34 +82,36 @@ _MONITOR_SQL = f"""
         CASE WHEN t.text = '' THEN 'LOW' ELSE c.level END AS level,
         CASE WHEN t.text = '' THEN '' ELSE c.findings END AS findings
       FROM ticks t LEFT JOIN cleaned c ON t.kind = 'tick' AND t.seq // 10 = c.doc_id),
-    steps AS (
-      SELECT *, CASE WHEN kind = 'tick' THEN -1 WHEN kind = 'suppress' OR choice = 'sanitize'
-        THEN 1 ELSE 0 END AS delta FROM rows),
-    totals AS (
-      SELECT *, sum(delta) OVER w AS total,
-        last_value(CASE WHEN kind = 'tick' THEN clean END IGNORE NULLS) OVER b AS last_clean,
-        last_value(CASE WHEN kind = 'tick' THEN coalesce(path, '') END IGNORE NULLS) OVER b AS last_path
-      FROM steps WINDOW w AS (PARTITION BY owner ORDER BY seq),
-        b AS (PARTITION BY owner ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-    flagged AS (
-      SELECT *, kind = 'tick' AND total - delta - least(0, coalesce(min(total) OVER
-        (PARTITION BY owner ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) > 0
-        AS suppressed FROM totals),
-    remembered AS (
-      SELECT *, coalesce(last_value(CASE WHEN kind = 'tick' AND (suppressed OR text <> '') THEN text
-        WHEN choice = 'sanitize' THEN last_clean END IGNORE NULLS) OVER
-        (PARTITION BY owner ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')
-        AS memory FROM flagged),
-    ignored AS (
-      SELECT owner, last_path AS path, min(seq) AS since FROM flagged
-      WHERE choice = 'ignore' AND last_path <> '' GROUP BY owner, last_path),
-    outcomes AS (
-      SELECT r.owner, r.seq, r.ts, r.score, r.level, r.findings,
-        CASE WHEN suppressed THEN 'suppressed' WHEN text = '' OR text = memory THEN 'unchanged'
-          WHEN strlen(text) > 204800 THEN 'too_large' WHEN r.seq > i.since THEN 'ignored'
-          WHEN level = 'LOW' THEN 'low' ELSE 'alert' END AS outcome
-      FROM remembered r LEFT JOIN ignored i ON r.owner = i.owner AND r.path = i.path
-      WHERE r.kind = 'tick')"""
+    numbered AS MATERIALIZED (
+      SELECT owner, seq, ts, kind, choice, path, score, level, findings, md5(text) AS own, md5(clean) AS cleaned,
+        strlen(text) > 204800 AS big, row_number() OVER (PARTITION BY owner ORDER BY seq) AS rn FROM rows),
+    -- One row of every owner after the other: the state after it, and its outcome.
+    run AS (
+      SELECT DISTINCT owner, CAST(0 AS BIGINT) AS rn, 0 AS opened, md5('') AS memory, CAST(NULL AS BIGINT) AS alert_seq,
+        CAST(NULL AS VARCHAR) AS alert_path, CAST(NULL AS VARCHAR) AS alert_clean, CAST([] AS VARCHAR[]) AS ignored,
+        CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS BIGINT) AS tick_seq FROM numbered
+      UNION ALL
+      SELECT owner, rn,
+        CASE WHEN kind = 'suppress' OR (o = 'applied' AND choice = 'sanitize') THEN opened + 1
+          WHEN o = 'suppressed' THEN opened - 1 ELSE opened END,
+        CASE WHEN o = 'applied' AND choice = 'sanitize' THEN alert_clean
+          WHEN kind = 'tick' AND (o = 'suppressed' OR own <> md5('')) THEN own ELSE memory END,
+        CASE WHEN kind = 'suppress' THEN alert_seq WHEN o = 'alert' THEN seq END,
+        CASE WHEN kind = 'suppress' THEN alert_path WHEN o = 'alert' THEN path END,
+        CASE WHEN kind = 'suppress' THEN alert_clean WHEN o = 'alert' THEN cleaned END,
+        CASE WHEN o = 'applied' AND choice = 'ignore' AND alert_path <> '' THEN list_append(ignored, alert_path)
+          ELSE ignored END,
+        o, CASE WHEN o = 'applied' AND choice = 'sanitize' THEN alert_seq END
+      FROM (
+        SELECT n.*, r.opened, r.memory, r.alert_seq, r.alert_path, r.alert_clean, r.ignored,
+          CASE WHEN n.kind = 'suppress' THEN NULL
+            WHEN n.kind = 'decision' THEN CASE WHEN r.alert_seq IS NULL THEN 'refused' ELSE 'applied' END
+            WHEN r.opened > 0 THEN 'suppressed' WHEN n.own = md5('') OR n.own = r.memory THEN 'unchanged'
+            WHEN n.big THEN 'too_large' WHEN list_contains(r.ignored, n.path) THEN 'ignored'
+            WHEN n.level = 'LOW' THEN 'low' ELSE 'alert' END AS o
+        FROM run r JOIN numbered n ON n.owner = r.owner AND n.rn = r.rn + 1)),
+    done AS (SELECT n.*, r.outcome, r.tick_seq FROM run r JOIN numbered n ON n.owner = r.owner AND n.rn = r.rn),
+    outcomes AS (SELECT * FROM done WHERE kind = 'tick')"""
 
 
 def _outcomes(spark, sf_dir):
@@ -155,8 +158,18 @@ def _sanitized(spark, sf_dir):
 
 QUERIES["monitor_sanitized"] = Query(
     _sanitized,
-    _MONITOR_SQL + " SELECT owner, seq AS decision_seq, md5(last_clean) AS sanitized_md5 "
-    "FROM flagged WHERE choice = 'sanitize'",
+    _MONITOR_SQL + " SELECT d.owner, d.seq AS decision_seq, t.cleaned AS sanitized_md5 "
+    "FROM done d JOIN numbered t ON t.owner = d.owner AND t.seq = d.tick_seq",
+)
+
+
+def _decisions(spark, sf_dir):
+    """Which decisions answer an alert, and which are refused."""
+    return decisions(ticks(spark, sf_dir), width=WIDTH).select("owner", "seq", "choice", "outcome")
+
+
+QUERIES["monitor_decisions"] = Query(
+    _decisions, _MONITOR_SQL + " SELECT owner, seq, choice, outcome FROM done WHERE kind = 'decision'"
 )
 
 
@@ -263,7 +276,7 @@ def _streamed(spark, sf_dir):
 
 
 def _streamed_outcomes(spark, sf_dir):
-    outcomes = _streamed(spark, sf_dir).filter("outcome <> 'sanitized'")
+    outcomes = _streamed(spark, sf_dir).filter("outcome NOT IN ('applied', 'refused')")
     alerts = stream_alerts(outcomes).select("owner", "seq", "message")
     return outcomes.select("owner", "seq", "outcome").join(alerts, ["owner", "seq"], "left").select(
         "owner", "seq", "outcome", F.coalesce("message", F.lit("")).alias("message")

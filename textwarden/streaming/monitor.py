@@ -2,7 +2,9 @@
 
 Scanning runs as built-in expressions ahead of the state; the state step sees narrow
 rows only, keyed by owner, and does nothing but bookkeeping.  State per owner is a
-counter, a hash of the remembered text, the last tick, and the ignored paths.
+counter, hashes of the remembered text and of what a decision would put in its place, the
+alert that waits for an answer, and the ignored paths.  No text is part of it: a sanitize
+decision gives the number of its tick, by which ``sanitized_texts`` finds the text.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from textwarden.functions.risk import score_units
 from textwarden.functions.rules import MAX_TEXT_BYTES, Rule
 from textwarden.operators.monitor import good_rows, narrow_ticks
+from textwarden.operators.ticks import State, Step, run_rows
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -32,7 +35,6 @@ ROW_SCHEMA = (
 _PARTITIONS = "spark.sql.shuffle.partitions"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_EMPTY_KEY = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 _OUT = T.StructType(
     [
@@ -44,16 +46,16 @@ _OUT = T.StructType(
         T.StructField("score", T.DoubleType()),
         T.StructField("level", T.StringType()),
         T.StructField("findings", T.StringType()),
-        T.StructField("sanitized", T.StringType()),
+        T.StructField("tick_seq", T.LongType()),
     ]
 )
 _STATE = T.StructType(
     [
-        T.StructField("open", T.IntegerType()),
+        T.StructField("opened", T.IntegerType()),
         T.StructField("memory", T.StringType()),
-        T.StructField("last_path", T.StringType()),
-        T.StructField("last_key", T.StringType()),
-        T.StructField("last_clean", T.StringType()),
+        T.StructField("alert_seq", T.LongType()),
+        T.StructField("alert_path", T.StringType()),
+        T.StructField("alert_clean", T.StringType()),
     ]
 )
 _PATH = T.StructType([T.StructField("path", T.StringType())])
@@ -70,48 +72,24 @@ class TickProcessor(StatefulProcessor):
         self.state = handle.getValueState("state", _STATE, self.ttl_ms)
         self.ignored = handle.getMapState("ignored", _PATH, _SEEN, self.ttl_ms)
 
-    def _outcome(self, row, suppressed: bool, memory: str) -> str:
-        if suppressed:
-            return "suppressed"
-        if row.is_empty or row.text_key == memory:
-            return "unchanged"
-        if row.too_large:
-            return "too_large"
-        if row.path and self.ignored.containsKey((row.path,)):
-            return "ignored"
-        return "low" if row.level == "LOW" else "alert"
-
     def handleInputRows(self, key, rows, timerValues):
         batch = pd.concat(list(rows)).sort_values("seq")
         batch = batch.astype(object).where(batch.notna(), None)
-        current = self.state.get() if self.state.exists() else (0, _EMPTY_KEY, None, None, None)
-        opened, memory, last_path, last_key, last_clean = current
-        out = []
-        for row in batch.itertuples(index=False):
-            if row.kind == "suppress":
-                opened += 1
-            elif row.kind == "decision":
-                if row.choice == "sanitize":
-                    opened, memory = opened + 1, last_key
-                    out.append((row, "sanitized", last_clean))
-                elif row.choice == "ignore" and last_path:
-                    self.ignored.updateValue((last_path,), (True,))
-            else:
-                suppressed = opened > 0
-                out.append((row, self._outcome(row, suppressed, memory), None))
-                if suppressed:
-                    opened, memory = opened - 1, row.text_key
-                elif not row.is_empty:
-                    memory = row.text_key
-                last_path, last_key, last_clean = row.path, row.clean_key, row.clean
-        self.state.update((int(opened), memory, last_path, last_key, last_clean))
+        state = State(*self.state.get()) if self.state.exists() else State()
+        steps = list(map(Step, *(batch[c] for c in Step._fields)))
+        state, done = run_rows(
+            state, steps, lambda path: self.ignored.containsKey((path,)),
+            lambda path: self.ignored.updateValue((path,), (True,)),
+        )
+        self.state.update(tuple(state))
+        shown = dict(zip(batch["seq"], batch[["ts", "score", "level", "findings"]].itertuples(index=False, name=None)))
         yield pd.DataFrame(
             [
-                (key[0], r.seq, r.ts, r.path, outcome, r.score, r.level, r.findings, clean)
-                for r, outcome, clean in out
+                (key[0], r.seq, shown[r.seq][0], r.path, outcome, *shown[r.seq][1:], tick)
+                for r, outcome, tick in done
             ],
             columns=_OUT.fieldNames(),
-        )
+        ).astype({"tick_seq": "Int64"})
 
     def close(self) -> None:
         pass
@@ -123,7 +101,7 @@ def monitor_stream(
     max_bytes: int = MAX_TEXT_BYTES,
     ttl_ms: int | None = None,
 ) -> DataFrame:
-    """Outcomes of a stream of monitor rows, and the text each sanitize decision asks for.
+    """Outcomes of a stream of monitor rows; for a sanitize decision that counts, the tick it answers.
 
     ``ttl_ms`` forgets owners that have been silent for so long.  A micro-batch must
     follow the ones before it in ``seq``; rows within it may come in any order.
@@ -131,10 +109,10 @@ def monitor_stream(
     spark = rows.sparkSession
     if _ROCKSDB not in (spark.conf.get(_PROVIDER, "") or ""):
         spark.conf.set(_PROVIDER, _ROCKSDB)
-    narrow = narrow_ticks(good_rows(rows), rules, max_bytes, keep_clean=True).select(
-        "owner", "seq", "ts", "kind", "path", "choice", "text_key", "is_empty", "too_large",
-        F.col("score").cast("double").alias("score"), "level",
-        F.array_join("findings", ", ").alias("findings"), "clean_key", "clean",
+    narrow = narrow_ticks(good_rows(rows), rules, max_bytes).select(
+        "owner", "seq", "ts", "kind", "path", "choice", "text_key", "clean_key", "is_empty", "too_large",
+        (F.col("level") == "LOW").alias("is_low"), F.col("score").cast("double").alias("score"), "level",
+        F.array_join("findings", ", ").alias("findings"),
     )
     mode = "ProcessingTime" if ttl_ms else "None"
     return narrow.groupBy("owner").transformWithStateInPandas(
