@@ -247,3 +247,54 @@ def test_whole_turns_of_all_roles_are_compared(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/conversations.parquet")
     got = entry.queries()["monitor_changes_whole"](spark, str(tmp_path)).collect()
     assert sorted((r.owner, r.seq) for r in got) == [("a", 0), ("a", 4), ("a", 8), ("b", 0)]
+
+
+def test_every_row_has_the_rules_of_its_time(spark, tmp_path):
+    """In batch, and in a stream whose rules change between two micro-batches."""
+    from textwarden.operators.rule_versions import narrow_as_of, rule_versions
+    from textwarden.sources.rule_files import RAW_COLUMNS
+    from textwarden.streaming.monitor import monitor_narrow, read_narrow, scan_ticks
+
+    types = "string int string int string string string string string double boolean boolean".split()
+    schema = ", ".join(f"{c} {t}" for c, t in zip(["since", *RAW_COLUMNS], ["timestamp", *types]))
+    at = lambda seq: F.timestamp_seconds(F.lit(1704067200 + seq))
+    start = spark.range(1).select(at(0)).first()[0]
+    later = spark.range(1).select(at(4)).first()[0]
+    last = spark.range(1).select(at(8)).first()[0]
+    definition = lambda since, pos, word, risk: (since, None, 0, None, pos, word, word, word, "g", None, risk, False, True)
+    rows = [
+        definition(start, 0, "apple", 40.0), definition(start, 1, "pear", 40.5),
+        definition(later, 0, "pear", 10.0), definition(later, 1, "[bad", 90.0),
+        (last, *(None,) * 12),  # the built-in rules alone
+    ]
+    table = spark.createDataFrame(rows, schema)
+    versions = rule_versions(table)
+    assert [[r.id for r in v.rules[29:]] for v in versions] == [["apple", "pear"], ["pear"], []]
+    with pytest.raises(ValueError):
+        rule_versions(spark.range(40).select(at(0).alias("_"), F.timestamp_seconds("id").alias("since"), *(F.lit(None).alias(c) for c in RAW_COLUMNS)))
+
+    steps = ["apple", "pear", "apple pear", "x", "apple", "pear", K1, "pear pear", "apple again", K2]
+    source = frame(spark, rows_of("a", steps))
+    early = frame(spark, rows_of("b", ["apple"])).withColumn("ts", at(-5))
+    timeless = frame(spark, rows_of("c", ["apple"])).withColumn("ts", F.lit(None).cast("timestamp"))
+    source = source.union(early).union(timeless)
+    want = {("a", i): o for i, o in enumerate(["alert"] * 3 + ["low"] * 3 + ["alert", "low", "low", "alert"])}
+    want |= {("b", 0): "low", ("c", 0): "low"}
+    got = monitor(source, max_bytes=LIMIT, scan=lambda r: narrow_as_of(r, versions, LIMIT))
+    assert {(r.owner, r.seq): r.outcome for r in got.collect()} == want
+    assert {r.seq: r.score for r in got.filter("owner = 'a'").collect()}[1] == 40.5
+
+    folder = str(tmp_path)
+    for part, known in ((F.col("seq") < 4, "since < timestamp_seconds(1704067204)"), (F.col("seq") >= 4, "true")):
+        source.filter(part).write.mode("append").parquet(f"{folder}/in")
+        chosen = table.filter(known)
+        for _ in range(2):  # the second start finds nothing new to scan
+            scan_ticks(
+                spark.readStream.schema(ROW_SCHEMA).parquet(f"{folder}/in"), lambda session, t=chosen: rule_versions(t),
+                f"{folder}/narrow", f"{folder}/scanned", LIMIT, once=True,
+            ).awaitTermination()
+        write_stream(
+            monitor_narrow(read_narrow(spark, f"{folder}/narrow")), f"{folder}/out", f"{folder}/state", once=True
+        ).awaitTermination()
+    done = spark.read.parquet(f"{folder}/out")
+    assert {(r.owner, r.seq): r.outcome for r in done.collect()} == want

@@ -93,6 +93,12 @@ def test_recurring_and_history(spark, tmp_path):
     append_diagnoses(found, log)
     append_diagnoses(found, log)
     assert load_diagnoses(spark, log, found.schema).count() == 6
+    # Numbered batches are written once, however often they are tried.
+    for batch in (0, 1, 0, 1, 1):
+        append_diagnoses(found.filter(F.col("seq") >= batch), log, batch)
+    late = found.filter(F.col("seq") >= 1).count()
+    kept = load_diagnoses(spark, log, found.schema)
+    assert kept.count() == 6 + found.count() + late and kept.columns == found.columns
 
 
 def runs(spark):

@@ -20,7 +20,7 @@ ends after a few rounds, whatever the number of chunks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -135,11 +135,17 @@ def _outcomes(narrow: DataFrame, width: int) -> DataFrame:
         said = stage(said.join(changed, "chunk", "left_anti").unionByName(again))
 
 
+def _scanned(rows: DataFrame, rules, max_bytes: int, scan) -> DataFrame:
+    good = good_rows(rows)
+    return stage(scan(good) if scan else narrow_ticks(good, rules, max_bytes))
+
+
 def monitor(
     rows: DataFrame,
     rules: Sequence[Rule] | None = None,
     max_bytes: int = MAX_TEXT_BYTES,
     width: int = DEFAULT_WIDTH,
+    scan: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """One row per tick with its ``outcome`` and, for alerts, the ``message``.
 
@@ -147,9 +153,10 @@ def monitor(
     equal to the remembered text, is ``unchanged``; then ``too_large``, ``ignored``,
     ``low``, ``alert``.  The remembered text is that of the last tick which was
     suppressed or not empty, or what a sanitize decision put in its place.  Numbers are
-    unique within an owner.
+    unique within an owner.  ``scan`` takes the place of ``narrow_ticks``, as
+    ``narrow_as_of`` for rules that change over time.
     """
-    narrow = stage(narrow_ticks(good_rows(rows), rules, max_bytes))
+    narrow = _scanned(rows, rules, max_bytes, scan)
     outcomes = _outcomes(narrow, width)
     ticks = narrow.filter("kind = 'tick'").join(outcomes.drop("tick_seq"), ["owner", "seq"])
     kept = [c for c in rows.columns if c not in ("text", "kind", "choice")]
@@ -159,14 +166,15 @@ def monitor(
 
 
 def decisions(
-    rows: DataFrame, rules: Sequence[Rule] | None = None, max_bytes: int = MAX_TEXT_BYTES, width: int = DEFAULT_WIDTH
+    rows: DataFrame, rules: Sequence[Rule] | None = None, max_bytes: int = MAX_TEXT_BYTES, width: int = DEFAULT_WIDTH,
+    scan: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """``(owner, seq, choice, outcome, tick_seq)`` of every decision.
 
     ``applied`` or ``refused``; ``tick_seq`` is the tick whose text is to be sanitized.
     Refused ones belong in the error table, beside ``bad_rows``.
     """
-    narrow = stage(narrow_ticks(good_rows(rows), rules, max_bytes))
+    narrow = _scanned(rows, rules, max_bytes, scan)
     asked = narrow.filter("kind = 'decision'").select("owner", "seq", "choice")
     return asked.join(_outcomes(narrow, width), ["owner", "seq"])
 

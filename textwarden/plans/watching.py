@@ -4,23 +4,26 @@ from __future__ import annotations
 
 import os
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textwarden.functions.risk import score_units
-from textwarden.functions.rules import builtin_rules
+from textwarden.functions.rules import BUILTIN_COUNT, Rule, builtin_rules
 from textwarden.operators.monitor import (
     bad_rows, changed_ticks, decisions, good_rows, monitor, sanitized_texts,
 )
+from textwarden.operators.rule_versions import narrow_as_of, rule_versions
 from textwarden.operators.staging import shared_folder
 from textwarden.plans import sql
 from textwarden.plans.fixtures import PLANTED_SQL, SAMPLES, pick, pick_sql, planted
 from textwarden.plans.registry import Query
 from textwarden.sources.corpus import scan_corpus
 from textwarden.streaming.monitor import (
-    alert_rate, monitor_stream, scan_stream, stream_alerts, write_stream,
+    alert_rate, monitor_narrow, monitor_stream, read_narrow, scan_stream, scan_ticks, stream_alerts, write_stream,
 )
+from textwarden.sources.rule_files import RAW_COLUMNS
 
 QUERIES: dict[str, Query] = {}
 
@@ -173,6 +176,63 @@ QUERIES["monitor_decisions"] = Query(
 )
 
 
+# The rules change twice while the ticks come in: the documents from which a rule is added,
+# and the rule; the second version has no longer the rule of the first.
+CHANGES = (
+    (70, Rule(BUILTIN_COUNT, "openings", "Opening", r"\bth[aeo]n?\s+(?:re|an)\w*", "gi", "<OPENING>", 45.0, False)),
+    (140, Rule(BUILTIN_COUNT, "endings", "Ending", r"\b\w+(?:tion|ci\u00f3n|ung)\s", "g", "<ENDING>", 70.0, True)),
+)
+
+
+def _changed_definitions(spark, changes=CHANGES):
+    """The versions as a table of definitions; every list holds from a time on."""
+    rows = [
+        (f"{START[:10]}T{since * 10 // 3600:02d}:{since * 10 // 60 % 60:02d}:{since * 10 % 60:02d}", None, 0, None, 0,
+         r.id, r.label, r.regex, r.flags, r.placeholder, float(r.risk), r.critical, True)
+        for since, r in changes
+    ]
+    types = "string, string, int, string, int, string, string, string, string, string, double, boolean, boolean".split(", ")
+    schema = ", ".join(f"{c} {t}" for c, t in zip(["since", *RAW_COLUMNS], types))
+    return spark.createDataFrame(rows, schema).withColumn("since", F.to_timestamp("since"))
+
+
+def _changing_ticks(spark, sf_dir):
+    return ticks(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _if_alert(findings):
+    alert = F.col("outcome") == "alert"
+    return [
+        F.when(alert, F.col("score").cast("bigint")).otherwise(0).alias("score"),
+        F.when(alert, findings).otherwise("").alias("findings"),
+    ]
+
+
+def _rule_changes(spark, sf_dir):
+    versions = rule_versions(_changed_definitions(spark))
+    rows = monitor(_changing_ticks(spark, sf_dir), width=WIDTH, scan=lambda r: narrow_as_of(r, versions))
+    return rows.select("owner", "seq", "outcome", *_if_alert(F.array_join("findings", ", ")))
+
+
+_ALL_RULES = (*builtin_rules(), *(replace(r, ord=BUILTIN_COUNT + k) for k, (_, r) in enumerate(CHANGES)))
+_HOLDS = f"(doc_id >= {CHANGES[0][0]} AND doc_id < {CHANGES[1][0]} AND ord = {BUILTIN_COUNT}) OR (doc_id >= {CHANGES[1][0]} AND ord = {BUILTIN_COUNT + 1})"
+_RULE_CHANGES_SQL = (
+    _MONITOR_SQL.replace(
+        sql.scored("SELECT doc_id, path, text FROM docs"),
+        sql.scored("SELECT doc_id, path, text FROM docs", rules=_ALL_RULES).replace(
+            "WHERE ord IS NOT NULL", f"WHERE ord < {BUILTIN_COUNT} OR {_HOLDS}"
+        ),
+    ).replace(
+        sql.rewrite("text") + " AS clean",
+        f"CASE WHEN doc_id < {CHANGES[0][0]} THEN {sql.rewrite('text')} WHEN doc_id < {CHANGES[1][0]} "
+        f"THEN {sql.rewrite('text', _ALL_RULES[:-1])} ELSE {sql.rewrite('text', (*builtin_rules(), _ALL_RULES[-1]))} END AS clean",
+    )
+    + " SELECT owner, seq, outcome, CASE WHEN outcome = 'alert' THEN score ELSE 0 END AS score, "
+    "CASE WHEN outcome = 'alert' THEN findings ELSE '' END AS findings FROM outcomes"
+)
+QUERIES["monitor_rule_changes"] = Query(_rule_changes, _RULE_CHANGES_SQL)
+
+
 def _conversation_ticks(spark, sf_dir):
     rows = scan_corpus(spark, f"{sf_dir}/conversations.parquet", ("conv_id", "turn", "role", "text"))
     # Assistant turns repeat the user's text with its sample, so that texts stay the same.
@@ -290,6 +350,32 @@ QUERIES["stream_monitor"] = Query(
 )
 
 
+def _streamed_rule_changes(spark, sf_dir):
+    """The ticks in two deliveries; the second version of the rules is known only after the first."""
+    folder = _run_folder(spark, "rule-changes")
+    rows = _changing_ticks(spark, sf_dir)
+    cut = CHANGES[1][0] * 10
+    for known, part in ((CHANGES[:1], F.col("seq") < cut), (CHANGES, F.col("seq") >= cut)):
+        rows.filter(part).write.mode("append").parquet(f"{folder}/in")
+        definitions = _changed_definitions(spark, known)
+        definitions.write.mode("overwrite").parquet(f"{folder}/rules-{len(known)}")
+        rules = f"{folder}/rules-{len(known)}"
+        scan_ticks(
+            spark.readStream.schema(rows.schema).parquet(f"{folder}/in"),
+            lambda session, rules=rules: rule_versions(session.read.parquet(rules)),
+            f"{folder}/narrow", f"{folder}/scanned", once=True,
+        ).awaitTermination()
+        write_stream(
+            monitor_narrow(read_narrow(spark, f"{folder}/narrow")), f"{folder}/out", f"{folder}/state", once=True,
+            state_partitions=_cores(spark),
+        ).awaitTermination()
+    outcomes = spark.read.parquet(f"{folder}/out").filter("outcome NOT IN ('applied', 'refused')")
+    return outcomes.select("owner", "seq", "outcome", *_if_alert(F.col("findings")))
+
+
+QUERIES["stream_rule_changes"] = Query(_streamed_rule_changes, _RULE_CHANGES_SQL)
+
+
 def _streamed_scan(spark, sf_dir):
     """Pages scored as a stream whose rules are read again for every micro-batch."""
     folder = _run_folder(spark, "pages")

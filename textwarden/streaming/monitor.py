@@ -22,6 +22,7 @@ from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from textwarden.functions.risk import score_units
 from textwarden.functions.rules import MAX_TEXT_BYTES, Rule
 from textwarden.operators.monitor import good_rows, narrow_ticks
+from textwarden.operators.rule_versions import RuleVersion, narrow_as_of
 from textwarden.operators.ticks import State, Step, run_rows
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -106,18 +107,61 @@ def monitor_stream(
     ``ttl_ms`` forgets owners that have been silent for so long.  A micro-batch must
     follow the ones before it in ``seq``; rows within it may come in any order.
     """
-    spark = rows.sparkSession
-    if _ROCKSDB not in (spark.conf.get(_PROVIDER, "") or ""):
-        spark.conf.set(_PROVIDER, _ROCKSDB)
-    narrow = narrow_ticks(good_rows(rows), rules, max_bytes).select(
+    return monitor_narrow(_narrow(narrow_ticks(good_rows(rows), rules, max_bytes)), ttl_ms)
+
+
+#: What the state step reads: rows whose text has been scanned and left behind.
+NARROW_SCHEMA = (
+    "owner STRING, seq BIGINT, ts TIMESTAMP, kind STRING, path STRING, choice STRING, text_key STRING, "
+    "clean_key STRING, is_empty BOOLEAN, too_large BOOLEAN, is_low BOOLEAN, score DOUBLE, level STRING, findings STRING"
+)
+
+
+def _narrow(ticks: DataFrame) -> DataFrame:
+    return ticks.select(
         "owner", "seq", "ts", "kind", "path", "choice", "text_key", "clean_key", "is_empty", "too_large",
         (F.col("level") == "LOW").alias("is_low"), F.col("score").cast("double").alias("score"), "level",
         F.array_join("findings", ", ").alias("findings"),
     )
+
+
+def monitor_narrow(narrow: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """The outcomes of a stream of rows of ``NARROW_SCHEMA``."""
+    spark = narrow.sparkSession
+    if _ROCKSDB not in (spark.conf.get(_PROVIDER, "") or ""):
+        spark.conf.set(_PROVIDER, _ROCKSDB)
     mode = "ProcessingTime" if ttl_ms else "None"
-    return narrow.groupBy("owner").transformWithStateInPandas(
-        TickProcessor(ttl_ms), _OUT, "Append", mode
-    )
+    return narrow.groupBy("owner").transformWithStateInPandas(TickProcessor(ttl_ms), _OUT, "Append", mode)
+
+
+def scan_ticks(
+    rows: DataFrame,
+    load_versions: Callable[[SparkSession], Sequence[RuleVersion]],
+    path: str,
+    checkpoint: str,
+    max_bytes: int = MAX_TEXT_BYTES,
+    once: bool = False,
+    poll: str = POLL_INTERVAL,
+) -> StreamingQuery:
+    """Scans a stream of monitor rows, with the rules read anew for every micro-batch.
+
+    The narrow rows go to a folder for each batch, which a batch that is tried again
+    replaces; ``read_narrow`` streams them on to ``monitor_narrow``.  Every row is scanned
+    with the rules of its own time, so a version must be in the table before rows of that
+    time arrive, and a batch tried again after the rules changed gives the same rows.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        done = _narrow(narrow_as_of(good_rows(batch), load_versions(batch.sparkSession), max_bytes))
+        done.write.mode("overwrite").parquet(f"{path}/batch-{number}")
+
+    timing = {"availableNow": True} if once else {"processingTime": poll}
+    return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**timing).start()
+
+
+def read_narrow(spark: SparkSession, path: str) -> DataFrame:
+    """The rows ``scan_ticks`` wrote, as a stream."""
+    return spark.readStream.schema(NARROW_SCHEMA).option("recursiveFileLookup", "true").parquet(path)
 
 
 def stream_alerts(outcomes: DataFrame) -> DataFrame:
