@@ -118,3 +118,48 @@ def test_joined_and_unrolled_rules_agree(spark):
     literal = score_units(units, collect_rules(compile_rules(defs, key=None)))
     joined = score_matched(match_repo_rules(units, compile_rules(defs)))
     assert literal.select("doc_id", "score", "findings").exceptAll(joined.select("doc_id", "score", "findings")).count() == 0
+
+
+def _definitions(spark, regexes):
+    rows = [("a", 0, "a", i, f"r{i}", f"L{i}", regex, flags, None, 7.0, False, True) for i, (regex, flags) in enumerate(regexes)]
+    schema = (
+        "repo_id string, source_rank int, folder string, pos int, id string, label string, regex string, flags string, "
+        "placeholder string, risk_score double, critical boolean, enabled boolean"
+    )
+    return spark.createDataFrame(rows, schema)
+
+
+def test_a_large_shared_set_finds_what_an_unrolled_one_does(spark, units):
+    import random
+
+    from textwarden.functions.detect import with_matched
+    from textwarden.operators.custom_rules import collect_rules, compile_rules
+    from textwarden.operators.shared_rules import match_shared_rules
+
+    r = random.Random(8)
+    word = lambda n: "".join(r.choices("abcde", k=n))
+    regexes = [(word(r.randint(4, 6)), r.choice(["g", "i", "g"])) for _ in range(150)]
+    regexes += [("STRAßE", "i"), ("ασΣ", "g"), ("ab", "g"), ("(?:abcd|dcba)", "g"), (r"\bcab\w+", "g"), ("aaaa+b", "i")]
+    regexes += [("caba" * 3, "g"), ("[bad((", "g"), ("abca|", "g"), (r"a\.b\.c\.d", "g")]
+    texts = [" ".join(word(r.randint(1, 30)).upper() if r.random() < 0.3 else word(r.randint(1, 30)) for _ in range(40)) for _ in range(60)]
+    texts += ["straße Straße", "xασΣ", "xασΣα", "cabacabacabacaba", "a.b.c.d", "AAAAB", "", None, "abc"]
+    rules = compile_rules(_definitions(spark, regexes), None, key=None)
+    df = units(texts)
+    labels = lambda d: {x.doc_id: [m.label for m in x.matched] for x in d.collect()}
+    want = labels(with_matched(df, collect_rules(rules)))
+    got = labels(match_shared_rules(df, rules))
+    assert got == want and sum(map(len, want.values())) > 500
+
+
+def test_thousands_of_rules(spark, units):
+    from textwarden.operators.custom_rules import compile_rules
+    from textwarden.operators.shared_rules import match_shared_rules
+
+    words = [f"key{i:04d}x" for i in range(3000)]
+    rules = compile_rules(_definitions(spark, [(w, "g") for w in words]), None, key=None)
+    # One rule is met by a third of all texts.
+    texts = [f"{words[i * 7 % 3000]} and {words[(i * 31 + 5) % 3000]} {words[9] if i % 3 == 0 else ''}" for i in range(300)]
+    got = {x.doc_id: {m.label for m in x.matched} for x in match_shared_rules(units(texts), rules).collect()}
+    assert got == {i: {f"L{words.index(w)}" for w in t.split() if w != "and"} for i, t in enumerate(texts)}
+    plan = match_shared_rules(units(texts), rules)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

@@ -36,7 +36,7 @@ MAX_LITERAL_RULES = 500
 _COMPILED = T.StructType(
     [
         T.StructField(name, T.StringType())
-        for name in ("java_regex", "replacement", "needle", "error")
+        for name in ("java_regex", "replacement", "needle", "literal", "error")
     ]
 )
 
@@ -47,12 +47,12 @@ def _compiled(regex: pd.Series, flags: pd.Series, placeholder: pd.Series) -> pd.
         try:
             done = dialect.translate(source, marks)
             needle = None if done.folded else done.needle
-            return done.pattern, dialect.replacement(template, done), needle, None
+            return done.pattern, dialect.replacement(template, done), needle, done.needle, None
         except dialect.RegexError as problem:
-            return None, None, None, str(problem)
+            return None, None, None, None, str(problem)
 
     rows = [one(*row) for row in zip(regex, flags, placeholder)]
-    return pd.DataFrame(rows, columns=["java_regex", "replacement", "needle", "error"])
+    return pd.DataFrame(rows, columns=_COMPILED.fieldNames())
 
 
 def numbered(raw: DataFrame, max_custom: int | None = MAX_CUSTOM_RULES, key: str | None = "repo_id") -> DataFrame:
@@ -113,6 +113,8 @@ def compile_rules(
         F.col("_done.java_regex").alias("java_regex"),
         F.col("_done.replacement").alias("replacement"),
         F.col("_done.needle").alias("needle"),
+        # Text that every hit holds, whether case counts or not.
+        F.col("_done.literal").alias("literal"),
         F.coalesce("placeholder", F.lit(DEFAULT_PLACEHOLDER)).alias("placeholder"),
         F.expr("greatest(0D, least(100D, coalesce(risk_score, 0D)))").alias("risk"),
         F.coalesce("critical", F.lit(False)).alias("critical"),

@@ -7,23 +7,28 @@ not valid.  Documents hold passages of those texts, so the rules find something.
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textwarden.functions import dialect
 from textwarden.functions.risk import score_matched, score_units
 from textwarden.functions.rewrite import sanitize_corpus
-from textwarden.functions.rules import BUILTIN_COUNT, builtin_rules
+from textwarden.functions.rules import BUILTIN_COUNT, Rule, builtin_rules
 from textwarden.operators.custom_rules import (
-    collect_rules, compile_rules, find_rules, match_repo_rules, rule_errors, sanitize_matched,
+    collect_rules, compile_rules, find_rules, match_repo_rules, numbered, rule_errors, sanitize_matched,
     warn_once,
 )
+from textwarden.operators.shared_rules import match_shared_rules
 from textwarden.operators.spans import detect_spans
+from textwarden.operators.staging import shared_folder
 from textwarden.plans import sql
-from textwarden.plans.fixtures import PLANTED_SQL, planted, quoted
+from textwarden.plans.fixtures import PLANTED_SQL, documents, planted, quoted
 from textwarden.plans.registry import Query
 from textwarden.sources.corpus import scan_corpus
-from textwarden.sources.rule_files import merge_rule_sources, parse_rule_files
+from textwarden.sources.rule_files import load_rule_files, merge_rule_sources, parse_rule_files
 
 QUERIES: dict[str, Query] = {}
 
@@ -209,6 +214,75 @@ QUERIES["custom_rules_capped"] = Query(
     _shared(50), _shared_sql(f"p.shared_ord < {BUILTIN_COUNT + 50}")
 )
 
+
+
+def _uncapped(spark, sf_dir):
+    """All definitions of all files as one set, whatever their number."""
+    rules = compile_rules(_raw(spark, sf_dir), max_custom=None, key=None)
+    units = planted(spark, sf_dir).select("doc_id", "path", "text")
+    rows = score_matched(match_shared_rules(units, rules), path="path", whole=False)
+    return rows.select("doc_id", "score", "level", F.array_join("findings", ", ").alias("findings"))
+
+
+QUERIES["custom_rules_uncapped"] = Query(_uncapped, _shared_sql("true"))
+
+
+def _written_files(spark, sf_dir):
+    """The rule files as files, one to a folder, read back; two files of a hundred are damaged on the way."""
+    folder = os.path.join(shared_folder(spark), f"rule-files-{uuid.uuid4().hex}")
+    files = _files(spark, sf_dir).withColumn("content", F.when(F.col("folder") % 50 == 1, F.lit('{"patterns": [{')).otherwise(F.col("content")))
+    # Spark names the files it writes, so the pattern takes them all.
+    files.select("folder", "content").repartition("folder").write.partitionBy("folder").option("lineSep", "\n").text(folder)
+    return load_rule_files(spark, folder, file_name="*.txt")
+
+
+def _loaded(spark, sf_dir):
+    raw = parse_rule_files(_written_files(spark, sf_dir))
+    name = F.regexp_extract("folder", r"folder=([0-9]+)\z", 1).cast("bigint").alias("folder")
+    return raw.select(name, F.col("pos").cast("bigint").alias("pos"), "id", "label", "regex")
+
+
+QUERIES["load_rule_files"] = Query(
+    _loaded,
+    _RAW_SQL + " SELECT CAST(folder AS BIGINT) AS folder, pos, id, label, regex FROM raw WHERE CAST(folder AS BIGINT) % 50 <> 1",
+)
+
+
+def _merged_order(spark, sf_dir):
+    """Every definition with its place in the order of the merged sources."""
+    raw = _raw(spark, sf_dir)
+    placed = numbered(merge_rule_sources(raw, raw.filter("id = 'words'")), max_custom=None, key=None)
+    return placed.select(F.col("ord").cast("bigint").alias("ord"), F.col("source_rank").cast("bigint").alias("source_rank"), "folder", "id", "label")
+
+
+QUERIES["rule_order"] = Query(
+    _merged_order,
+    _RAW_SQL + f", merged AS (SELECT 0 AS source_rank, * FROM raw UNION ALL SELECT 1, * FROM raw WHERE id = 'words') "
+    f"SELECT {BUILTIN_COUNT - 1} + row_number() OVER (ORDER BY source_rank, folder, pos) AS ord, "
+    "CAST(source_rank AS BIGINT) AS source_rank, folder, id, label FROM merged",
+)
+
+# A rule that may hit nothing: its hits count up to the first empty one, which ends its scan.
+_MAY_BE_EMPTY = r"the |(?=[^t])"
+
+
+def _zero_length(spark, sf_dir):
+    """The hits at the start of a text, which an empty one at the first other word cuts off."""
+    rule = Rule(BUILTIN_COUNT, "article", "Article", _MAY_BE_EMPTY)
+    # Every document starts with none to six articles; later ones must not be found.
+    units = documents(spark, sf_dir).select(
+        "doc_id", F.expr("concat(repeat('the ', int(doc_id % 7)), 'or the ', text)").alias("text")
+    )
+    spans = detect_spans(units, (rule,))
+    return spans.select("doc_id", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("fin"))
+
+
+QUERIES["zero_length_hits"] = Query(
+    _zero_length,
+    "SELECT doc_id, CAST(4 * i AS BIGINT) AS start, CAST(4 * i + 4 AS BIGINT) AS fin "
+    "FROM (SELECT doc_id, unnest(range(0, doc_id % 7)) AS i FROM documents) t",
+)
+
 _REPO_SQL = f"SELECT *, CAST(doc_id % {REPOS} AS VARCHAR) AS repo_id FROM ({PLANTED_SQL}) p"
 
 
