@@ -92,3 +92,41 @@ def test_equal_labels_of_two_rules_both_stay(units):
 
     rules = (*builtin_rules(), Rule(29, "a", "Same", "x"), Rule(30, "b", "Same", "y"))
     assert detect_labels(units(["xy"]), rules).first().findings == ["Same", "Same"]
+
+
+# What the rules that read far are made of, and what comes between.
+_FRAGMENTS = {
+    "jwt_token": ["eyJ", "eyJa", ".", ".", "-", "_", "a", "-eyJx", " ", "é", "b.c", "-.-"],
+    "postgresql_connection": ["postgres://", "postgresql://", "u", ":", "@", "h", ":5432/", "@h:1/", ":@", "7", "/", "postgres"],
+    "redis_connection": ["redis://:", "redis://:", "p", "@", "h.x", ":6379", ":", "@h:1", "redis:"],
+    "cloudformation_secret": ["{{resolve:secretsmanager:", "a", ":", "}", "}}", "b:c", "{{", ":}"],
+}
+
+
+def test_linear_probes_hit_what_their_rules_hit(units):
+    import random
+
+    r = random.Random(12)
+    rules = {rule.id: rule for rule in builtin_rules()}
+    for name, parts in _FRAGMENTS.items():
+        texts = ["".join(r.choices(parts, k=r.randint(1, 14))) for _ in range(4000)]
+        rule = rules[name]
+        both = units(texts).select("text", F.col("text").rlike(rule.detector()).alias("plain"), F.col("text").rlike(rule.probe).alias("linear"))
+        rows = both.collect()
+        assert [x.text for x in rows if x.plain != x.linear] == []
+        assert 100 < sum(x.plain for x in rows) < 3900, name
+
+
+def test_texts_of_starts_alone_take_no_time(units):
+    import time
+
+    starts = ("eyJ-", "eyJa.b-", "postgres://a:", "postgresql://a:b", "redis://:", "redis://:x", "{{resolve:secretsmanager:a:",
+              "{{resolve:secretsmanager:}", "a-", "a@b.")
+    texts = [start * (200_000 // len(start)) for start in starts]
+    texts += [start + "x" * 200_000 for start in starts[:7]]
+    for start in texts:
+        df = units([start]).cache()
+        df.count()
+        began = time.perf_counter()
+        detect_labels(df).collect()
+        assert time.perf_counter() - began < 4, start[:40]  # planning and all rules included
