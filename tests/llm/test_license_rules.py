@@ -1,3 +1,6 @@
+import random
+import re
+
 from .samples import SCHEMA, messy_rows
 from textwarden.llm import license_rules
 
@@ -18,7 +21,20 @@ CASES = {
     "Neither the name nor contributors may be used to endorse products.": ("BSD-3-Clause", ""),
     "Redistributions in binary form must reproduce it. Redistributions of source code must retain this.": (
         "", "bsdbinary bsdsource"),
-    "SPDX-License-Identifier: MIT OR Zlib": ("SPDX", ""),
+    "SPDX-License-Identifier: MIT OR Zlib": ("MIT AND Zlib", ""),
+    "SPDX-License-Identifier: LicenseRef-own": ("SPDX", ""),
+    "Licensed under GPLv3.": ("GPL-3.0", ""),
+    "License: Apache-2.0": ("Apache-2.0", ""),
+    "license: GPL-2.0-only": ("GPL-2.0", ""),
+    "GNU GPL version 2 or later": ("GPL-2.0", ""),
+    "It is under the GNU LGPL v2.1+ and parts under AGPL-3.0-or-later": ("AGPL-3.0 AND LGPL-2.1", ""),
+    "Boost Software License - Version 1.0": ("BSL-1.0", ""),
+    "The Artistic License 2.0": ("Artistic-2.0", ""),
+    "the zlib/libpng license": ("Zlib", ""),
+    "License: MIT": ("MIT", ""),
+    "License: BSD-3-Clause": ("BSD-3-Clause", ""),
+    "Covered by the MPL 2.0; see also EPL-2.0": ("EPL-2.0 AND MPL-2.0", ""),
+    "A simple example: the Apache scouts exemplified gplus in 2.0 ways": ("", ""),
     "Our licence to operate was renewed.": ("", "other"),
     "No such words.": ("", ""),
 }
@@ -59,6 +75,15 @@ EXAMPLES = {
     "The MIT License": "mitnamed",
     "Released under the BSD 2-Clause.": "bsdnamed:2",
     "A 3-clause\nBSD text": "bsdnamed:3",
+    "Under AGPLv3": "agpl:3",
+    "Under LGPL-2.1": "lgpl:2.1",
+    "Under GPL 2": "gpl:2",
+    "Under Apache 2.0": "apache:2.0",
+    "Under MPL-2.0": "mozilla:2.0",
+    "Under EPL v1.0": "eclipse:1.0",
+    "Boost Software License": "boost",
+    "Artistic-2.0": "artistic:2.0",
+    "Licensed under zlib": "zlib",
     "The ISC License": "iscnamed",
     "Permission is hereby granted, free of charge, to any person obtaining a copy": "mitgrant",
     "The above copyright notice and this permission notice shall be included": "mitnotice",
@@ -88,9 +113,9 @@ SEVERAL = {
     "Licensed under either of Apache License, Version 2.0 or the MIT license": ("apache:2.0 mitnamed", "Apache-2.0 AND MIT", ""),
     "The MIT license or GNU General Public License or the Apache License, Version 2.0": (
         "mitnamed gpl apache:2.0", "Apache-2.0 AND GPL AND MIT", ""),
-    "SPDX-License-Identifier: MIT OR Zlib": ("spdx:mit spdx:zlib", "SPDX", ""),
+    "SPDX-License-Identifier: MIT OR Zlib": ("spdx:mit spdx:zlib", "MIT AND Zlib", ""),
     "-- SPDX-License-Identifier: (GPL-2.0+ WITH Classpath-exception-2.0) OR CC0-1.0.\n-- More": (
-        "spdx:gpl-2.0+ spdx:classpath-exception-2.0 spdx:cc0-1.0", "SPDX", ""),
+        "spdx:gpl-2.0+ spdx:classpath-exception-2.0 spdx:cc0-1.0", "CC0-1.0 AND GPL-2.0 AND SPDX", ""),
     "-- Permission is hereby granted, free of charge, to any person obtaining\n-- a copy of it: the above copyright\n"
     "-- notice and this permission notice shall be included.": ("mitgrant mitnotice", "MIT", ""),
     "-- Redistribution and use in source and binary\n-- forms under the BSD license are permitted": (
@@ -104,3 +129,73 @@ def test_all_identifiers_of_a_sentence(spark):
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(SEVERAL)], SCHEMA)
     got = {r.doc_id: r for r in license_rules.scan_licenses(docs).collect()}
     assert [(r.sentence_ids, r.licenses, r.unmatched) for r in (got[i] for i in range(len(SEVERAL)))] == list(SEVERAL.values())
+
+
+def test_every_spdx_name_is_a_licence(spark):
+    names = license_rules.SPDX_NAMES
+    forms = [(n, n) for n in names] + [(f"{n}-or-later", n) for n in names if n.startswith(("GPL", "LGPL", "AGPL"))]
+    docs = spark.createDataFrame([(i, f"# SPDX-License-Identifier: {f}\n# x", None, None, None) for i, (f, _) in enumerate(forms)], SCHEMA)
+    got = {r.doc_id: r.licenses for r in license_rules.scan_licenses(docs).collect()}
+    assert [got[i] for i in range(len(forms))] == [n for _, n in forms]
+
+
+def test_beginnings_without_end_take_no_time(spark):
+    import time
+
+    begins = ["Redistribution and use in source and binary forms ", "neither the name ", "GNU General Public License ", "mit license bsd "]
+    docs = spark.createDataFrame([(i, b * (200_000 // len(b)), None, None, None) for i, b in enumerate(begins)], SCHEMA).repartition(4)
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in license_rules.scan_licenses(docs).collect()}
+    assert time.perf_counter() - began < 20
+    assert got[0].licenses == got[1].licenses == "" and got[2].licenses == "GPL"
+
+
+def _plain(text):
+    """The scan again, sentence by sentence and rule by rule, with Python's own tools."""
+    L = license_rules
+    if text is None or not (re.search(L.SPEAKS, text) or re.search(L.TEXT_GATE, text, re.A)):
+        return 0, "", "", ""
+    sentences = []
+    for s in re.split(r"[.!?;][ \t-\r]+|\n[ \t-\r]*\n", text):
+        s = "".join(c if c.isascii() and (c.isalnum() or c in ".+-") else " " for c in s)
+        s = "".join(
+            " " if c in ".-" and not (0 < i < len(s) - 1 and s[i - 1].isalnum() and s[i + 1].isalnum()) else c for i, c in enumerate(s)
+        )
+        sentences.append(" ".join(s.lower().split()))
+    starts = lambda s: [m.start() for m in re.finditer(L.KNOWN, s)]
+    speaks = bool(re.search(L.SPEAKS, text))
+    kept = [s for s in sentences if starts(s) or (speaks and re.search(L.SPEAKS_NORMAL, s))]
+    ids = []
+    for s in kept:
+        own, at = [], starts(s)
+        for a, b in zip(at, [*at[1:], len(s)]):
+            part = s[a:b]
+            for known in L.SENTENCES:
+                head = L._GRANT if known.id == "bsdgrant" else "neither the name" if known.id == "bsdendorse" else L._head(known)
+                if not re.match(head, part):
+                    continue
+                if known.id == "spdx":
+                    own += ["spdx:" + t for t in re.split(" (?:or|and|with) ", re.match(L._SPDX, part)[0].split(" ", 1)[1])]
+                else:
+                    m = re.match(known.pattern, part)
+                    caught = "".join(g or "" for g in m.groups()) if m else ""
+                    own.append(f"{known.id}:{caught}" if caught else known.id)
+                break
+        ids += list(dict.fromkeys(own)) or ["other"]
+    left, found = "".join(f" {i} " for i in ids), set()
+    for rule in L.RULES:
+        after = re.sub(rule.pattern, "  ", left)
+        found |= {rule.licence} if after != left else set()
+        left = after
+    return len(kept), " ".join(ids), " AND ".join(sorted(found)), " ".join(left.split())
+
+
+def test_against_a_plain_version(spark):
+    r = random.Random(2)
+    said = [*CASES, *SEVERAL, *EXAMPLES]
+    texts = [" ".join(r.choice(said) + r.choice([".", "", "\n", "\n\n", ";", ","]) for _ in range(r.randint(1, 4))) for _ in range(300)]
+    texts += [row.text for row in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA).repartition(8)
+    got = {x.doc_id: (x.n_sentences, x.sentence_ids, x.licenses, x.unmatched) for x in license_rules.scan_licenses(docs).collect()}
+    assert [(t, got[i]) for i, t in enumerate(texts) if got[i] != _plain(t)] == []
+    assert sum(bool(v[2]) for v in got.values()) > 200

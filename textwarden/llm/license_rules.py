@@ -25,6 +25,7 @@ SPEAKS_NORMAL = r"licen[cs]|copyright|warrant|as is|permission|redistribut|publi
 _BREAK = "\x1e"
 _ENDS = r"[.!?;][\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*\n"
 _VERSION = r"(?:version |v\.? ?)?([0-9]+(?:\.[0-9]+)*)"
+_GRANT = "redistribution and use in source and binary forms"
 
 
 class Sentence(NamedTuple):
@@ -52,16 +53,27 @@ SENTENCES = (
     Sentence("ccbysa", r"cc[- ]by-sa(?:[- ]" + _VERSION + r")?|creative commons attribution-sharealike", r"\bcc~by|creative~commons"),
     Sentence("ccbynd", r"cc[- ]by-nd(?:[- ]" + _VERSION + r")?|creative commons attribution-noderiv", r"\bcc~by|creative~commons"),
     Sentence("ccby", r"cc[- ]by(?:[- ]" + _VERSION + r")?|creative commons attribution", r"\bcc~by|creative~commons"),
-    Sentence("mitnamed", r"\bmit licen[cs]e|licen[cs]ed under (?:the )?mit\b", "licen[cs]"),
-    Sentence("bsdnamed", r"\b([0-9])-clause bsd|bsd ([0-9])-clause|bsd licen[cs]e", "clause~bsd|bsd~[0-9]|licen[cs]"),
+    # Short names; the long ones above are tried first.
+    Sentence("agpl", r"\b(?:gnu )?agpl(?:[- ]?" + _VERSION + r")?(?:-only|-or-later|\+)?\b", r"\bagpl"),
+    Sentence("lgpl", r"\b(?:gnu )?lgpl(?:[- ]?" + _VERSION + r")?(?:-only|-or-later|\+)?\b", r"\blgpl"),
+    Sentence("gpl", r"\b(?:gnu )?gpl(?:[- ]?" + _VERSION + r")?(?:-only|-or-later|\+)?\b", r"\bgpl"),
+    Sentence("apache", r"\bapache[- ]" + _VERSION, "apache"),
+    Sentence("mozilla", r"\bmpl[- ]?" + _VERSION, r"\bmpl~?v?[0-9]"),
+    Sentence("eclipse", r"\bepl[- ]?" + _VERSION, r"\bepl~?v?[0-9]"),
+    Sentence("boost", r"\bboost software licen[cs]e(?: " + _VERSION + r")?|\bbsl-([0-9.]+)", r"licen[cs]|\bbsl-"),
+    Sentence("artistic", r"\bartistic licen[cs]e(?: " + _VERSION + r")?|\bartistic-([0-9.]+)", r"licen[cs]|artistic-"),
+    Sentence("zlib", r"\bzlib(?: libpng)? licen[cs]e|licen[cs]ed? (?:under )?(?:the )?zlib\b", "licen[cs]"),
+    Sentence("mitnamed", r"\bmit licen[cs]e|licen[cs]ed? (?:under )?(?:the )?mit\b", "licen[cs]"),
+    Sentence("bsdnamed", r"\b([0-9])-clause bsd|bsd[- ]([0-9])-clause|bsd licen[cs]e", "clause~bsd|bsd~[0-9]|licen[cs]"),
     Sentence("iscnamed", r"\bisc licen[cs]e", "licen[cs]"),
     Sentence("mitgrant", r"permission is hereby granted free of charge to any person obtaining a copy", "permission"),
     Sentence("mitnotice", r"above copyright notice and this permission notice shall be included", "permission"),
     Sentence("iscgrant", r"permission to use copy modify and or distribute this software for any purpose", "permission"),
-    Sentence("bsdgrant", r"redistribution and use in source and binary forms.*are permitted", "redistribut"),
+    # From the last beginning before its end: no text is read on from every beginning.
+    Sentence("bsdgrant", _GRANT + r"(?:(?!" + _GRANT + r").)*?are permitted", "redistribut"),
     Sentence("bsdsource", r"redistributions of source code must retain", "redistribut"),
     Sentence("bsdbinary", r"redistributions in binary form must reproduce", "redistribut"),
-    Sentence("bsdendorse", r"neither the name.*(?:endorse|promote)", "neither~the~name"),
+    Sentence("bsdendorse", r"neither the name(?:(?!neither the name).)*?(?:endorse|promote)", "neither~the~name"),
     Sentence("publicdomain", r"free and unencumbered software released into the public domain|in the public domain", "public~domain"),
     Sentence("asis", r"provided as is|without warranty of any kind|without warranties or conditions", "as~is|warrant"),
     Sentence("liability", r"in no event shall", "in~no~event"),
@@ -83,9 +95,11 @@ def _head(known: Sentence) -> str:
     out = known.pattern
     for lead in (".*? ", " ", "[- ]"):
         out = out.replace(f"(?:{lead}{_VERSION})?", "")
-    for end in (".*are permitted", ".*(?:endorse|promote)"):
-        out = out.replace(end, f"(?={end})")
-    return rf"\b(?:{out.replace('([0-9])', '(?:[0-9])')})" + r"(?![a-z0-9])" * (known.id in ("cc0", "ccby"))
+    # What ends a sentence is looked for, but may stand behind other known ones.
+    for begin in (_GRANT, "neither the name"):
+        if out.startswith(begin):
+            out = f"{begin}(?={out[len(begin):]})"
+    return rf"\b(?:{re.sub(r'[(](?![?])', '(?:', out)})" + r"(?![a-z0-9])" * (known.id in ("cc0", "ccby"))
 
 
 #: Any known sentence.
@@ -113,6 +127,22 @@ def _named(licence: str, id_: str, version: str) -> Rule:
     return Rule(f"{licence}-{version}", (f"{id_}:{major}" + (f"[.]{minor}" if minor != "0" else "(?:[.]0)?"),))
 
 
+#: Licences whose SPDX identifiers are known, as the list writes them; any other one is ``SPDX``.
+SPDX_NAMES = (
+    "MIT MIT-0 Zlib ISC 0BSD BSD-2-Clause BSD-3-Clause BSD-3-Clause-Clear BSD-4-Clause BSL-1.0 Unlicense WTFPL NCSA "
+    "PostgreSQL PSF-2.0 OpenSSL curl X11 HPND Vim Beerware Artistic-1.0 Artistic-2.0 Apache-1.1 Apache-2.0 "
+    "GPL-1.0 GPL-2.0 GPL-3.0 LGPL-2.0 LGPL-2.1 LGPL-3.0 AGPL-1.0 AGPL-3.0 MPL-1.0 MPL-1.1 MPL-2.0 EPL-1.0 EPL-2.0 "
+    "CDDL-1.0 CDDL-1.1 EUPL-1.1 EUPL-1.2 OFL-1.1 MS-PL MS-RL AFL-3.0 OSL-3.0 ODbL-1.0 PDDL-1.0 CC0-1.0 "
+    "CC-BY-3.0 CC-BY-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC-BY-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0"
+).split()
+
+
+def _spdx_pattern(name: str) -> str:
+    """An identifier in lower case; of a family with versions also its "only" and "or later" forms."""
+    own = "spdx:" + re.escape(name.lower()).replace("\\-", "-")
+    return own + "(?:[+]|-only|-or-later)?" * (name[-1].isdigit() and "." in name)
+
+
 _ANY = "(?::[0-9.]+)?"
 #: Longer sequences first; the bare names last.
 RULES = (
@@ -127,8 +157,11 @@ RULES = (
     _named("CC0", "cc0", "1.0"), _named("CC-BY-NC-SA", "ccbyncsa", "4.0"), _named("CC-BY-NC-ND", "ccbyncnd", "4.0"),
     _named("CC-BY-NC", "ccbync", "4.0"), _named("CC-BY-SA", "ccbysa", "4.0"), _named("CC-BY-ND", "ccbynd", "4.0"),
     _named("CC-BY", "ccby", "4.0"),
+    _named("BSL", "boost", "1.0"), _named("Artistic", "artistic", "2.0"), _named("Artistic", "artistic", "1.0"),
+    Rule("Zlib", ("zlib",)), *(Rule(name, (_spdx_pattern(name),)) for name in SPDX_NAMES),
     Rule("MIT", ("mitnamed",)), Rule("ISC", ("iscnamed",)), Rule("BSD-3-Clause", ("bsdnamed:3",)),
     Rule("BSD-2-Clause", ("bsdnamed:2",)), Rule("BSD", ("bsdnamed",)), Rule("SPDX", ("spdx:[a-z0-9.+-]+",)),
+    Rule("BSL", ("boost" + _ANY,)), Rule("Artistic", ("artistic" + _ANY,)),
     Rule("GPL", ("gpl" + _ANY,)), Rule("LGPL", ("lgpl" + _ANY,)), Rule("AGPL", ("agpl" + _ANY,)),
     Rule("Apache", ("apache" + _ANY,)), Rule("MPL", ("mozilla" + _ANY,)), Rule("EPL", ("eclipse" + _ANY,)),
     Rule("CC", ("cc(?:0|by[a-z]*)" + _ANY,)),
@@ -161,7 +194,7 @@ def _part_ids(part: Column) -> Column:
     """The identifiers of a part that begins with a known sentence, with the groups its pattern caught."""
     out = F.array(F.lit("other"))
     for known in reversed(SENTENCES):
-        groups = known.pattern.count("(") - known.pattern.count("(?:")
+        groups = re.compile(known.pattern).groups
         if known.id == "spdx":
             names = F.split(F.regexp_extract(part, f"^{_SPDX}", 0), " (?:or|and|with) |^spdx-license-identifier ")
             ids = F.transform(F.filter(names, lambda n: n != ""), lambda n: F.concat(F.lit("spdx:"), n))
@@ -171,7 +204,8 @@ def _part_ids(part: Column) -> Column:
         else:
             ids = F.array(F.lit(known.id))
         # What ends a sentence may stand in a later part.
-        out = F.when(part.rlike("^" + re.sub(r"\(\?=.*\)(?=\))", "", _head(known))), ids).otherwise(out)
+        begins = _GRANT if known.id == "bsdgrant" else "neither the name" if known.id == "bsdendorse" else _head(known)
+        out = F.when(part.rlike(f"^(?:{begins})"), ids).otherwise(out)
     return out
 
 

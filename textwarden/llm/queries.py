@@ -9,7 +9,6 @@ from textwarden.llm import (
     collocations, exact, fingerprints, langid, license_rules, mixing, odd_sketch, pieces, resample, suffix_dedup, topk,
     toxicity, whitening,
 )
-from textwarden.llm.license_sql import LICENSE_SQL
 from textwarden.llm.workers import reachable
 from textwarden.plans.registry import Query
 
@@ -180,7 +179,7 @@ QUERIES = {
     "op6_toxicity": Query(op6_toxicity),
     "op7_sentence_pieces": Query(op7_sentence_pieces),
     "op8_exact_dedup": Query(op8_exact_dedup, _EXACT_SQL),
-    "op9_license_scan": Query(op9_license_scan, LICENSE_SQL),
+    "op9_license_scan": Query(op9_license_scan),
     "op10_top_k": Query(op10_top_k, _TOP_K_SQL),
     "op11_document_fingerprints": Query(op11_document_fingerprints),
     "op12_collocations": Query(op12_collocations, _COLLOCATION_SQL),
