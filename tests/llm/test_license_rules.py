@@ -153,8 +153,7 @@ def test_beginnings_without_end_take_no_time(spark):
 def _plain(text):
     """The scan again, sentence by sentence and rule by rule, with Python's own tools."""
     L = license_rules
-    if text is None or not (re.search(L.SPEAKS, text) or re.search(L.TEXT_GATE, text, re.A)):
-        return 0, "", "", ""
+    text = text or ""  # without any gate
     sentences = []
     for s in re.split(r"[.!?;][ \t-\r]+|\n[ \t-\r]*\n", text):
         s = "".join(c if c.isascii() and (c.isalnum() or c in ".+-") else " " for c in s)

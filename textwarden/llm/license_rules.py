@@ -13,6 +13,8 @@ sentences and empty strings; repeated rows each get their own, equal, answer.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -58,8 +60,8 @@ SENTENCES = (
     Sentence("lgpl", r"\b(?:gnu )?lgpl(?:[- ]?" + _VERSION + r")?(?:-only|-or-later|\+)?\b", r"\blgpl"),
     Sentence("gpl", r"\b(?:gnu )?gpl(?:[- ]?" + _VERSION + r")?(?:-only|-or-later|\+)?\b", r"\bgpl"),
     Sentence("apache", r"\bapache[- ]" + _VERSION, "apache"),
-    Sentence("mozilla", r"\bmpl[- ]?" + _VERSION, r"\bmpl~?v?[0-9]"),
-    Sentence("eclipse", r"\bepl[- ]?" + _VERSION, r"\bepl~?v?[0-9]"),
+    Sentence("mozilla", r"\bmpl[- ]?" + _VERSION, r"\bmpl(?:~)?v?[0-9]"),
+    Sentence("eclipse", r"\bepl[- ]?" + _VERSION, r"\bepl(?:~)?v?[0-9]"),
     Sentence("boost", r"\bboost software licen[cs]e(?: " + _VERSION + r")?|\bbsl-([0-9.]+)", r"licen[cs]|\bbsl-"),
     Sentence("artistic", r"\bartistic licen[cs]e(?: " + _VERSION + r")?|\bartistic-([0-9.]+)", r"licen[cs]|artistic-"),
     Sentence("zlib", r"\bzlib(?: libpng)? licen[cs]e|licen[cs]ed? (?:under )?(?:the )?zlib\b", "licen[cs]"),
@@ -81,8 +83,19 @@ SENTENCES = (
     Sentence("copyright", r"^copyright|copyright c |all rights reserved", "copyright|all~rights~reserved"),
 )
 
-#: A text without any of these has no known sentence; a text may put a line end or other signs between any two words.
-TEXT_GATE = "(?i)" + "|".join(dict.fromkeys("|".join(k.needs for k in SENTENCES).split("|"))).replace("~", "[^A-Za-z0-9]+")
+_NEEDS = tuple(dict.fromkeys("|".join(k.needs for k in SENTENCES).split("|")))
+
+
+def _longest(need: str) -> str:
+    """The longest word that a need spells out."""
+    return max(re.findall("[a-z0-9]+", re.sub(r"\\b|\[[^]]*\]|\(\?:~\)\?|~", " ", need)), key=len)
+
+
+#: A text without any of these words, in lower case, and without the short needs, has no known sentence and
+#: does not speak of licences.  Words are found by plain search; a text may put a line end or other signs
+#: between any two of a need.
+WORDS = tuple(dict.fromkeys(_longest(n) for n in _NEEDS if len(_longest(n)) > 3))
+SHORT = "(?i)" + "|".join(n for n in _NEEDS if len(_longest(n)) <= 3).replace("~", "[^A-Za-z0-9]+")
 _TOKEN = r"[a-z0-9][a-z0-9.+-]*"
 #: A whole SPDX expression; brackets are blanks by then.
 _SPDX = rf"\bspdx-license-identifier {_TOKEN}(?: (?:or|and|with) {_TOKEN})*"
@@ -229,7 +242,8 @@ def match_rules(ids: Column) -> Column:
 
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, n_sentences, sentence_ids, licenses, unmatched)``, one row per document."""
-    speaks = F.coalesce(F.col(text).rlike(SPEAKS) | F.col(text).rlike(TEXT_GATE), F.lit(False))
+    low = F.lower(F.col(text))
+    speaks = F.coalesce(reduce(or_, [F.contains(low, F.lit(w)) for w in WORDS]) | F.col(text).rlike(SHORT), F.lit(False))
     none = F.array().cast("array<string>")
     rows = docs.select(F.col(key).alias("_id"), F.when(speaks, normal_sentences(F.col(text))).otherwise(none).alias("_sentences"))
     rows = rows.withColumn("_ids", F.flatten(F.transform("_sentences", sentence_ids)))
