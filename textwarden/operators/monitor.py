@@ -185,8 +185,9 @@ def changed_ticks(rows: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
         "owner", "seq", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_key"),
         (F.coalesce("text", F.lit("")) == "").alias("is_empty"),
     )
+    # Written once: cutting the rows into chunks reads them several times, texts only here.
     seen = prefix_scan(
-        keyed, ["owner"], "seq", lasts={"memory": "if(is_empty, NULL, text_key)"}, width=width
+        stage(keyed), ["owner"], "seq", lasts={"memory": "if(is_empty, NULL, text_key)"}, width=width
     )
     return seen.filter(
         f"NOT is_empty AND text_key <> coalesce(memory, {EMPTY_KEY})"

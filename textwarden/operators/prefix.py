@@ -24,7 +24,9 @@ DEFAULT_WIDTH = 100_000
 def chunked(df: DataFrame, keys: Sequence[str], order: str, width: int = DEFAULT_WIDTH) -> DataFrame:
     """The rows with their ``_chunk``: numbers that rise with the keys and the order column.
 
-    The rows are written once, so a chunk stays what it is if a task is run again.
+    The rows are written once, so a chunk stays what it is if a task is run again.  They
+    are read three times before (to count, to find the ranges, to deal them out), so hand
+    in rows that are staged or cheap.
     """
     parts = max(1, -(-df.count() // int(width)))
     return stage(df.repartitionByRange(parts, *keys, order).withColumn("_chunk", F.spark_partition_id()))

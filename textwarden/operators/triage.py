@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from textwarden.functions import dialect
 from textwarden.functions.sqltext import lit
 from textwarden.operators.prefix import DEFAULT_WIDTH, prefix_scan
+from textwarden.operators.staging import stage
 
 # JavaScript regexes, with flags, that decide the category of an error.
 EXTENSION_ERRORS = (
@@ -400,5 +401,8 @@ def failure_history(diagnoses: DataFrame, width: int = DEFAULT_WIDTH) -> DataFra
     The history stays rows.  A list per test case would put every failure of a test
     that always fails into one task.
     """
-    counted = prefix_scan(diagnoses, ["test_case_id"], "seq", sums={"_before": "1L"}, width=width)
-    return counted.select(*diagnoses.columns, (F.col("_before") + 1).alias("place"))
+    # Only the numbers are cut into chunks and counted; the diagnoses meet their place by number.
+    numbers = stage(diagnoses.select("test_case_id", "seq"))
+    counted = prefix_scan(numbers, ["test_case_id"], "seq", sums={"_before": "1L"}, width=width)
+    placed = diagnoses.join(counted, ["test_case_id", "seq"])
+    return placed.select(*diagnoses.columns, (F.col("_before") + 1).alias("place"))
