@@ -33,7 +33,7 @@ from textwarden.plans.fixtures import (
 )
 from textwarden.plans.registry import Query
 from textwarden.sources.corpus import (
-    blank_gate, changed_only, exclude_globs, glob_regex, ignore_paths, is_excluded, scan_corpus,
+    blank_gate, changed_only, exclude_globs, glob_regex, ignore_paths, is_excluded, scan_corpus, scan_files,
     size_gate, with_size_status, write_clean_copy,
 )
 
@@ -752,3 +752,33 @@ QUERIES["scan_and_copy"] = Query(
     f"WITH {sql.scored(f'SELECT * FROM ({PLANTED_SQL}) p WHERE strlen(text) <= 204800')} "
     f"SELECT doc_id, score, level, md5({sql.rewrite('text')}) AS clean_md5 FROM risk",
 )
+
+
+# Files of fifty documents each; those above the limit are pruned by the listing, unread.
+_FILE_DOCUMENTS, _FILE_BYTES = 50, 150_000
+
+
+def _scanned_files(spark, sf_dir):
+    """The documents written as text files, read back as units and scanned."""
+    folder = os.path.join(shared_folder(spark), f"files-{uuid.uuid4().hex}")
+    rows = documents(spark, sf_dir).select(
+        F.expr(f"doc_id div {_FILE_DOCUMENTS}").alias("bucket"), "doc_id", F.coalesce("text", F.lit("")).alias("text")
+    )
+    sorted_rows = rows.repartition("bucket").sortWithinPartitions("bucket", "doc_id").select("bucket", "text")
+    sorted_rows.write.partitionBy("bucket").text(folder)
+    files = scan_files(spark, folder, glob="*.txt", max_bytes=_FILE_BYTES)
+    bucket = F.regexp_extract("path", r"/bucket=(\d+)/", 1).cast("bigint").alias("bucket")
+    scored = score_units(files.select(bucket, "n_bytes", "text"))
+    return scored.select("bucket", "n_bytes", F.md5("text").alias("text_md5"), F.col("score").cast("bigint").alias("score"), "level")
+
+
+QUERIES["scan_files"] = Query(
+    _scanned_files,
+    "WITH "
+    + sql.scored(
+        f"SELECT * FROM (SELECT doc_id // {_FILE_DOCUMENTS} AS doc_id, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS text "
+        f"FROM documents GROUP BY 1) t WHERE strlen(text) <= {_FILE_BYTES}",
+        path=None,
+    )
+    + " SELECT doc_id AS bucket, strlen(text) AS n_bytes, md5(text) AS text_md5, score, level FROM risk",
+)
