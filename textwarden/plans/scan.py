@@ -27,6 +27,7 @@ from textwarden.operators.staging import shared_folder
 from textwarden.operators.stats import (
     risk_pivot, risk_summary, rule_hit_cube, rule_hit_rollup, rule_hit_stats,
 )
+from textwarden.operators.sweep import sanitize_spans
 from textwarden.plans import sql
 from textwarden.plans.fixtures import (
     DOCUMENTS_SQL, PAGES_SQL, PLANTED_SQL, documents, pages, pick, pick_sql, planted, quoted,
@@ -384,6 +385,32 @@ QUERIES["sanitize_span"] = Query(
     "substr(text, end_at + 1)) AS sanitized_md5 FROM spans",
 )
 
+
+def _sanitize_spans(spark, sf_dir):
+    """Every text with findings once, all of its spans replaced in one sweep."""
+    done = sanitize_spans(planted(spark, sf_dir).select("doc_id", "text"))
+    return done.select("doc_id", F.md5("sanitized").alias("sanitized_md5"))
+
+
+QUERIES["sanitize_spans"] = Query(
+    _sanitize_spans,
+    _spans_sql(PLANTED_SQL)
+    + """, marked AS (
+      SELECT *, coalesce(start_at >= max(end_at) OVER (PARTITION BY doc_id ORDER BY start_at, ord
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fresh
+      FROM spans WHERE start_at < end_at),
+    grouped AS (
+      SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY start_at, ord) AS n FROM marked),
+    stretches AS (
+      SELECT doc_id, n, any_value(text) AS text, min(start_at) AS low, max(end_at) AS high,
+             max(placeholder) FILTER (fresh) AS placeholder
+      FROM grouped GROUP BY doc_id, n),
+    cut AS (
+      SELECT *, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY n), 0) AS behind FROM stretches)
+    SELECT doc_id, md5(string_agg(substr(text, behind + 1, low - behind) || placeholder, '' ORDER BY n)
+      || substr(any_value(text), max(high) + 1)) AS sanitized_md5 FROM cut GROUP BY doc_id""",
+)
+
 # -- scores ----------------------------------------------------------------
 
 
