@@ -23,6 +23,7 @@ from textwarden.sources.corpus import scan_corpus
 from textwarden.streaming.monitor import (
     alert_rate, monitor_narrow, monitor_stream, read_narrow, scan_stream, scan_ticks, stream_alerts, write_stream,
 )
+from textwarden.streaming.windows import alert_windows, open_windows
 from textwarden.sources.rule_files import RAW_COLUMNS
 
 QUERIES: dict[str, Query] = {}
@@ -429,3 +430,55 @@ QUERIES["stream_alert_rate"] = Query(
     SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, level, alerts FROM rate
     WHERE w + INTERVAL '5 minutes' <= (SELECT max(ts) FROM alerts) - INTERVAL '10 minutes'""",
 )
+
+
+def _streamed_windows(spark, sf_dir):
+    """Alerts per window of a stream in three deliveries, the last one of rows that come late.
+
+    Windows the watermark closed and windows still open are added up; late alerts stand beside them.
+    """
+    folder = _run_folder(spark, "windows")
+    rows = planted(spark, sf_dir).selectExpr(
+        "doc_id", "path", "text", f"timestamp_ntz '{START}' + make_dt_interval(0, 0, 0, doc_id * 10) AS ts"
+    )
+    half = (rows.agg(F.max("doc_id")).first()[0] or 0) // 2
+    held, early = F.col("doc_id") % 13 == 5, F.col("doc_id") < half
+    for part in (~held & early, ~held & ~early, held):
+        rows.filter(part).write.mode("append").parquet(f"{folder}/in")
+        # The watermark is that of all rows, so windows close whether rows alert or not.
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in").withColumn(
+            "ts", F.col("ts").cast("timestamp")
+        ).withWatermark("ts", "10 minutes")
+        alerts = score_units(stream, path="path").filter("level <> 'LOW'")
+        write_stream(
+            alert_windows(alerts), f"{folder}/out", f"{folder}/state", once=True, state_partitions=_cores(spark)
+        ).awaitTermination()
+    still = open_windows(spark, f"{folder}/state").withColumn("kind", F.lit("window"))
+    found = spark.read.parquet(f"{folder}/out").unionByName(still)
+
+    def total(kind):
+        return F.sum(F.when(F.col("kind") == kind, F.col("alerts")).otherwise(0)).cast("bigint")
+
+    return found.groupBy("window_start", "level").agg(total("window").alias("alerts"), total("late").alias("late")).select(
+        F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "level", "alerts", "late"
+    )
+
+
+# An alert is late if the watermark of the deliveries before its own has passed its window.
+QUERIES["stream_alert_windows"] = Query(
+    _streamed_windows,
+    f"""WITH {sql.scored(PLANTED_SQL)}, dealt AS (
+      SELECT level, TIMESTAMP '{START}' + to_seconds(doc_id * 10) AS ts,
+             CASE WHEN doc_id % 13 = 5 THEN 3 WHEN doc_id < (SELECT max(doc_id) // 2 FROM risk) THEN 1 ELSE 2 END AS delivery
+      FROM risk),
+    marks AS (
+      SELECT n AS delivery, (SELECT max(ts) FROM dealt WHERE dealt.delivery < n) - INTERVAL '10 minutes' AS mark
+      FROM range(1, 4) AS t(n)),
+    alerts AS (
+      SELECT time_bucket(INTERVAL '5 minutes', ts) AS w, level,
+             coalesce(time_bucket(INTERVAL '5 minutes', ts) + INTERVAL '5 minutes' <= mark, false) AS is_late
+      FROM dealt JOIN marks USING (delivery) WHERE level <> 'LOW')
+    SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, level,
+           count(*) FILTER (NOT is_late) AS alerts, count(*) FILTER (is_late) AS late
+    FROM alerts GROUP BY ALL""",
+)

@@ -125,11 +125,15 @@ def _narrow(ticks: DataFrame) -> DataFrame:
     )
 
 
-def monitor_narrow(narrow: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """The outcomes of a stream of rows of ``NARROW_SCHEMA``."""
-    spark = narrow.sparkSession
+def use_rocksdb(spark: SparkSession) -> None:
+    """Sets the state store that keyed state and timers need."""
     if _ROCKSDB not in (spark.conf.get(_PROVIDER, "") or ""):
         spark.conf.set(_PROVIDER, _ROCKSDB)
+
+
+def monitor_narrow(narrow: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """The outcomes of a stream of rows of ``NARROW_SCHEMA``."""
+    use_rocksdb(narrow.sparkSession)
     mode = "ProcessingTime" if ttl_ms else "None"
     return narrow.groupBy("owner").transformWithStateInPandas(TickProcessor(ttl_ms), _OUT, "Append", mode)
 
