@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from textwarden.llm import suffix_dedup as S
 
@@ -71,6 +72,16 @@ def test_messy(spark, messy, nothing):
     _check(spark.createDataFrame(short, SCHEMA), short)
 
 
+def test_rows_without_id_whose_hashes_share_32_bits(spark):
+    """As a mark, 32 bits would take two of 200 000 such rows for one."""
+    passage = prose(7, 40)[:180]
+    made = spark.range(200_000).select(F.concat(F.col("id").cast("string"), F.lit(" " + passage)).alias("text"))
+    low = F.pmod(F.xxhash64("text"), F.lit(1 << 32))
+    pair = made.groupBy(low.alias("h")).agg(F.collect_list("text").alias("t")).filter("size(t) > 1").first().t
+    rows = [(1, passage, "en", "s", 0), *((None, t, "en", "s", 0) for t in pair)]
+    _check(spark.createDataFrame(rows, SCHEMA), rows)
+
+
 def test_binary_like_text(spark):
     r = random.Random(4)
     rows = [(i, "".join(r.choices("\x00\x01a", k=400)) + "\x00" * r.randrange(90, 230), None, None, 0) for i in range(20)]

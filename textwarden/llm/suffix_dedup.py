@@ -25,7 +25,7 @@ quote, are sorted in one part, about 150 bytes each.
 Defined results: null text is empty; nothing is removed from texts shorter than
 ``LENGTH`` bytes; rows without an id come after all others and count as one document id;
 rows that share an id are no repeats of each other, and only their own starts count as
-theirs; empty tables give empty tables.
+theirs, told apart by 64 bits of their texts' hashes; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -59,8 +59,8 @@ _NO_ID = 2**63 - 1
 _PLACE_BITS = np.uint64(24)
 _BASE = 0x9E3779B97F4A7C15
 #: What a passage is: its core's hash, its document, its anchor's place, its offsets.
-_FIELDS = (("core", "<u8"), ("okey", "<i8"), ("row", "<u4"), ("at", "<i4"), ("low", "u1"), ("high", "u1"))
-_SPANS = (("okey", "<i8"), ("row", "<u4"), ("start", "<i4"), ("end", "<i4"))
+_FIELDS = (("core", "<u8"), ("okey", "<i8"), ("row", "<i8"), ("at", "<i4"), ("low", "u1"), ("high", "u1"))
+_SPANS = (("okey", "<i8"), ("row", "<i8"), ("start", "<i4"), ("end", "<i4"))
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -202,7 +202,7 @@ def _find(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
     held: list[dict[str, np.ndarray]] = []
     for batch in textnum.blocks(batches, limit=BLOCK_BYTES):
         texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
-        okey, row = batch.column("okey").to_numpy(), batch.column("row").to_numpy().astype("<u4")
+        okey, row = batch.column("okey").to_numpy(), batch.column("row").to_numpy()
         found: dict[str, list] = {name: [] for name in ("okey", "row", "at", "low", "high", "core", "whole")}
         for data, ends, text, offset in _stretches(texts):
             p = passages(data, ends)
@@ -575,7 +575,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     rows = docs.select(
         F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("okey"),
-        F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(1 << 32)).alias("row"),
+        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("row"),
         F.col(key).cast("long").alias("key"), F.col(text).alias("text"),
     )
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
