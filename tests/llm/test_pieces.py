@@ -1,8 +1,11 @@
+import hashlib
 import itertools
 import os
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from textwarden.llm import pieces, textnum
@@ -105,6 +108,48 @@ def test_round_trip_of_messy_rows(messy, nothing, real):
     assert pieces.encode(nothing, real).count() == 0
 
 
+def test_decoded_like_a_plain_loop(real):
+    bytes_ = {int(i): bytes([b]) for b, i in enumerate(real.byte_ids)}
+    rnd = np.random.default_rng(4)
+    known = [i for i in range(len(real.pieces)) if i not in bytes_]
+    rows = [[int(i) for i in rnd.choice(known, rnd.integers(1, 30))] for _ in range(200)]
+    rows += [[], None, [known[0], *real.byte_ids[list("漢é".encode())].tolist()]]
+
+    def plain(ids):
+        data = b"".join(bytes_.get(i) or real.pieces[i].replace("▁", " ").encode() for i in ids)
+        return data[1:].decode()
+
+    # Every text starts with the blank that encoding puts first.
+    space = int(real.byte_ids[ord(" ")])
+    rows = [r if not r else [space, *r] for r in rows]
+    spelled = pieces._spelled(real)
+    for at in (0, 7):
+        got = pieces.decoded(pa.array(rows, pa.list_(pa.int32()))[at:], spelled).to_pylist()
+        assert got == [None if r is None else plain(r) for r in rows[at:]]
+
+
+def test_round_trip_gives_every_text_back(messy, nothing, real):
+    digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    got = pieces.round_trip(messy, real, 3).collect()
+    assert all(r.exact for r in got)
+    assert Counter((r.key, r.decoded_sha256) for r in got if r["sample"] == 1) == Counter(
+        (r[0], digest(r[1])) for r in messy_rows()
+    )
+    fields = ("key", "sample", "ids", "log_prob", "gumbel", "log_inclusion")
+    plain = pieces.encode(messy, real, 3).collect()
+    pick = lambda rows: sorted(([r[f] for f in fields] for r in rows), key=repr)
+    assert pick(got) == pick(plain)
+    assert pieces.round_trip(nothing, real).count() == 0
+
+
+def test_a_segmentation_of_another_text_is_seen(monkeypatch, messy, real):
+    whole = pieces.decoded
+    monkeypatch.setattr(pieces, "decoded", lambda ids, spelled: pc.utf8_upper(whole(ids, spelled)))
+    text = pa.record_batch({"key": [1, 2], "seed": pa.array([1, 2], pa.int64()), "text": ["ab", "AB"]})
+    out = list(pieces._round_trip(iter([text]), real, 2))
+    assert [e for b in out for e in b.column("exact").to_pylist()] == [False, False, True, True]
+
+
 def test_one_long_word(real, spark):
     text = "x" * 3000 + "漢" * 500
     got = pieces.decode(pieces.encode(spark.createDataFrame([(1, text, None, None, 0)], SCHEMA), real), real).collect()

@@ -23,11 +23,13 @@ give empty tables.  Memory in a task grows with the longest text.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -443,25 +445,65 @@ def encode(docs: DataFrame, vocab: Vocabulary, k: int = SAMPLES, key: str | Colu
     return rows.mapInArrow(lambda it: _encode(it, kept.value, k), _SCHEMA.format(kind=kind))
 
 
-def decoded(ids: list[int], vocab: Vocabulary, byte_of: dict[int, int] | None = None) -> str:
-    """The text of a segmentation."""
-    byte_of = byte_of or {int(i): b for b, i in enumerate(vocab.byte_ids)}
-    out = bytearray()
-    for i in ids:
-        out += bytes([byte_of[i]]) if i in byte_of else vocab.pieces[i].replace(chr(SPACE), " ").encode()
-    return out.decode("utf-8", "surrogatepass")[1:]
+def _spelled(vocab: Vocabulary) -> pa.Array:
+    """What every id stands for, in bytes."""
+    out = [piece.replace(chr(SPACE), " ").encode() for piece in vocab.pieces]
+    for byte, own in enumerate(vocab.byte_ids):
+        out[int(own)] = bytes([byte])
+    return pa.array(out, pa.large_binary())
+
+
+def decoded(ids: pa.ListArray, spelled: pa.Array) -> pa.Array:
+    """The text of every segmentation; the blank that encoding puts first goes."""
+    pieces = spelled.take(ids.flatten())
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())])
+    offsets = np.frombuffer(pieces.buffers()[1], np.int64, len(pieces) + 1, pieces.offset * 8)[ends]
+    joined = pa.Array.from_buffers(
+        pa.large_string(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(offsets)), pieces.buffers()[2]]
+    )
+    joined.validate(full=True)
+    text = pc.utf8_slice_codeunits(joined, 1).cast(pa.string())
+    return pc.if_else(ids.is_valid(), text, None) if ids.null_count else text
 
 
 def _decode(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, ids: str) -> Iterator[pa.RecordBatch]:
-    byte_of = {int(i): b for b, i in enumerate(vocab.byte_ids)}
+    spelled = _spelled(vocab)
     for batch in batches:
-        rows = batch.column(ids).to_pylist()
-        text = pa.array([None if r is None else decoded(r, vocab, byte_of) for r in rows], pa.string())
+        text = decoded(batch.column(ids), spelled)
         yield pa.RecordBatch.from_arrays([*batch.columns, text], [*batch.schema.names, "decoded"])
 
 
+def _round_trip(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, k: int) -> Iterator[pa.RecordBatch]:
+    spelled = _spelled(vocab)
+    for batch in textnum.blocks(batches):
+        given = pc.fill_null(batch.column("text"), "")
+        for out in _encode(iter([batch]), vocab, k):
+            # The samples of a row follow each other, from 1 on.
+            row = np.cumsum(out.column("sample").to_numpy() == 1) - 1
+            text = decoded(out.column("ids"), spelled)
+            digest = pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in text], pa.string())
+            exact = pc.equal(text, given.take(pa.array(row)))
+            yield pa.RecordBatch.from_arrays(
+                [*out.columns, digest, exact], [*out.schema.names, "decoded_sha256", "exact"]
+            )
+
+
 def decode(rows: DataFrame, vocab: Vocabulary, ids: str = "ids") -> DataFrame:
     """The rows with the text of their segmentation as ``decoded``."""
     kept = rows.sparkSession.sparkContext.broadcast(vocab)
     kind = T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())])
     return rows.mapInArrow(lambda it: _decode(it, kept.value, ids), kind)
+
+
+def round_trip(docs: DataFrame, vocab: Vocabulary, k: int = SAMPLES, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """What ``encode`` gives, with the digest of each segmentation's decoded text and whether it is the row's text.
+
+    A null text is encoded, and comes back, as an empty one.  Both ways run in one task, on the
+    same batch, so no text is sent a second time.
+    """
+    kept = docs.sparkSession.sparkContext.broadcast(vocab)
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(key).alias("seed"), F.col(text).alias("text"))
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.mapInArrow(
+        lambda it: _round_trip(it, kept.value, k), _SCHEMA.format(kind=kind) + ", decoded_sha256 string, exact boolean"
+    )

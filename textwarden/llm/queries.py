@@ -76,8 +76,8 @@ VOCABULARY_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op7_sentence_pieces(spark: SparkSession, sf_dir: str, path: str = VOCABULARY_PATH) -> DataFrame:
-    """Two distinct segmentations of every whole text."""
-    return pieces.encode(_documents(spark, sf_dir), pieces.read_vocabulary(path)).withColumnRenamed("key", "doc_id")
+    """Two distinct segmentations of every whole text, decoded again and held against it."""
+    return pieces.round_trip(_documents(spark, sf_dir), pieces.read_vocabulary(path)).withColumnRenamed("key", "doc_id")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
