@@ -163,3 +163,19 @@ def test_thousands_of_rules(spark, units):
     assert got == {i: {f"L{words.index(w)}" for w in t.split() if w != "and"} for i, t in enumerate(texts)}
     plan = match_shared_rules(units(texts), rules)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_texts_are_moved_once_however_many_rules_they_meet(spark, units):
+    from textwarden.operators.custom_rules import compile_rules
+    from textwarden.operators.shared_rules import match_shared_rules
+
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
+    rules = compile_rules(_definitions(spark, [(w, "i" if i % 3 else "g") for i, w in enumerate(words)]), None, key=None)
+    texts = [" ".join(words).upper(), " ".join(words), "wordaa", "", None]
+    done = match_shared_rules(units(texts), rules)
+    got = {x.doc_id: len(x.matched) for x in done.collect()}
+    assert got == {0: 133, 1: 200, 2: 1, 3: 0, 4: 0}
+    # Only the join of texts with their rules exchanges rows that hold a text.
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "RepartitionByExpression [doc_id" in plan
+    assert len([x for x in plan.splitlines() if "Join " in x and "ord#" not in x and "piece#" not in x]) == 1

@@ -163,7 +163,7 @@ def collect_rules(rules: DataFrame) -> tuple[Rule, ...]:
     return builtin_rules() + custom
 
 
-def _can_hit(text: str) -> str:
+def can_hit(text: str) -> str:
     """Tests for the text a rule's hits all hold.
 
     A regex that comes from the row is compiled for the row; this saves most of them.
@@ -202,7 +202,7 @@ def match_repo_rules(
     else:
         joined = units.join(broadcast_if_small(per_repo, max_broadcast), key, "left")
     own = (
-        f"transform(filter(coalesce(repo_rules, array()), r -> {_can_hit(ident(text))} "
+        f"transform(filter(coalesce(repo_rules, array()), r -> {can_hit(ident(text))} "
         f"AND rlike({ident(text)}, r.regex)), "
         "r -> named_struct('ord', r.ord, 'id', r.id, 'label', r.label, 'risk', r.risk, "
         "'critical', r.critical, 'regex', r.regex))"
@@ -218,7 +218,7 @@ def sanitize_matched(matched: DataFrame, text: str = "text", out: str = "sanitiz
     """Rewrites units from ``match_repo_rules``: built-in rules first, then their own."""
     chain = (
         f"aggregate(coalesce(repo_rules, array()), {rewrite_chain(ident(text))}, "
-        f"(done, r) -> if({_can_hit('done')}, regexp_replace(done, r.regex, r.replacement), done))"
+        f"(done, r) -> if({can_hit('done')}, regexp_replace(done, r.regex, r.replacement), done))"
     )
     done = computed_once(matched, **{out: f"if(size(matched) > 0, {chain}, {ident(text)})"})
     return done.drop("repo_rules")

@@ -1,11 +1,11 @@
 """One large set of user rules for all texts, found through an index of their literals.
 
 A set that is too large to be unrolled into the plan stays a table.  Every hit of a rule
-holds the rule's literal, whose pieces of four signs make up the index.  A text meets a rule
-only if it holds every one of them; that is a join of narrow rows, the pieces of the texts
-against the index.  The pairs that are left
-are ordered by rule, so a regex is compiled once for all texts it is tried on, not once for
-each; pairs of a rule that very many texts meet are dealt to several tasks.
+holds the rule's literal, whose pieces of four bytes make up the index.  A text meets a rule
+only if it holds every one of them; that is a join of numbers, the pieces of the texts
+against the index.  What is left is a short list of rules for each text.  It is joined to the
+text, which is moved once however many rules it meets, and tried there: a regex is compiled
+for each text it is tried on, which costs less than to move the text for each rule.
 
 Rules without a literal of four signs cannot be found this way.  They are unrolled, as sets
 of ordinary size are, and too many of them is an error.
@@ -16,26 +16,42 @@ if their texts agree, so keys are unique; rules keep their order, equal ids are
 
 from __future__ import annotations
 
-import string
+import sys
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.functions.detect import MATCHED_TYPE, with_matched
-from textwarden.operators.custom_rules import collect_rules
+from textwarden.functions.detect import MATCHED_TYPE, hit_flags, matched_rules
+from textwarden.functions.sqltext import computed_once, ident
+from textwarden.operators.custom_rules import can_hit, collect_rules
 from textwarden.operators.staging import broadcast_if_small, stage
 
-#: Signs of a piece.
+# Workers need not have this package: what tasks call travels with them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Bytes of a piece; rules whose literal has fewer signs are unrolled.
 PIECE = 4
-#: Tasks that share the texts of one rule.
-SALTS = 8
-_PIECES = rf"(?s)(?=(.{{{PIECE}}}))"
+
+
+@F.pandas_udf("array<int>")
+def _pieces_of(texts: pd.Series) -> pd.Series:
+    def one(text: bytes | None) -> np.ndarray:
+        signs = np.frombuffer(text or b"", np.uint8)
+        if len(signs) < PIECE:
+            return np.empty(0, np.int32)
+        low = np.where((signs >= 65) & (signs <= 90), signs | 32, signs).astype(np.uint32)
+        pieces = sum(low[i : len(low) - PIECE + 1 + i] << np.uint32(8 * i) for i in range(PIECE))
+        return np.unique(pieces.astype(np.uint32)).view(np.int32)
+
+    return texts.map(one, na_action=None)
 
 
 def _pieces(text: str) -> Column:
-    """The distinct pieces of a text, found in one pass; ASCII letters in lower case."""
-    low = F.translate(F.col(text), string.ascii_uppercase, string.ascii_lowercase)
-    return F.array_distinct(F.regexp_extract_all(low, F.lit(_PIECES), F.lit(1)))
+    """The distinct pieces of a text in UTF-8, each as a number; ASCII letters in lower case."""
+    return _pieces_of(F.col(text).cast("binary"))
 
 
 def rule_index(rules: DataFrame) -> DataFrame:
@@ -44,18 +60,16 @@ def rule_index(rules: DataFrame) -> DataFrame:
     return named.select("ord", F.size("all").alias("pieces"), F.explode("all").alias("piece"))
 
 
-def shared_hits(units: DataFrame, rules: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, ord)`` of the rules that hit a text, for rules with a literal."""
-    rules = stage(rules)
+def met_rules(units: DataFrame, rules: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, _met)``: for each text that holds all pieces of some rules, these rules in order."""
     index = broadcast_if_small(rule_index(rules))
-    held = units.select(F.col(key).alias("key"), F.explode(_pieces(text)).alias("piece"))
-    met = held.join(index, "piece").groupBy("key", "ord").agg(F.count("*").alias("n"), F.first("pieces").alias("pieces"))
-    pairs = met.filter("n = pieces").select("key", "ord")
-    texts = units.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    regex = broadcast_if_small(rules.select("ord", "java_regex"))
-    tried = pairs.join(texts, "key").withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
-    dealt = tried.repartition("ord", "_salt").join(regex, "ord").sortWithinPartitions("ord")
-    return dealt.filter(F.expr("rlike(text, java_regex)")).select(F.col("key").alias(key), "ord")
+    held = units.select(F.col(key).alias(key), _pieces(text).alias("all")).select(key, F.explode("all").alias("piece"))
+    met = held.join(index, "piece").groupBy(key, "ord").agg(F.count("*").alias("n"), F.first("pieces").alias("pieces"))
+    entry = F.struct("ord", "id", "label", "risk", "critical", F.col("java_regex").alias("regex"), "needle").alias("entry")
+    entries = broadcast_if_small(rules.select("ord", entry))
+    # Dealt by key while the rows are two numbers; the entries join them where they lie.
+    pairs = met.filter("n = pieces").select(key, "ord").repartition(key).join(entries, "ord")
+    return pairs.groupBy(key).agg(F.sort_array(F.collect_list("entry")).alias("_met"))
 
 
 def match_shared_rules(units: DataFrame, rules: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -65,12 +79,12 @@ def match_shared_rules(units: DataFrame, rules: DataFrame, key: str = "doc_id",
     """
     rules = stage(rules)
     plain = collect_rules(rules.filter(F.col("literal").isNull() | (F.length("literal") < PIECE)))
-    named = rules.select(
-        "ord", F.struct("ord", "id", "label", "risk", "critical", F.col("java_regex").alias("regex")).alias("entry")
-    )
-    found = shared_hits(units, rules, key, text).join(named, "ord").groupBy(key).agg(
-        F.sort_array(F.collect_list("entry")).cast(MATCHED_TYPE).alias("_found")
+    joined = units.join(met_rules(units, rules, key, text), key, "left")
+    tried = f"filter(_met, r -> {can_hit(ident(text))} AND coalesce(rlike({ident(text)}, r.regex), false))"
+    found = (
+        f"cast(transform(coalesce({tried}, array()), r -> named_struct('ord', r.ord, 'id', r.id, 'label', r.label, "
+        f"'risk', r.risk, 'critical', r.critical, 'regex', r.regex)) AS {MATCHED_TYPE})"
     )
-    scanned = with_matched(units, plain, text, out="_plain")
-    both = F.concat("_plain", F.coalesce("_found", F.array().cast(MATCHED_TYPE)))
-    return scanned.join(found, key, "left").select(*units.columns, F.array_sort(both).alias("matched"))
+    flagged = computed_once(joined, _flags=hit_flags(ident(text), plain), _found=found)
+    both = F.expr(f"array_sort(concat(cast({matched_rules('_flags', plain)} AS {MATCHED_TYPE}), _found))")
+    return flagged.select(*units.columns, both.alias("matched"))
