@@ -298,3 +298,19 @@ def test_every_row_has_the_rules_of_its_time(spark, tmp_path):
         ).awaitTermination()
     done = spark.read.parquet(f"{folder}/out")
     assert {(r.owner, r.seq): r.outcome for r in done.collect()} == want
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_pages_stream_from_a_file_or_a_folder(spark, tmp_path, files):
+    import __spark_entry__ as entry
+
+    pages = spark.createDataFrame([(i, f"https://h/{i}", f"page {i} {K1 if i % 2 else ''}") for i in range(9)], "page_id BIGINT, url STRING, html STRING")
+    folder = tmp_path / "pages.parquet"
+    pages.repartition(files).write.parquet(str(folder))
+    pages.write.parquet(f"{tmp_path}/other.parquet")
+    if files == 1:
+        part = next(folder.glob("part-*.parquet")).read_bytes()
+        (tmp_path / "sf").mkdir()
+        (tmp_path / "sf" / "pages.parquet").write_bytes(part)
+    got = entry.queries()["stream_scan_pages"](spark, str(tmp_path / "sf" if files == 1 else tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == [(i, 60 * (i % 2), "HIGH" if i % 2 else "LOW") for i in range(9)]

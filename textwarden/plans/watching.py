@@ -313,9 +313,9 @@ def _run_folder(spark: SparkSession, name: str) -> str:
 
 
 def _stream_source(spark, sf_dir, table):
+    """A table as a stream, whether it is one file or a folder of files; a pattern takes both."""
     path = f"{sf_dir}/{table}.parquet"
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def _streamed(spark, sf_dir):
