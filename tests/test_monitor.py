@@ -314,3 +314,24 @@ def test_pages_stream_from_a_file_or_a_folder(spark, tmp_path, files):
         (tmp_path / "sf" / "pages.parquet").write_bytes(part)
     got = entry.queries()["stream_scan_pages"](spark, str(tmp_path / "sf" if files == 1 else tmp_path)).collect()
     assert sorted(tuple(r) for r in got) == [(i, 60 * (i % 2), "HIGH" if i % 2 else "LOW") for i in range(9)]
+
+
+def test_equal_texts_of_a_batch_are_scanned_as_one_and_none_is_rewritten(spark):
+    import pyarrow as pa
+
+    from textwarden.operators.monitor import narrow_ticks
+    from textwarden.operators.ticks import pack
+
+    texts = ["a", None, "b", "a", "", None, "a"]
+    batch = pa.RecordBatch.from_pydict({"seq": list(range(7)), "text": texts})
+    (done,) = pack([batch])
+    got = {r["text"]: [x["seq"] for x in r["rows"]] for r in done.to_pylist()}
+    assert got == {"a": [0, 3, 6], "b": [2], "": [4], None: [1, 5]} and done.num_rows == 4
+    assert pack([batch.slice(1, 1)]).__next__().to_pylist() == [{"text": None, "rows": [{"seq": 1}]}]
+
+    # Equal texts on different paths keep their own scores.
+    rows = frame(spark, rows_of("a", [(K1, "/f"), IGN, (K1, "/w/.env"), ("", "/f"), (None, "/f"), S, ("x" * 300, None)]))
+    narrow = narrow_ticks(rows, max_bytes=LIMIT)
+    assert {r.seq: (r.score, r.is_empty, r.too_large) for r in narrow.filter("kind = 'tick'").collect()} == {
+        0: (60, False, False), 2: (50, False, False), 3: (0, True, False), 4: (0, True, False), 6: (0, False, True)}
+    assert "regexp_replace" not in narrow._jdf.queryExecution().optimizedPlan().toString()

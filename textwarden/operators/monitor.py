@@ -5,8 +5,10 @@ A tick is one look at an owner's current text.  Rows are
 (skip one tick to come) or ``decision`` (the answer to the alert of the last tick:
 ``sanitize``, ``ignore`` or ``allow``).  A decision for which no alert waits is refused.
 
-Every text is scanned where it lies and reduced to hashes, a score and labels; only those
-narrow rows are shuffled and ordered.
+Every text is scanned where it lies and reduced to a hash, a score and labels; only those
+narrow rows are shuffled and ordered.  Rows that lie together and share a text are scanned as
+one.  No text is rewritten to find outcomes (``operators/ticks.py`` says why that is enough);
+``sanitized_texts`` rewrites those that a decision asks for.
 
 Whether a tick alerts depends on the decisions before it, and whether these count depends
 on alerts, so no sum or minimum over an owner's rows says it.  The rows are cut into
@@ -24,16 +26,16 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textwarden.functions.detect import with_matched
 from textwarden.functions.rewrite import sanitize
 from textwarden.functions.risk import score_matched
 from textwarden.functions.rules import MAX_TEXT_BYTES, Rule, builtin_rules
-from textwarden.functions.sqltext import computed_once, ident
 from textwarden.operators.gate import warn_message
 from textwarden.operators.prefix import DEFAULT_WIDTH, chunked, prefix_scan
 from textwarden.operators.staging import stage
-from textwarden.operators.ticks import SAYS, run_chunk
+from textwarden.operators.ticks import SAYS, pack, run_chunk
 
 SANITIZE, IGNORE, ALLOW = "sanitize", "ignore", "allow"
 KINDS = ("tick", "suppress", "decision")
@@ -66,7 +68,11 @@ def narrow_ticks(
     plain = rows.withColumn(
         "text", F.when(F.col("kind") == "tick", F.coalesce("text", F.lit("")))
     )
-    sized = plain.select(
+    rest = [f for f in plain.schema.fields if f.name != "text"]
+    packed = plain.mapInArrow(
+        pack, T.StructType([T.StructField("text", T.StringType()), T.StructField("rows", T.ArrayType(T.StructType(rest)))])
+    )
+    sized = packed.select(
         "*",
         F.sha2("text", 256).alias("text_key"),
         (F.col("text") == "").alias("is_empty"),
@@ -74,17 +80,15 @@ def narrow_ticks(
     )
     gated = sized.withColumn("text", F.when(~F.col("too_large"), F.col("text")))
     whole = all(float(r.risk).is_integer() for r in rules)
-    scored = score_matched(with_matched(gated, rules), path="path", whole=whole)
-    cleaned = computed_once(scored, clean=sanitize(ident("text"), rules, "finding_count > 0"))
-    kept = [
-        *[c for c in rows.columns if c != "text"],
-        "text_key", "is_empty", "too_large", "score", "level", "findings",
-        F.sha2("clean", 256).alias("clean_key"),
-    ]
-    return cleaned.select(*kept)
+    found = ["text", "text_key", "is_empty", "too_large", "matched"]
+    # The rows of a text differ in their paths, so they are scored one by one.
+    each = with_matched(gated, rules).select(*found, F.expr("inline(rows)"))
+    scored = score_matched(each, path="path", whole=whole)
+    kept = [c for c in rows.columns if c != "text"]
+    return scored.select(*kept, "text_key", "is_empty", "too_large", "score", "level", "findings")
 
 
-_STATE = ("opened", "memory", "alert_seq", "alert_path", "alert_clean")
+_STATE = ("opened", "memory", "alert_seq", "alert_path")
 
 
 def _given(said: DataFrame, firsts: DataFrame, paths: DataFrame) -> DataFrame:
@@ -102,7 +106,7 @@ def _given(said: DataFrame, firsts: DataFrame, paths: DataFrame) -> DataFrame:
     return handed.selectExpr("'state' AS what", "chunk", "owner", *_STATE, "CAST(NULL AS STRING) AS path").union(
         known.selectExpr(
             "'ignored'", "chunk", "owner", "CAST(NULL AS INT)", "CAST(NULL AS STRING)", "CAST(NULL AS BIGINT)",
-            "CAST(NULL AS STRING)", "CAST(NULL AS STRING)", "path",
+            "CAST(NULL AS STRING)", "path",
         )
     )
 
@@ -111,7 +115,7 @@ def _outcomes(narrow: DataFrame, width: int) -> DataFrame:
     """``(owner, seq, outcome, tick_seq)`` of ticks and decisions."""
     steps = narrow.select(
         F.col("owner").cast("string").alias("owner"), F.col("seq").cast("long").alias("seq"), "kind", "choice", "path",
-        "text_key", "clean_key", "is_empty", "too_large", (F.col("level") == "LOW").alias("is_low"),
+        "text_key", "is_empty", "too_large", (F.col("level") == "LOW").alias("is_low"),
     )
     rows = chunked(steps, ["owner"], "seq", width).withColumnRenamed("_chunk", "chunk")
     by_chunk = rows.groupBy("chunk")

@@ -1,7 +1,12 @@
 """What the rows of one owner do to the monitor's state, one after the other.
 
 Used by the batch monitor for the rows of a chunk, and by the stream for those of a
-micro-batch.  The state is a counter and hashes; no text is part of it.
+micro-batch.  The state is a counter, a hash and numbers of ticks; no text is part of it.
+
+What a sanitize decision puts in place of a text is remembered by the number of its tick, not
+by its hash, so no text has to be rewritten to find outcomes.  Nothing is ever compared with
+it: the decision also opens a suppression, so the next tick is suppressed, whatever its text,
+and is then the one remembered.
 """
 
 from __future__ import annotations
@@ -10,7 +15,9 @@ import sys
 from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 
 # Workers need not have this package: what tasks call travels with them.
@@ -20,6 +27,28 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 EMPTY_KEY = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
+def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row ``(text, rows)`` for the rows of a batch that share a text; the rest of each is in the list.
+
+    The monitor looks again and again at texts that have not changed.
+    """
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        text = batch.column("text").dictionary_encode()
+        rest = [c for c in batch.schema.names if c != "text"]
+        rows = pa.StructArray.from_arrays([batch.column(c) for c in rest], rest)
+        # Rows without a text come last and are one group.
+        known = len(text.dictionary)
+        group = pc.fill_null(text.indices, known).to_numpy(zero_copy_only=False)
+        sizes = np.bincount(group, minlength=known)
+        lists = pa.ListArray.from_arrays(
+            pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), rows.take(pa.array(np.argsort(group, kind="stable")))
+        )
+        texts = text.dictionary if len(sizes) == known else pa.concat_arrays([text.dictionary, pa.nulls(1, text.dictionary.type)])
+        yield pa.RecordBatch.from_arrays([texts, lists], ["text", "rows"])
+
+
 class Step(NamedTuple):
     """A row without its text."""
 
@@ -28,7 +57,6 @@ class Step(NamedTuple):
     choice: str | None
     path: str | None
     text_key: str | None
-    clean_key: str | None
     is_empty: bool | None
     too_large: bool | None
     is_low: bool | None
@@ -41,7 +69,6 @@ class State(NamedTuple):
     memory: str = EMPTY_KEY
     alert_seq: int | None = None
     alert_path: str | None = None
-    alert_clean: str | None = None
 
 
 def step(
@@ -59,7 +86,8 @@ def step(
             return state, "refused", None
         after = State(state.opened, state.memory)
         if row.choice == "sanitize":
-            return after._replace(opened=state.opened + 1, memory=state.alert_clean), "applied", state.alert_seq
+            cleaned = f"sanitized {state.alert_seq}"
+            return after._replace(opened=state.opened + 1, memory=cleaned), "applied", state.alert_seq
         if row.choice == "ignore" and state.alert_path:
             ignore(state.alert_path)
         return after, "applied", None
@@ -74,17 +102,17 @@ def step(
         return after, "ignored", None
     if row.is_low:
         return after, "low", None
-    return after._replace(alert_seq=row.seq, alert_path=row.path, alert_clean=row.clean_key), "alert", None
+    return after._replace(alert_seq=row.seq, alert_path=row.path), "alert", None
 
 
 #: What a chunk says: the state of its last owner, the paths that owner ignored, the outcomes of its rows.
 SAYS = (
     "what string, chunk int, owner string, opened int, memory string, alert_seq long, alert_path string, "
-    "alert_clean string, path string, seq long, outcome string, tick_seq long"
+    "path string, seq long, outcome string, tick_seq long"
 )
 _SAYS = pa.schema(
     [("what", pa.string()), ("chunk", pa.int32()), ("owner", pa.string()), ("opened", pa.int32()), ("memory", pa.string()),
-     ("alert_seq", pa.int64()), ("alert_path", pa.string()), ("alert_clean", pa.string()), ("path", pa.string()),
+     ("alert_seq", pa.int64()), ("alert_path", pa.string()), ("path", pa.string()),
      ("seq", pa.int64()), ("outcome", pa.string()), ("tick_seq", pa.int64())]
 )
 
@@ -96,7 +124,7 @@ def _entries(chunk: int, rows: pa.Table, given: pa.Table, outcomes: bool) -> Ite
     states, ignored = {}, {}
     for r in given.to_pylist():
         if r["what"] == "state":
-            states[r["owner"]] = State(r["opened"], r["memory"], r["alert_seq"], r["alert_path"], r["alert_clean"])
+            states[r["owner"]] = State(r["opened"], r["memory"], r["alert_seq"], r["alert_path"])
         else:
             ignored.setdefault(r["owner"], set()).add(r["path"])
     owner, state, known, added = None, State(), set(), []
