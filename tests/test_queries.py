@@ -1,6 +1,8 @@
 """Every registered query against its SQL twin, on the smallest tables."""
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -53,3 +55,11 @@ def test_entry(spark):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
+
+
+def test_queries_are_listed_without_a_session():
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    listing = "import __spark_entry__ as e; print(*e.queries()); e.oracle_sql()"
+    done = subprocess.run([sys.executable, "-B", "-c", listing], cwd=root, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-800:]
+    assert done.stdout.split() == list(QUERIES)

@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textwarden.functions.detect import MATCHED_TYPE, hit_flags, matched_rules
 from textwarden.functions.sqltext import computed_once, ident
@@ -36,7 +37,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 PIECE = 4
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _pieces_of(texts: pd.Series) -> pd.Series:
     def one(text: bytes | None) -> np.ndarray:
         signs = np.frombuffer(text or b"", np.uint8)
