@@ -117,6 +117,42 @@ def test_linear_probes_hit_what_their_rules_hit(units):
         assert 100 < sum(x.plain for x in rows) < 3900, name
 
 
+_EXACT_FRAGMENTS = {
+    "email": ["a", "Z9", "_", ".", "%", "+", "-", "@", "a@host", "@host.co", ".co", ".c", ".org_", ".de1", "é", " "],
+    "high_entropy_base64": ["a" * 13, "Z9/+" * 5, "b" * 39, "=", "é", " ", "-", "x"],
+}
+
+
+def test_exact_probes_stand_for_their_rules(units):
+    import random
+
+    r = random.Random(31)
+    rules = {rule.id: rule for rule in builtin_rules()}
+    assert {rule.id for rule in rules.values() if rule.probe_is_exact} == set(_EXACT_FRAGMENTS)
+    for name, parts in _EXACT_FRAGMENTS.items():
+        texts = ["".join(r.choices(parts, k=r.randint(1, 12))) for _ in range(4000)]
+        rule = rules[name]
+        rows = units(texts).select(
+            "text", F.col("text").rlike(rule.detector()).alias("plain"), F.col("text").rlike(rule.probe).alias("probe")
+        ).collect()
+        assert [x.text for x in rows if x.plain != x.probe] == []
+        assert 100 < sum(x.plain for x in rows) < 3900, name
+
+
+def test_secret_probe_hides_no_secret(units):
+    import random
+
+    r = random.Random(5)
+    rule = next(rule for rule in builtin_rules() if rule.id == "hardcoded_secret")
+    parts = ["pwd", "PASS", "api_key", ":", "=", "'", '"', " ", "\u00a0", "\ufeff", "\n", "x", "é", "="]
+    texts = ["".join(r.choices(parts, k=r.randint(4, 14))) for _ in range(8000)]
+    rows = units(texts).select(
+        "text", F.col("text").rlike(rule.detector()).alias("plain"), F.col("text").rlike(rule.probe).alias("probe")
+    ).collect()
+    assert [x.text for x in rows if x.plain and not x.probe] == []
+    assert sum(x.plain for x in rows) > 50
+
+
 def test_texts_of_starts_alone_take_no_time(units):
     import time
 

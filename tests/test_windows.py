@@ -63,3 +63,21 @@ def test_late_rows_are_counted_and_open_windows_read(spark, tmp_path):
 
 def test_a_stream_without_alerts(spark, tmp_path):
     assert _run(spark, tmp_path, [[(None, "HIGH")]]) == ({}, {}, {})
+
+
+def test_neighbouring_windows_share_a_key(spark, tmp_path):
+    minutes = [*range(0, 900, 2), *range(2000, 2900, 3)]
+    deliveries = [
+        [(m, level) for m in minutes for level in ("HIGH", None)],
+        [(m, "MEDIUM") for m in (1, 1990, 2891, 2950)],
+        [(m, "HIGH") for m in (2895, 2899, 3, 3100, 3407)],
+        [(m, "HIGH") for m in (3100, 3398, 3500)],
+    ]
+    for n in (1, 4):
+        folder = tmp_path / str(n)
+        got = _run(spark, folder, deliveries[:n])
+        assert got == _plain(deliveries[:n])
+        if n == 1:
+            # The last windows are open: one state for all, and read one by one.
+            state = spark.read.format("statestore").option("stateVarName", "alerts").load(f"{folder}/state")
+            assert len(got[2]) == 6 and state.count() == 1

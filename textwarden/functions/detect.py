@@ -45,7 +45,8 @@ def hit(text: str, rule: Rule) -> str:
     """Test whether the rule hits the text; cheap necessary tests come first."""
     gate = needle_gate(text, rule)
     tests = ([gate] if gate else []) + cheap_tests(text, rule)
-    tests.append(f"rlike({text}, {lit(rule.detector())})")
+    if not rule.probe_is_exact:
+        tests.append(f"rlike({text}, {lit(rule.detector())})")
     return f"coalesce({all_of(tests)}, false)"
 
 

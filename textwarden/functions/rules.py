@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -153,16 +154,29 @@ _LAST_STARTS = {
     ),
 }
 
-# Cheap Java regexes that hit wherever the rule does, for rules without a literal.
+# Java looks a sign up in a class that lists its signs, and calls one test for each range of a
+# class that has ranges.  What runs over every sign of a text therefore has listed classes.
+_LETTERS = string.ascii_letters
+_ALNUM = _LETTERS + string.digits
+_SPACES = f"[{dialect.space_class()}]"
+_HOST, _BASE64 = rf"[{_ALNUM}.\-]", f"[{_ALNUM}+/]"
+
+# Cheap Java regexes that hit wherever the rule does, for rules without a literal or whose
+# literals are in most texts.
 _PROBES = _LAST_STARTS | {
     "ip_address": r"[0-9]\.[0-9]",
-    "email": r"[A-Za-z0-9._%+-]@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    # A run of name signs has a word boundary exactly if it holds a word sign.
+    "email": rf"[{_ALNUM}_][.%+\-]*+@{_HOST}+\.[{_LETTERS}]{{2,}}+(?![{_ALNUM}_])",
+    "hardcoded_secret": rf"[:=]{_SPACES}*+[\"'][^\"']",
     "heroku_api_key": r"-[0-9a-f]{4}-",
-    "high_entropy_base64": r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}",
+    "high_entropy_base64": rf"(?<!{_BASE64}){_BASE64}{{40}}",
     "us_ssn": r"-[0-9]{2}-",
     "credit_card_luhn": r"[0-9]{4}[- ]?[0-9]{4}",
 }
 
+# Rules whose probe hits exactly the texts that the rule hits, so the rule need not be tried.
+_EXACT_PROBES = frozenset({"email", "high_entropy_base64"})
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -180,6 +194,7 @@ class Rule:
     needles: tuple[tuple[str, ...], ...] = field(default=(), compare=False)
     folded_needles: tuple[tuple[str, ...], ...] = field(default=(), compare=False)
     probe: str | None = field(default=None, compare=False)
+    probe_is_exact: bool = field(default=False, compare=False)
 
     def detector(self, target: str = dialect.JAVA) -> str:
         return dialect.translate(self.regex, self.flags, target).pattern
@@ -216,7 +231,7 @@ def builtin_rules() -> tuple[Rule, ...]:
         Rule(
             i, rule_id, label, regex, flags, placeholder, float(risk), critical,
             "keep_key" if rule_id in _KEEP_KEY else "simple", _NEEDLES.get(rule_id, ()),
-            _FOLDED_NEEDLES.get(rule_id, ()), _PROBES.get(rule_id),
+            _FOLDED_NEEDLES.get(rule_id, ()), _PROBES.get(rule_id), rule_id in _EXACT_PROBES,
         )
         for i, (rule_id, label, regex, flags, placeholder, risk, critical) in enumerate(_BUILT_IN)
     )

@@ -444,7 +444,8 @@ def _streamed_windows(spark, sf_dir):
     half = (rows.agg(F.max("doc_id")).first()[0] or 0) // 2
     held, early = F.col("doc_id") % 13 == 5, F.col("doc_id") < half
     for part in (~held & early, ~held & ~early, held):
-        rows.filter(part).write.mode("append").parquet(f"{folder}/in")
+        # Small row groups, so that a stream splits a large file evenly over its tasks.
+        rows.filter(part).write.mode("append").option("parquet.block.size", 4 << 20).parquet(f"{folder}/in")
         # The watermark is that of all rows, so windows close whether rows alert or not.
         stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in").withColumn(
             "ts", F.col("ts").cast("timestamp")
