@@ -1,8 +1,10 @@
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +132,51 @@ def test_messy(spark, messy, nothing):
     rows = [(r["text"], r["lang"]) for r in messy.select("text", "lang").collect()]
     got = collocations.collocations(messy).collect()
     assert sorted(map(tuple, got)) == _expected(rows, 30, 2000)
+
+
+def _part(rows):
+    """Suffixes of the rows as one part, in many packs."""
+    text, lang = (pa.array(c, pa.string()) for c in zip(*rows))
+    batches = pa.Table.from_arrays([text, lang], ["text", "lang"]).to_batches(max_chunksize=20)
+    return [pa.Table.from_batches(list(collocations._deal(iter(batches), 1))).combine_chunks().to_batches()[0]]
+
+
+def _counted(part, least):
+    return [tuple(r.values()) for b in collocations._count(iter(part), least) for r in b.to_pylist()]
+
+
+@pytest.mark.parametrize("few", [0, 300, 1 << 30])
+def test_a_large_part_is_sorted_in_passes(monkeypatch, few):
+    for name, value in (("HELD", 500), ("BLOCK_BYTES", 600), ("SORTED", 700), ("FEW", few), ("HASHED_BYTES", 9)):
+        monkeypatch.setattr(collocations, name, value, raising=False)
+    rows = [(t, lang) for _, t, lang, *_ in _corpus(4, 300)]
+    part = _part(rows)
+    sizes, sort = [], collocations.frequent
+    monkeypatch.setattr(collocations, "frequent", lambda r, *a: sizes.append(len(r)) or sort(r, *a))
+    f, n = _counts(rows)
+    expected = [(lang, " ".join(p), len(p), c) for lang, own in f.items() for p, c in own.items() if c >= 3]
+    assert sorted(_counted(part, 3)) == sorted(expected + [(lang, "", 0, c) for lang, c in (+n).items()])
+    assert sum(sizes) > 5000 and max(sizes) < 2 * 700
+
+
+def test_memory_of_a_part_does_not_follow_its_suffixes(monkeypatch):
+    monkeypatch.setattr(collocations, "HELD", 60_000)
+    monkeypatch.setattr(collocations, "SORTED", 20_000, raising=False)
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    part = _part([(" ".join(r.choices(words, k=200)), "en") for _ in range(1000)])
+    tracemalloc.start()
+    found = _counted(part, 30)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) > 2000
+    assert peak < 40 * 400_000  # a pair and a longer suffix a word
+
+
+def test_words_are_hashed_in_stretches(monkeypatch):
+    words = pa.array([b"a", b"bc", b"z" * 50, b"\x00", b"bc", b"d"], pa.large_binary())
+    whole = collocations._word_hashes(words)
+    for size in (1, 3, 60):
+        monkeypatch.setattr(collocations, "HASHED_BYTES", size)
+        assert (collocations._word_hashes(words) == whole).all()
+    assert whole[1] == whole[4] and len(set(whole.tolist())) == 5

@@ -6,7 +6,11 @@ the language and the leading words: single words by one word, pairs by two, long
 three.  All occurrences of a phrase meet in one part, and no part holds more of a very
 common leading word or pair than of any other: its continuations are dealt apart.
 
-A part buckets its suffixes by leading word and sorts each bucket by multikey quicksort, all
+A part stays packed while it is counted: its suffixes are taken up one length at a time, and
+if they are many in several passes, each over those whose leading words hash to it.  So what
+a task sorts at once does not grow with its part, but for what follows the same three words.
+
+A pass buckets its suffixes by leading word and sorts each bucket by multikey quicksort, all
 segments of a depth at once: less than, equal to, greater than the word of a pivot.  The
 equal ones go one word deeper, down to the longest phrase; the number of occurrences in an
 equal segment is the count of its phrase.  A segment with fewer occurrences than asked for
@@ -26,6 +30,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +46,12 @@ BLOCK_BYTES = 1 << 21
 HELD = 1_000_000
 #: Text whose suffixes make up one part.
 PART_BYTES = 1 << 23
+#: Suffixes of a part that are sorted in one pass, on average.
+SORTED = 400_000
+#: Packed rows of a part below which they are packed anew, with others: many parts make small packs.
+FEW = 6_000
+#: Bytes of a dictionary that are hashed at once.
+HASHED_BYTES = 1 << 17
 #: Groups of a language's phrases that are ranked before all of them are.
 GROUPS = 32
 _END = -1
@@ -134,7 +145,7 @@ def _parts(rows: np.ndarray, spoken: np.ndarray, word: np.ndarray, parts: int) -
 
 
 def _pack(rows: dict[int, tuple[np.ndarray, np.ndarray]], dictionary: pa.Array) -> bytes:
-    """Rows of a part, numbered by the words they hold, which keep their order."""
+    """Rows of a part, numbered by the words they hold, which keep their order; of many, every kind can be read alone."""
     held = np.concatenate([r[:, 1:].ravel() for r, _ in rows.values()])
     if len(held) * 8 < len(dictionary):
         used = np.unique(held)
@@ -150,41 +161,56 @@ def _pack(rows: dict[int, tuple[np.ndarray, np.ndarray]], dictionary: pa.Array)
     words = dictionary.take(pa.array(used))
     offsets = np.frombuffer(words.buffers()[1], np.int64)[: len(words) + 1]
     text = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    out = [np.array([len(words), len(rows)], np.int32).tobytes(), np.diff(offsets).astype(np.int32).tobytes(), text.tobytes()]
+    frames = [(0, len(words), np.diff(offsets).astype(np.int32).tobytes() + text.tobytes())]
     for kind, (r, count) in rows.items():
-        out.append(np.array([kind, len(r)], np.int32).tobytes())
+        out = []
         for c in range(r.shape[1]):
             column = r[:, c] if c == 0 else rank(r[:, c])
             # Leading words rise, but for where a block begins.
             out.append((np.diff(column, prepend=0) if c == 1 else column).astype(np.int32).tobytes())
-        out.append(count.astype(np.int64).tobytes())
-    raw = b"".join(out)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _unpack(blob: bytes) -> tuple[pa.Array, dict[int, tuple[np.ndarray, np.ndarray]]]:
-    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
-    n, kinds = np.frombuffer(raw, np.int32, 2).tolist()
-    at = 8
-    lengths = np.frombuffer(raw, np.int32, n, at)
-    at += 4 * n
-    offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-    words = pa.Array.from_buffers(
-        pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(raw[at : at + int(offsets[-1])])]
-    )
-    at += int(offsets[-1])
-    out = {}
-    for _ in range(kinds):
-        kind, size = np.frombuffer(raw, np.int32, 2, at).tolist()
-        at += 8
+        frames.append((kind, len(r), b"".join([*out, count.astype(np.int64).tobytes()])))
+    raws = [raw for _, _, raw in frames]
+    if sum(len(r) for r, _ in rows.values()) < FEW:
+        raws = [b"".join(raws)]
+    packed = [pa.compress(raw, codec="zstd", asbytes=True) for raw in raws]
+    heads = [(kind, n, len(raw), len(z)) for (kind, n, raw), z in zip_longest(frames, packed, fillvalue=b"")]
+    return b"".join([np.array([len(heads), *sum(heads, ())], np.int64).tobytes(), *packed])
+
+
+class _Packed:
+    """What ``_pack`` gives: its words, and its rows by kind, unpacked when asked for."""
+
+    def __init__(self, blob: pa.Buffer):
+        frames = np.frombuffer(blob, np.int64, 1)[0]
+        heads = np.frombuffer(blob, np.int64, 4 * frames, 8).reshape(-1, 4).copy()
+        self.blob = blob.slice(8 + 32 * int(frames))
+        self.together = not heads[-1, 3]  # packed as one
+        if self.together:
+            self.blob = pa.decompress(self.blob, int(heads[:, 2].sum()), codec="zstd")
+            heads[:, 3] = heads[:, 2]
+        at = np.append(0, np.cumsum(heads[:, 3])).tolist()
+        self.frames = {kind: (n, raw, a, z) for (kind, n, raw, z), a in zip(heads.tolist(), at)}
+
+    def size(self, kind: int) -> int:
+        return self.frames[kind][0] if kind in self.frames else 0
+
+    def _raw(self, kind: int) -> pa.Buffer:
+        _, raw, a, z = self.frames[kind]
+        frame = self.blob.slice(a, z)
+        return frame if self.together else pa.py_buffer(pa.decompress(frame, raw, codec="zstd", asbytes=True))
+
+    def words(self) -> pa.Array:
+        raw, n = self._raw(0), self.size(0)
+        offsets = np.concatenate([[0], np.cumsum(np.frombuffer(raw, np.int32, n), dtype=np.int64)])
+        return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), raw.slice(4 * n)])
+
+    def rows(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        raw, size = self._raw(kind), self.size(kind)
         rows = np.empty((size, kind + 1), np.int32)
         for c in range(kind + 1):
-            rows[:, c] = np.frombuffer(raw, np.int32, size, at)
-            at += 4 * size
+            rows[:, c] = np.frombuffer(raw, np.int32, size, 4 * size * c)
         rows[:, 1] = np.cumsum(rows[:, 1])
-        out[kind] = rows, np.frombuffer(raw, np.int64, size, at)
-        at += 8 * size
-    return words, out
+        return rows, np.frombuffer(raw, np.int64, size, 4 * size * (kind + 1))
 
 
 class _Held:
@@ -207,16 +233,35 @@ class _Held:
         self.dictionaries.append(dictionary)
         self.words += len(dictionary)
 
-    def whole(self) -> tuple[pa.Array, dict[int, tuple[np.ndarray, np.ndarray]]]:
-        """One dictionary, and rows numbered by it; rows of different blocks may be equal."""
+    def whole(self) -> tuple[pa.Array, Iterator[tuple[int, np.ndarray, np.ndarray]]]:
+        """One dictionary, and by kind, given once, rows numbered by it; rows of different blocks may be equal."""
         encoded = pa.concat_arrays(self.dictionaries).dictionary_encode()
-        number = np.append(encoded.indices.to_numpy(), np.int32(_END))  # the end stays the end
-        out = {}
-        for kind, held in self.rows.items():
-            rows = np.concatenate([r for r, _ in held])
+        self.dictionaries = []
+        return encoded.dictionary, self._numbered(np.append(encoded.indices.to_numpy(), np.int32(_END)))  # the end stays the end
+
+    def _numbered(self, number: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for kind in _KINDS:
+            held = self.rows.pop(kind)
+            if not held:
+                continue
+            rows, count = np.concatenate([r for r, _ in held]), np.concatenate([count for _, count in held])
+            held.clear()
             rows[:, 1:] = number[rows[:, 1:]]
-            out[kind] = rows, np.concatenate([count for _, count in held])
-        return encoded.dictionary, out
+            yield kind, rows, count
+
+
+def _word_hashes(dictionary: pa.Array) -> np.ndarray:
+    """Hashes of the words, of a bounded stretch of them at once."""
+    data = np.frombuffer(dictionary.buffers()[2] or b"", np.uint8)
+    offsets = np.frombuffer(dictionary.buffers()[1], np.int64)[dictionary.offset : dictionary.offset + len(dictionary) + 1]
+    out = np.empty(len(dictionary), np.uint64)
+    a = 0
+    while a < len(dictionary):
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + HASHED_BYTES, "right")) - 1)
+        at = offsets[a : b + 1] - offsets[a]
+        out[a:b] = textnum.range_hash(textnum.prefix_hash(data[offsets[a] : offsets[b]]), at[:-1], at[1:])
+        a = b
+    return out
 
 
 def _deal(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
@@ -234,18 +279,16 @@ def _deal(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
 
 
 def _dealt(held: _Held, parts: int) -> Iterator[pa.RecordBatch]:
-    dictionary, rows = held.whole()
+    dictionary, kinds = held.whole()
     languages = list(held.languages)
     spoken = np.array([zlib.crc32(name.encode("utf-8", "surrogatepass")) for name in languages], np.uint64)
-    data = np.frombuffer(dictionary.buffers()[2] or b"", np.uint8)
-    offsets = np.frombuffer(dictionary.buffers()[1], np.int64)[: len(dictionary) + 1]
-    word = textnum.range_hash(textnum.prefix_hash(data), offsets[:-1], offsets[1:])
+    word = _word_hashes(dictionary)
     cut = {}
-    for kind, (r, count) in rows.items():
-        part = _parts(r, spoken, word, parts)
+    for kind, rows, count in kinds:
+        part = _parts(rows, spoken, word, parts)
         # Numbers of 16 bits are sorted by their digits.
         order = np.argsort(part.astype(np.min_scalar_type(parts)), kind="stable")
-        cut[kind] = r[order], count[order], np.searchsorted(part[order], np.arange(parts + 1))
+        cut[kind] = rows[order], count[order], np.searchsorted(part[order], np.arange(parts + 1))
     for p in range(parts):
         own = {
             kind: (r[at[p] : at[p + 1]], count[at[p] : at[p + 1]]) for kind, (r, count, at) in cut.items() if at[p] < at[p + 1]
@@ -312,33 +355,75 @@ def frequent(rows: np.ndarray, count: np.ndarray, depths: tuple[int, ...], least
             order, weight, segment, depth, equal = (c[~over] for c in (order, weight, segment, depth, equal))
 
 
-def _count(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Frequent phrases of a partition, which holds whole parts, and its share of each language's words."""
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], _Packed]]:
+    """Languages and packs of a partition, small packs put together: each is read once a pass."""
+
+    def packed(held: _Held) -> tuple[list[str], _Packed]:
+        dictionary, kinds = held.whole()
+        return list(held.languages), _Packed(pa.py_buffer(_pack({kind: (r, count) for kind, r, count in kinds}, dictionary)))
+
     held = _Held()
     for batch in batches:
         for languages, blob in zip(batch.column("languages").to_pylist(), batch.column("blob")):
-            words, rows = _unpack(blob.as_buffer().to_pybytes())
-            held.add(words, languages, {k: rows.get(k, (np.zeros((0, k + 1), np.int64), np.zeros(0, np.int64))) for k in _KINDS})
-    if not held.size:
+            p = _Packed(blob.as_buffer())
+            if sum(p.size(kind) for kind in _KINDS) >= FEW:
+                yield languages, p
+                continue
+            held.add(p.words(), languages, {kind: p.rows(kind) for kind in _KINDS if p.size(kind)})
+            if held.size > SORTED:
+                yield packed(held)
+                held = _Held()
+    if held.size:
+        yield packed(held)
+
+
+def _count(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Frequent phrases of a partition, which holds whole parts, and its share of each language's words."""
+    number: dict[str, int] = {}
+    packed, spoken = [], []
+    for languages, p in _merged(batches):
+        packed.append(p)
+        spoken.append(np.array([number.setdefault(name, len(number)) for name in languages], np.int32))
+    if not packed:
         return
-    dictionary, rows = held.whole()
-    names = np.array(list(held.languages), object)
-    single, count = rows[1]
+    encoded = pa.chunked_array([p.words() for p in packed]).dictionary_encode()
+    dictionary = encoded.chunk(0).dictionary
+    renumbered = [np.append(c.indices.to_numpy(), np.int32(_END)) for c in encoded.chunks]  # the end stays the end
+    del encoded
+    names = np.array(list(number), object)
     totals = np.zeros(len(names), np.int64)
-    np.add.at(totals, single[:, 0], count)
-    spoken = np.flatnonzero(totals)
-    yield _phrases(names[spoken], [""] * len(spoken), 0, totals[spoken])
     size = len(dictionary) + 1
+    hashes = textnum.mixed(np.arange(1, size, dtype=np.uint64))
     for kind, depths in _KINDS.items():
-        r, count = rows[kind]
-        # The bucket: a language and a leading word; the sort begins one word deep.
-        bucket = np.column_stack([r[:, 0].astype(np.int64) * size + r[:, 1], r[:, 2:]])
-        for d, found, often in frequent(bucket, count, tuple(x - 1 for x in depths), least):
-            if len(found):
-                leading = [found[:, 0] % size, *(found[:, c] for c in range(1, d + 1))]
-                parts = [dictionary.take(pa.array(c)).to_pylist() for c in leading]
-                text = [b" ".join(p).decode("utf-8", "surrogatepass") for p in zip(*parts)]
-                yield _phrases(names[found[:, 0] // size], text, d + 1, often)
+        passes = max(1, -(-sum(p.size(kind) for p in packed) // SORTED))
+        for turn in range(passes):
+            held = []
+            for p, languages, words in zip(packed, spoken, renumbered):
+                if not p.size(kind):
+                    continue
+                r, count = p.rows(kind)
+                r[:, 0] = languages[r[:, 0]]
+                r[:, 1:] = words[r[:, 1:]]
+                if passes > 1:
+                    own = np.flatnonzero(_parts(r, np.arange(len(names), dtype=np.uint64), hashes, passes) == turn)
+                    r, count = r[own], count[own]
+                held.append((r, count))
+            if not held:
+                continue
+            # The bucket: a language and a leading word; the sort begins one word deep.
+            bucket = np.concatenate([np.column_stack([r[:, 0].astype(np.int64) * size + r[:, 1], r[:, 2:]]) for r, _ in held])
+            count = np.concatenate([count for _, count in held])
+            held.clear()
+            if kind == 1:
+                np.add.at(totals, bucket[:, 0] // size, count)
+            for d, found, often in frequent(bucket, count, tuple(x - 1 for x in depths), least):
+                if len(found):
+                    leading = [found[:, 0] % size, *(found[:, c] for c in range(1, d + 1))]
+                    parts = [dictionary.take(pa.array(c)).to_pylist() for c in leading]
+                    text = [b" ".join(p).decode("utf-8", "surrogatepass") for p in zip(*parts)]
+                    yield _phrases(names[found[:, 0] // size], text, d + 1, often)
+    there = np.flatnonzero(totals)
+    yield _phrases(names[there], [""] * len(there), 0, totals[there])
 
 
 def _phrases(lang: np.ndarray, text: list[str], size: int, often: np.ndarray) -> pa.RecordBatch:
