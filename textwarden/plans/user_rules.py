@@ -21,7 +21,7 @@ from textwarden.operators.custom_rules import (
     collect_rules, compile_rules, find_rules, match_repo_rules, numbered, rule_errors, sanitize_matched,
     warn_once,
 )
-from textwarden.operators.shared_rules import match_shared_rules
+from textwarden.operators.shared_rules import SENT_BYTES, match_shared_rules
 from textwarden.operators.spans import detect_spans
 from textwarden.operators.staging import shared_folder
 from textwarden.plans import sql
@@ -220,7 +220,8 @@ def _uncapped(spark, sf_dir):
     """All definitions of all files as one set, whatever their number."""
     rules = compile_rules(_raw(spark, sf_dir), max_custom=None, key=None)
     units = planted(spark, sf_dir).select("doc_id", "path", "text")
-    rows = score_matched(match_shared_rules(units, rules), path="path", whole=False)
+    matched = match_shared_rules(units, rules, max_sent=SENT_BYTES)
+    rows = score_matched(matched, path="path", whole=False)
     return rows.select("doc_id", "score", "level", F.array_join("findings", ", ").alias("findings"))
 
 
