@@ -86,6 +86,7 @@ def test_blocks_and_places_cut_no_hit(monkeypatch, block):
     index = plain_rules.plain_index(known)
     whole = plain_rules.plain_hits(index, texts)
     monkeypatch.setattr(plain_rules, "BLOCK", block)
+    monkeypatch.setattr(plain_rules, "PAIRS", 3)
     for a, b in zip(whole, plain_rules.plain_hits(index, texts)):
         assert all(np.array_equal(x, y) for x, y in zip(a, b))
 
@@ -101,6 +102,24 @@ def test_thousands_of_plain_rules():
     assert not len(tried)
 
 
+def test_rules_that_begin_alike_are_told_apart_before_they_are_followed(monkeypatch):
+    words = [f"https://www.host.example/path/{i:05d}/" for i in range(20000)]
+    index = plain_rules.plain_index([plain_rules.probe(translate(re.escape(w), "i" if i % 2 else "g")) for i, w in enumerate(words)])
+    followed = []
+    inner = plain_rules._follow
+    monkeypatch.setattr(plain_rules, "_follow", lambda *a: followed.append(len(a[-1])) or inner(*a))
+    texts = [" ".join(words[(i * 100 + j * 7) % 20000] for j in range(100)).encode() for i in range(50)]
+    (ends, sure), (_, tried) = plain_rules.plain_hits(index, texts)
+    assert [set(sure[a:b]) for a, b in zip(ends, ends[1:])] == [{(i * 100 + j * 7) % 20000 for j in range(100)} for i in range(50)]
+    assert sum(followed) == 5000 and not len(tried)
+
+
+def test_a_long_run_is_followed_once():
+    index = plain_rules.plain_index([plain_rules.probe(translate(r"a\w+ "))])
+    (ends, sure), (_, tried) = plain_rules.plain_hits(index, [b"a" * 300000, b"a" * 300000 + b" "])
+    assert ends.tolist() == [0, 0, 1] and sure.tolist() == [0] and not len(tried)
+
+
 def test_no_rules_at_all(spark, units):
     rules = _rules(spark, [("[bad((", "g")])
     found = _matched(match_shared_rules(units(["to 1.2.3.4", None]), rules, max_sent=SENT_BYTES))

@@ -107,14 +107,14 @@ def _sent(units: DataFrame, rules: DataFrame, text: str) -> tuple[DataFrame, lis
     own = pa.ListArray.from_arrays(first.astype(np.int32), entries)
     entry = pa.StructArray.from_arrays([pa.array(list(named), pa.string()), own], names=["regex", "rules"])
     # Workers have no classes of this package to read an index with.
-    parts = tuple(index[:-1]), [tuple(group) for group in index.groups], first, entries, entry
+    parts = tuple(index), first, entries, entry
     sent = units.sparkSession.sparkContext.broadcast(parts)
 
     @F.arrow_udf(_FOUND)
     def found_in(texts: pa.Array) -> pa.Array:
-        arrays, groups, first, entries, entry = sent.value
-        restored = plain_rules.restored(arrays, groups)
-        (ends, sure), (tried_ends, tried) = plain_rules.plain_hits(restored, texts.cast(pa.binary()).to_pylist())
+        arrays, first, entries, entry = sent.value
+        found = plain_rules.plain_hits(plain_rules.Plain(*arrays), texts.cast(pa.binary()).to_pylist())
+        (ends, sure), (tried_ends, tried) = found
         owner, member = plain_rules.spread(first, sure)
         # The lists end at patterns; counted in rules they end behind all rules of these.
         ends = np.searchsorted(owner, ends).astype(np.int32)
