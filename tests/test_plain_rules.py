@@ -89,6 +89,11 @@ def test_blocks_and_places_cut_no_hit(monkeypatch, block):
     monkeypatch.setattr(plain_rules, "PAIRS", 3)
     for a, b in zip(whole, plain_rules.plain_hits(index, texts)):
         assert all(np.array_equal(x, y) for x, y in zip(a, b))
+    cuts = list(plain_rules.portions([len(t or b"") for t in texts]))
+    assert [a for a, _ in cuts] == [0, *(b for _, b in cuts[:-1])] and cuts[-1][1] == len(texts) and len(cuts) > 20
+    parts = [plain_rules.plain_hits(index, texts[a:b]) for a, b in cuts]
+    for which in (0, 1):
+        assert np.array_equal(whole[which][1], np.concatenate([p[which][1] for p in parts]))
 
 
 def test_thousands_of_plain_rules():

@@ -20,10 +20,12 @@ if their texts agree, so keys are unique; rules keep their order, equal ids are
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,15 +113,20 @@ def _sent(units: DataFrame, rules: DataFrame, text: str) -> tuple[DataFrame, lis
     sent = units.sparkSession.sparkContext.broadcast(parts)
 
     @F.arrow_udf(_FOUND)
-    def found_in(texts: pa.Array) -> pa.Array:
+    def found_in(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         arrays, first, entries, entry = sent.value
-        found = plain_rules.plain_hits(plain_rules.Plain(*arrays), texts.cast(pa.binary()).to_pylist())
-        (ends, sure), (tried_ends, tried) = found
-        owner, member = plain_rules.spread(first, sure)
-        # The lists end at patterns; counted in rules they end behind all rules of these.
-        ends = np.searchsorted(owner, ends).astype(np.int32)
-        lists = (ends, entries.take(pa.array(member))), (tried_ends, entry.take(pa.array(tried)))
-        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(*x) for x in lists], names=["sure", "tried"])
+        index = plain_rules.Plain(*arrays)
+        for batch in batches:
+            texts = batch.cast(pa.binary())
+            # What is given back at once is bounded too, however many rules each text meets.
+            for begin, end in plain_rules.portions(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+                found = plain_rules.plain_hits(index, texts.slice(begin, end - begin).to_pylist())
+                (ends, sure), (tried_ends, tried) = found
+                owner, member = plain_rules.spread(first, sure)
+                # The lists end at patterns; counted in rules they end behind all rules of these.
+                ends = np.searchsorted(owner, ends).astype(np.int32)
+                lists = (ends, entries.take(pa.array(member))), (tried_ends, entry.take(pa.array(tried)))
+                yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(*x) for x in lists], names=["sure", "tried"])
 
     places = table["ord"].take(pa.array(left_out[: MAX_LITERAL_RULES + 1], pa.int64())).to_pylist()
     return units.select("*", found_in(F.col(text)).alias("_plain")), places
