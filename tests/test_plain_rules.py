@@ -55,6 +55,14 @@ def test_a_set_that_is_sent_finds_what_an_unrolled_one_does(spark, units):
     assert len(met) > 40 and sum(map(len, want.values())) > 5000
 
 
+def test_broken_bytes_are_read_as_the_regex_reads_them(spark):
+    texts = ["FF746F", "746FFF", "C3746F20746865", "746FC2746865", "746FE28074", "746F20C2", "EFBFBD746F", "746F80FF207468"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id INT, hex STRING").selectExpr("doc_id", "cast(unhex(hex) as string) AS text")
+    rules = _rules(spark, REGEXES)
+    want = _matched(with_matched(df, collect_rules(rules)))
+    assert _matched(match_shared_rules(df, rules, max_sent=SENT_BYTES)) == want and sum(map(len, want.values())) > 20
+
+
 def test_no_text_is_moved_for_the_rules_of_the_query(spark, tmp_path):
     benchmark = [(0, "Se que lo"), (1, "On the way"), (2, "to to do"), (3, "no file"), (4, "Über The Hill")]
     spark.createDataFrame(benchmark, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
